@@ -1,6 +1,6 @@
 """Named queries over the given tables."""
 
-from rillmark.plans import statistics  # noqa: F401
+from rillmark.plans import extraction, filters, joining, statistics  # noqa: F401
 from rillmark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
