@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +59,14 @@ def contains_all(col: Column, terms: list[str]) -> Column:
 
 
 def java_regex(pattern: str) -> str:
-    """Python named-group syntax rewritten for the JVM regex engine."""
-    return pattern.replace("(?P<", "(?<").replace("(?P=", r"\k<").replace(r"\Z", r"\z")
+    """A Python pattern for the JVM engine: groups by number, ``\\Z`` as ``\\z``.
+
+    JVM group names allow no underscore, so names become plain groups and
+    references to them numbers.
+    """
+    numbers = re.compile(pattern).groupindex
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{numbers[m.group(1)]}", pattern)
+    return re.sub(r"\(\?P<\w+>", "(", out).replace(r"\Z", r"\z")
 
 
 def tilde_head(identifier: Column) -> Column:
