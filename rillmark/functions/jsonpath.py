@@ -67,16 +67,28 @@ def with_json_paths(df: DataFrame, payload: str, columns: dict[str, str]) -> Dat
     return parsed.withColumns({n: leaf(p) for n, p in columns.items()}).drop("_json")
 
 
-def is_json_object(col: Column) -> Column:
-    """True for text that parses to a JSON object (not array, scalar or noise)."""
-    return F.coalesce(
-        F.startswith(F.schema_of_variant(F.try_parse_json(col)), F.lit("OBJECT")), F.lit(False)
-    )
+_END = "|end|"
+_SEP = "\u0001"
+
+
+def _closed(col: Column) -> Column:
+    """The text as first element of a two-element array, so that trailing text breaks the array."""
+    return F.try_parse_json(F.concat(F.lit("["), col, F.lit(f',"{_END}"]')))
 
 
 def is_json(col: Column) -> Column:
-    """True for any valid JSON text."""
-    return F.try_parse_json(col).isNotNull()
+    """True for a text that is one JSON value and nothing else."""
+    doc = _closed(col)
+    rest = [F.try_variant_get(doc, f"$[{i}]", "string") for i in (1, 2)]
+    return F.concat_ws(_SEP, *rest) == _END
+
+
+def is_json_object(col: Column) -> Column:
+    """True for text that is a JSON object (not an array, scalar or noise)."""
+    doc = _closed(col)
+    kind = F.schema_of_variant(F.try_variant_get(doc, "$[0]", "variant"))
+    rest = [F.try_variant_get(doc, f"$[{i}]", "string") for i in (1, 2)]
+    return F.rlike(F.concat_ws(_SEP, kind, *rest), F.lit(f"^OBJECT[^{_SEP}]*{_SEP}\\|end\\|$"))
 
 
 def json_elements(col: Column) -> Column:

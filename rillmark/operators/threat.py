@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions.jsonpath import is_json_object
-from rillmark.functions.text import java_regex, strip
+from rillmark.functions.text import contains_any, java_regex, strip
 from rillmark.operators.windows import first_by
 from rillmark.session import materialize
 
@@ -42,20 +42,19 @@ COLD_START_DRIFT = 0.2979
 SHARE_FLOOR = 0.0001
 DEFAULT_COMPLEXITY, ADDRESS_WEIGHT, DEFAULT_VULNERABILITY = 5.0, 7.5, 4.5
 
-# A cheap superset of the entity patterns: most lines hold none of it, and in
-# the others it finds the few tokens worth testing.
+# A cheap superset of the entity patterns.  Every entity but an account name
+# holds one of four punctuation marks in a telling place, so the scan passes
+# over all other characters at once and tests few tokens of few lines.
 _LOOSE = (
-    r"\p{Nd}\.\p{Nd}|[0-9a-f]:[0-9a-f]|[a-z]:\\"
-    r"|/(?:bin|etc|var|usr|opt|tmp|root|home|sys|proc|lib|run|mnt)/|[a-z0-9_\-.]\.[a-z]{2}"
-    r"|(?:Router|Switch|Firewall|Core-SW|Edge|Gateway|LoadBalancer)-"
+    r"[.:/\-](?:(?<=[a-zA-Z0-9_\-.]\.)[a-zA-Z]{2}|(?<=\p{Nd}\.)\p{Nd}"
+    r"|(?<=:)\\|(?<=[0-9a-fA-F]:)[0-9a-fA-F]"
+    r"|(?<=/)(?i:bin|etc|var|usr|opt|tmp|root|home|sys|proc|lib|run|mnt)/"
+    r"|(?<=(?i:Router|Switch|Firewall|Core-SW|Edge|Gateway|LoadBalancer)-))"
 )
-_LOOSE_ACCOUNT = "|".join(ACCOUNTS)
 
 
-def _candidates(line: Column, loose: str) -> Column:
-    """Tokens of the line that hold the loose pattern; null for lines without it."""
-    tokens = F.regexp_extract_all(line, F.lit(rf"(?U)(?i)(?<!\S)\S*?(?:{loose})\S*"), F.lit(0))
-    return F.when(F.rlike(line, F.lit(f"(?i){loose}")), tokens)
+def _tokens_with(line: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?U)(?<!\S)\S*?(?:{pattern})\S*"), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -140,9 +139,10 @@ def line_entity(line: Column) -> Column:
     def privileged(name: Column) -> Column:
         return F.struct(name.alias("entity"), F.lit("privileged_system_context").alias("category"))
 
-    candidates = F.transform(_candidates(line, _LOOSE), edges_off)
-    hits = F.array_compact(F.transform(candidates, classify_token))
-    names = F.transform(_candidates(line, _LOOSE_ACCOUNT), edges_off)
+    tokens = F.when(F.rlike(line, F.lit(_LOOSE)), _tokens_with(line, _LOOSE))
+    hits = F.array_compact(F.transform(F.transform(tokens, edges_off), classify_token))
+    words = F.when(contains_any(F.lower(line), ACCOUNTS), _tokens_with(line, f"(?i:{'|'.join(ACCOUNTS)})"))
+    names = F.transform(words, edges_off)
     accounts = F.filter(names, lambda a: F.lower(a).isin(ACCOUNTS))
     return F.coalesce(F.get(hits, F.lit(0)), F.get(F.transform(accounts, privileged), F.lit(0)))
 

@@ -1,6 +1,6 @@
 """Named queries over the given tables."""
 
-from rillmark.plans import extraction, filters, joining, statistics, threats  # noqa: F401
+from rillmark.plans import connectors, extraction, filters, joining, models, statistics, streams, threats  # noqa: F401
 from rillmark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -89,7 +89,7 @@ def main() -> int:
         try:
             diff, rows = compare(spark, con, queries[name], oracle.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001 - report and go on
-            diff, rows = f"{type(e).__name__}: {str(e)[:900]}", -1
+            diff, rows = f"{type(e).__name__}: {str(e)[:400]}", -1
         took = time.time() - start
         state = "FAIL" if diff else ("ok" if name in oracle else "rows")
         print(f"{state:5s}{name:40s}{rows:8d} {took:6.2f}s" + (f"\n   {diff}" if diff else ""), flush=True)
