@@ -8,9 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITE_SPACE = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def clean_for_ingest(col: Column) -> Column:

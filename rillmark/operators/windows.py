@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+from rillmark.session import hot_key_parts
+
 DEFAULT_CHUNK = 65_536
 
 
@@ -21,15 +22,17 @@ def last_n(
     keys: Sequence[str],
     order: Sequence[str],
     n: int,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
     rank: str = "rn",
 ) -> DataFrame:
     """Newest ``n`` rows per key with their rank (1 = newest).
 
     ``order`` must end in a unique tie-break.  Each map task keeps at most n
-    rows per key before the shuffle; a key is then cut to n rows in ``salts``
-    independent parts, and only ``n * salts`` of its rows meet in one task.
+    rows per key before the shuffle.  In wide jobs a key is then cut to n rows
+    in ``salts`` independent parts, so that only ``n * salts`` of its rows
+    meet in one task; the default follows the shuffle width.
     """
+    salts = hot_key_parts(df.sparkSession) if salts is None else salts
     newest = [F.col(c).desc() for c in order]
     if salts > 1:
         part = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
@@ -118,7 +121,7 @@ def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> Data
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 
-def spread(df: DataFrame, keys: Sequence[str], order: Column, value: str, out: str) -> DataFrame:
+def gap_to_previous(df: DataFrame, keys: Sequence[str], order: Column, value: str, out: str) -> DataFrame:
     """Gap of a value to the previous row of the key."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn(out, F.col(value) - F.lag(value).over(w))

@@ -11,6 +11,7 @@ from rillmark.operators import prompts, scada, stats
 from rillmark.plans import inputs
 from rillmark.plans.inputs import LINES_SQL, PREPROCESSED_SQL, SHIPMENT_SQL, WINDOW_SQL
 from rillmark.plans.registry import query
+from rillmark.session import spread
 
 _LONG = ("entity", "subtopic", "value_num", "identifier", "msgid", "lat", "lon")
 
@@ -148,12 +149,12 @@ def readings(t):
         "l_quantity", F.round("l_extendedprice").alias("p"), F.round(F.col("l_discount") * 100),
         F.round(F.col("l_tax") * 100), F.lit(0.0), F.col("l_linenumber").cast("double"),
     ).cast("array<int>")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", registers.alias("registers"))
+    return spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", registers.alias("registers")))
 
 
 def derived(t):
-    rows = readings(t).withColumn("readings", scada.register_fields(F.col("registers"), FIELDS))
-    return scada.derive(rows, "readings", FIELDS, SCALING, VARIABLES)
+    rows = readings(t)
+    return scada.derive(rows, scada.from_registers(F.col("registers"), FIELDS), SCALING, VARIABLES)
 
 
 _READ_SQL = """SELECT *, round(l_extendedprice) / 1000 AS price, round(l_discount * 100) / 100 AS disc,
@@ -177,7 +178,7 @@ def src_register_fields(t):
 )
 def prj_scale_fields(t):
     rows = readings(t).withColumn("readings", scada.register_fields(F.col("registers"), FIELDS))
-    scaled = scada.scale(F.col("readings"), FIELDS, SCALING)
+    scaled = scada.scale(scada.from_map(F.col("readings"), FIELDS), SCALING)
     return rows.select(
         "l_orderkey", "l_linenumber", scaled["quantity"].alias("q"), F.round(scaled["price"], 6).alias("price"),
         F.round(scaled["discount"], 6).alias("disc"))

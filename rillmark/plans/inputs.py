@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.plans.registry import Tables
+from rillmark.session import spread
 
 
 def measurements(t: Tables) -> DataFrame:
@@ -18,7 +19,8 @@ def measurements(t: Tables) -> DataFrame:
 
 def shipments(t: Tables) -> DataFrame:
     """Line items as a second numeric stream: supplier = entity, flag = subtopic."""
-    return t.lineitem.select(
+    return spread(t.lineitem.select("l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate", "l_orderkey",
+                                    "l_linenumber", "l_partkey")).select(
         F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("subtopic"),
         F.col("l_extendedprice").alias("value"), F.col("l_shipdate").alias("ts"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("msgid"),
@@ -64,7 +66,7 @@ def iot_records(t: Tables) -> DataFrame:
         F.when(F.col("event_id") % 5 != 0, F.get_json_object("props", "$.k")).alias("lat"),
         F.col("user_id").cast("string").alias("long"),
     )
-    return t.events.select("event_id", F.to_json(doc).alias("payload"))
+    return spread(t.events).select("event_id", F.to_json(doc).alias("payload"))
 
 
 IOT_CRITERIA = (
@@ -94,7 +96,7 @@ def observations(t: Tables) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("effectiveDateTime"),
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
     )
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.to_json(doc).alias("payload"))
+    return spread(t.lineitem).select("l_orderkey", "l_linenumber", F.to_json(doc).alias("payload"))
 
 
 OBSERVATION_CRITERIA = (
@@ -116,7 +118,7 @@ def hosts(t: Tables) -> DataFrame:
         F.when(failed, F.lit("FAILURE")).otherwise(F.lit("SUCCESS")).alias("pingStatus"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("lastUpdated"),
     )
-    return t.orders.select("o_orderkey", F.to_json(doc).alias("payload"))
+    return spread(t.orders).select("o_orderkey", F.to_json(doc).alias("payload"))
 
 
 HOST_CRITERIA = (
@@ -145,7 +147,8 @@ PREPROCESSED_SQL = """SELECT event_id, event_type AS variable,
 
 def document_lines(t: Tables) -> DataFrame:
     """Documents as log files: every line with its number."""
-    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_pos", "line")).select(
+    texts = spread(t.documents.select("doc_id", "text"))
+    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_pos", "line")).select(
         "doc_id", (F.col("_pos") + 1).alias("line_number"), "line"
     )
 

@@ -225,7 +225,7 @@ def win_gap_to_previous(t):
     from rillmark.operators.stats import KEYS, ORDER, micros
 
     rows = windows.last_n(inputs.measurements(t), KEYS, ORDER, 800).withColumn("us", micros(F.col("ts")))
-    return windows.spread(rows, KEYS, F.col("rn").desc(), "us", "gap_us").select("msgid", "gap_us")
+    return windows.gap_to_previous(rows, KEYS, F.col("rn").desc(), "us", "gap_us").select("msgid", "gap_us")
 
 
 @query(
@@ -236,7 +236,7 @@ def win_step_to_previous(t):
     from rillmark.operators.stats import KEYS, ORDER
 
     rows = windows.last_n(inputs.measurements(t), KEYS, ORDER, 800)
-    out = windows.spread(rows, KEYS, F.col("rn").desc(), "value", "step")
+    out = windows.gap_to_previous(rows, KEYS, F.col("rn").desc(), "value", "step")
     return out.select("msgid", F.round("step", 4).alias("step"))
 
 

@@ -9,6 +9,7 @@ from rillmark.operators import memory, prompts, stats, terms, threat
 from rillmark.plans import inputs
 from rillmark.plans.inputs import LINES_SQL
 from rillmark.plans.registry import query
+from rillmark.session import materialize, spread
 
 # Example configuration: rules, tactic matrix and weights are user input.
 MATRIX = {
@@ -88,7 +89,7 @@ def txt_page_entities(t):
     from rillmark.functions.text import strip
 
     text = strip(F.regexp_replace("html", "[<>]", " "))
-    rows = t.pages.select(F.col("page_id").alias("doc_id"), threat.line_entity(text).alias("hit"))
+    rows = spread(t.pages.select("page_id", "html")).select(F.col("page_id").alias("doc_id"), threat.line_entity(text).alias("hit"))
     return rows.filter(F.col("hit").isNotNull()).select("doc_id", "hit.entity", "hit.category")
 
 
@@ -275,7 +276,7 @@ def agg_stability_index(t):
     SELECT doc_id, line_number, coalesce(drift, 0.2979) AS drift FROM e LEFT JOIN d USING (event_type)""",
 )
 def jn_drift_to_rows(t):
-    found = threat.materialize(document_elements(t), "elements")
+    found = materialize(document_elements(t), "elements")
     baseline = threat.distribution(talk_elements(t), "event_type")
     drift = threat.stability_index(baseline, threat.distribution(found, "event_type"), "event_type")
     return threat.with_drift(found, drift, "event_type").select("doc_id", "line_number", "drift")
@@ -357,7 +358,7 @@ def txt_term_table(t):
     """A growing table of known passages looked up in whole texts."""
     lines = t.benchmark.select("item_id", F.explode(F.split("text", "\n")).alias("term"))
     keyed = lines.withColumn("term_id", F.concat_ws(":", F.col("item_id").cast("string"), F.md5("term")))
-    out = terms.match_term_table(t.documents.select("doc_id", "text"), ["doc_id"], "text", keyed, "term", "term_id")
+    out = terms.match_term_table(spread(t.documents.select("doc_id", "text")), ["doc_id"], "text", keyed, "term", "term_id")
     return out.select("doc_id", F.split_part("term_id", F.lit(":"), F.lit(1)).cast("long").alias("item_id")).distinct()
 
 
@@ -400,7 +401,8 @@ _MEM_TERMS = "|token =,License ~~~ rgx:[0-9]{16} ~~~ |pathetic,scum"
 
 
 def memory_texts(t):
-    return t.documents.select(F.col("source").alias("entity"), F.floor(F.col("doc_id") / 40).alias("window"), "text")
+    texts = spread(t.documents.select("source", "doc_id", "text"))
+    return texts.select(F.col("source").alias("entity"), F.floor(F.col("doc_id") / 40).alias("window"), "text")
 
 
 def _memory_counts(t):

@@ -26,6 +26,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SPREAD_BELOW = 64
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give a small table read from few file splits to all cores.
+
+    Meant for plain scans in front of CPU-heavy row work.  A table with as many
+    splits as cores, or with 64 or more, is left alone, so large inputs are
+    never shuffled for it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.isStreaming or table.rdd.getNumPartitions() >= min(cores, SPREAD_BELOW):
+        return table
+    return table.repartition(cores)
+
+
+def hot_key_parts(spark: SparkSession) -> int:
+    """In how many parts a key's rows are reduced before they meet.
+
+    Follows the configured shuffle width: a wide job has many map tasks that
+    may all hold rows of one hot key.
+    """
+    return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 25))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
