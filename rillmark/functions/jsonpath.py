@@ -51,11 +51,16 @@ def with_json_paths(df: DataFrame, payload: str, columns: dict[str, str]) -> Dat
 
     The paths are turned into one read schema; the parsed struct is projected
     before its fields are, so the optimizer keeps one parse for all of them.
+    Paths a schema cannot hold (a value that is also a parent, names that
+    differ in case only, a top-level array) are read from a variant instead.
     """
     paths = list(columns.values())
-    schema = None if _nested(paths) else _leaf_schema([p.split(".") for p in paths])
+    same_name = len({p.lower() for p in paths}) < len(set(paths))
+    schema = None if _nested(paths) or same_name else _leaf_schema([p.split(".") for p in paths])
     if not isinstance(schema, T.StructType):
-        return df.withColumns({n: json_get(F.col(payload), p) for n, p in columns.items()})
+        parsed = df.withColumn("_json", F.try_parse_json(payload))
+        found = {n: F.try_variant_get("_json", json_path(p), "string") for n, p in columns.items()}
+        return parsed.withColumns(found).drop("_json")
     parsed = df.withColumn("_json", F.from_json(F.col(payload), schema))
 
     def leaf(dotted: str) -> Column:

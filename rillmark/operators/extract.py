@@ -195,18 +195,20 @@ def common_shape(df: DataFrame, record: str) -> DataFrame:
     """One shape over risk, prediction, optimisation and preprocessed records.
 
     The kind is the first marker field present; a record without any spelling
-    of the key, or with an empty one, is dropped.
+    of the key, or with an empty one, is dropped.  Each record is parsed once.
     """
-    doc = F.col(record)
+    keys = ("kafkakey", "AdditionDetails.kafkakey", "Kafkakey")
+    paths = dict.fromkeys([*keys, *(m for _, m in COMMON_MARKERS), *(p for f in COMMON_FIELDS.values() for p in f)])
+    held = {p: f"_c{i}" for i, p in enumerate(paths)}
+    rows = with_json_paths(df, record, {c: p for p, c in held.items()})
     kind = F.lit("preprocessed")
     for name, marker in reversed(COMMON_MARKERS):
-        kind = F.when(json_get(doc, marker).isNotNull(), F.lit(name)).otherwise(kind)
-    rows = df.withColumn("kind", kind)
+        kind = F.when(F.col(held[marker]).isNotNull(), F.lit(name)).otherwise(kind)
+    rows = rows.filter(F.length(F.coalesce(*[F.col(held[k]) for k in keys])) > 0).withColumn("kind", kind)
     columns = {}
     for i, out in enumerate(COMMON_NAMES):
-        col = json_get(doc, COMMON_FIELDS["preprocessed"][i])
+        col = F.col(held[COMMON_FIELDS["preprocessed"][i]])
         for name in ("optimisation", "prediction", "risk"):
-            col = F.when(F.col("kind") == name, json_get(doc, COMMON_FIELDS[name][i])).otherwise(col)
+            col = F.when(F.col("kind") == name, F.col(held[COMMON_FIELDS[name][i]])).otherwise(col)
         columns[out] = col
-    key = F.coalesce(*[json_get(doc, p) for p in ("kafkakey", "AdditionDetails.kafkakey", "Kafkakey")])
-    return rows.filter(F.length(key) > 0).withColumns(columns)
+    return rows.withColumns(columns).drop(*held.values())

@@ -246,6 +246,20 @@ def src_rule_maps(t):
         F.col("technique").cast("long").alias("p_partkey"), "ord", "name", "pattern", "tactic")
 
 
+@query(
+    "src_weight_maps",
+    """SELECT 'attack_complexity_weights' AS part, 0 AS ord, s_name AS keyword, s_acctbal AS weight FROM supplier
+    UNION ALL SELECT 'attack_complexity_weights', 1, 'a', 2.5 FROM supplier
+    UNION ALL SELECT 'fallbacks', 0, 'default_a_w', s_nationkey FROM supplier""",
+)
+def src_weight_maps(t):
+    """Weight profiles keep the declared order of their keywords; a missing map gives no rows."""
+    doc = F.struct(
+        F.create_map("s_name", "s_acctbal", F.lit("a"), F.lit(2.5)).alias("attack_complexity_weights"),
+        F.create_map(F.lit("default_a_w"), F.col("s_nationkey").cast("double")).alias("fallbacks"))
+    return files.weight_rows(t.supplier.select(F.to_json(doc).alias("value")))
+
+
 @query(
     "src_term_files",
     """WITH l AS (SELECT trim(line) AS line, i FROM (SELECT unnest(x) AS line, generate_subscripts(x, 1) AS i

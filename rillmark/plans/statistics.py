@@ -184,6 +184,17 @@ def agg_avgtimediff(t):
     return out.select("entity", "subtopic", F.round("avgtimediff", 4).alias("hyperprediction"))
 
 
+@query(
+    "agg_timediff",
+    f"""SELECT entity, subtopic, 'timediff' AS preprocesstype,
+      round(avg(epoch_us(ts) - epoch_us(pts)) / 1e6, 4) AS hyperprediction FROM ({WINDOW_SQL}) GROUP BY entity, subtopic""",
+)
+def agg_timediff(t):
+    """The mean gap as an emitted record."""
+    out = stats.preprocess(measurements(t), ["timediff"])
+    return out.withColumn("hyperprediction", F.round("hyperprediction", 4))
+
+
 @query(
     "agg_dataage",
     f"""SELECT entity, subtopic, round(min(epoch_us(TIMESTAMP '{NOW}') - (epoch_us(ts) - 5 * 3600000000::BIGINT))
@@ -287,6 +298,20 @@ def agg_list_tools(t):
     )
 
 
+@query(
+    "udf_named_tools",
+    """SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS added, greatest(l_discount, l_tax, l_quantity) AS largest,
+      round_even((l_discount + l_tax + l_quantity) / 3, 2) AS average FROM lineitem""",
+)
+def udf_named_tools(t):
+    """The scalar tools called by name from SQL."""
+    tools.register_tools(t.spark)
+    return t.lineitem.selectExpr(
+        "l_orderkey", "l_linenumber", "tool_add(l_quantity, l_tax) AS added",
+        "tool_max(array(l_discount, l_tax, l_quantity)) AS largest",
+        "tool_average(array(l_discount, l_tax, l_quantity)) AS average")
+
+
 @query(
     "agg_response_rollup",
     """SELECT conv_id, role, count(*) AS responses, sum(length(text))::BIGINT AS characters,

@@ -181,17 +181,22 @@ def rule_table(spark: SparkSession, path: str) -> DataFrame:
     return rule_rows(spark.read.text(path, wholetext=True))
 
 
+WEIGHT_PARTS = ("attack_complexity_weights", "entity_vulnerability_weights", "fallbacks")
+
+
+def weight_rows(documents: DataFrame, value: str = "value") -> DataFrame:
+    """(part, ord, keyword, weight) rows of the three maps of a weight profile, in declared order."""
+    kind = "struct<" + ",".join(f"{p}:map<string,double>" for p in WEIGHT_PARTS) + ">"
+    parsed = documents.select(F.from_json(value, kind).alias("d"))
+    maps = F.array(*[
+        F.struct(F.lit(p).alias("part"), F.map_entries(f"d.{p}").alias("entries")) for p in WEIGHT_PARTS])
+    rows = parsed.select(F.inline(maps)).select("part", F.posexplode("entries").alias("ord", "e"))
+    return rows.select("part", "ord", F.col("e.key").alias("keyword"), F.col("e.value").alias("weight"))
+
+
 def weight_table(spark: SparkSession, path: str) -> DataFrame:
-    """(part, ord, keyword, weight) rows of the three maps of a weight profile, in file order."""
-    parts = ("attack_complexity_weights", "entity_vulnerability_weights", "fallbacks")
-    kind = "struct<" + ",".join(f"{p}:map<string,double>" for p in parts) + ">"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
-    out = None
-    for part in parts:
-        rows = doc.select(F.lit(part).alias("part"), F.posexplode(F.map_entries(f"d.{part}")).alias("ord", "e"))
-        rows = rows.select("part", "ord", F.col("e.key").alias("keyword"), F.col("e.value").alias("weight"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The weight profile file."""
+    return weight_rows(spark.read.text(path, wholetext=True))
 
 
 def term_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
