@@ -104,9 +104,6 @@ def extract(
     def at(path: str) -> Column:
         return F.col(names[path])
 
-    if criteria.record_filter:
-        path, value = criteria.record_filter
-        rows = rows.filter(at(path) == value)
     items = []
     for i, (sub, val) in enumerate(zip(criteria.subtopics, criteria.values)):
         ident = criteria.identifiers[i] if i < len(criteria.identifiers) else None
@@ -117,6 +114,11 @@ def extract(
                 "identifier"),
         ))
     present = F.filter(F.array(*items), lambda m: m["value_str"].isNotNull())
+    if criteria.record_filter:
+        # Part of the generator: a filter of its own would be pushed below the
+        # parse and read every record twice.
+        path, value = criteria.record_filter
+        present = F.when(at(path) == value, present)
     empty = F.lit(None).cast("string")
     lat, long = [at(p) for p in criteria.latlong] if len(criteria.latlong) == 2 else (empty, empty)
     extra = [
@@ -204,7 +206,9 @@ def common_shape(df: DataFrame, record: str) -> DataFrame:
     kind = F.lit("preprocessed")
     for name, marker in reversed(COMMON_MARKERS):
         kind = F.when(F.col(held[marker]).isNotNull(), F.lit(name)).otherwise(kind)
-    rows = rows.filter(F.length(F.coalesce(*[F.col(held[k]) for k in keys])) > 0).withColumn("kind", kind)
+    keyed = F.length(F.coalesce(*[F.col(held[k]) for k in keys])) > 0
+    # As in ``extract``: dropping rows by a generator keeps the single parse.
+    rows = rows.select("*", F.explode(F.when(keyed, F.array(kind))).alias("kind"))
     columns = {}
     for i, out in enumerate(COMMON_NAMES):
         col = F.col(held[COMMON_FIELDS["preprocessed"][i]])
