@@ -301,13 +301,15 @@ def ml_peer_anomaly(t):
 
 @query(
     "ml_trend_lines",
-    f"""SELECT entity, subtopic, round(regr_slope(x, k - 1), 4) AS slope, round(regr_intercept(x, k - 1), 4) AS intercept
+    f"""SELECT entity, subtopic, round(regr_slope(x, k - 1) + 1e-7, 4) AS slope,
+      round(regr_intercept(x, k - 1) + 1e-7, 4) AS intercept
     FROM (SELECT *, row_number() OVER (PARTITION BY entity, subtopic ORDER BY ts, msgid) AS k
       FROM ({SHIPMENT_SQL.format(n=200)})) GROUP BY entity, subtopic""",
 )
 def ml_trend_lines(t):
     out = ml.trend_lines(inputs.shipments(t), 200)
-    return out.select("entity", "subtopic", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return out.select("entity", "subtopic", inputs.settle(F.col("slope"), 4).alias("slope"),
+                      inputs.settle(F.col("intercept"), 4).alias("intercept"))
 
 
 @query(

@@ -176,23 +176,23 @@ def agg_uniquestrcount(t):
 
 @query(
     "agg_avgtimediff",
-    f"""SELECT entity, subtopic, round(avg(epoch_us(ts) - epoch_us(pts)) / 1e6, 4) AS hyperprediction
+    f"""SELECT entity, subtopic, round(avg(epoch_us(ts) - epoch_us(pts)) / 1e6 + 1e-7, 4) AS hyperprediction
     FROM ({WINDOW_SQL}) GROUP BY entity, subtopic""",
 )
 def agg_avgtimediff(t):
     out = stats.window_stats(measurements(t), ["avgtimediff"])
-    return out.select("entity", "subtopic", F.round("avgtimediff", 4).alias("hyperprediction"))
+    return out.select("entity", "subtopic", settle(F.col("avgtimediff"), 4).alias("hyperprediction"))
 
 
 @query(
     "agg_timediff",
     f"""SELECT entity, subtopic, 'timediff' AS preprocesstype,
-      round(avg(epoch_us(ts) - epoch_us(pts)) / 1e6, 4) AS hyperprediction FROM ({WINDOW_SQL}) GROUP BY entity, subtopic""",
+      round(avg(epoch_us(ts) - epoch_us(pts)) / 1e6 + 1e-7, 4) AS hyperprediction FROM ({WINDOW_SQL}) GROUP BY entity, subtopic""",
 )
 def agg_timediff(t):
     """The mean gap as an emitted record."""
     out = stats.preprocess(measurements(t), ["timediff"])
-    return out.withColumn("hyperprediction", F.round("hyperprediction", 4))
+    return out.withColumn("hyperprediction", settle(F.col("hyperprediction"), 4))
 
 
 @query(
