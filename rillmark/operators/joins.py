@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.operators.stats import micros
-from rillmark.operators.windows import first_by, last_n
+from rillmark.operators.windows import first_by, last_n, lookup_join
 
 
 def device_lookup(df: DataFrame, devices: DataFrame, key: str, order: str) -> DataFrame:
     """Add the first matching device row; records without a device are dropped."""
-    return df.join(first_by(devices, [key], [order]).drop(order), key, "inner")
+    return lookup_join(df, first_by(devices, [key], [order]).drop(order), [key])
 
 
 def align_streams(
@@ -102,7 +102,7 @@ def entity_mentions(texts: DataFrame, text: str, entities: DataFrame, entity: st
     pattern = f"{edge}{quoted[0]}(\\w+){quoted[1]}{tail}"
     found = texts.withColumn(
         entity, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))))
-    return found.join(entities.select(F.col(entity).cast("string").alias(entity)).distinct(), entity)
+    return lookup_join(found, entities.select(F.col(entity).cast("string").alias(entity)).distinct(), [entity])
 
 
 def knowledge_match(text: Column, matrix: dict[str, list[str]]) -> Column:

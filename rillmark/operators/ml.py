@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.operators.windows import last_n
+from rillmark.operators.windows import last_n, lookup_join
 from rillmark.session import materialize
 
 # ---- labels -----------------------------------------------------------------
@@ -177,7 +177,7 @@ def predict(
     rows: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], logistic: bool = False
 ) -> DataFrame:
     """Prediction of each row by its entity's model."""
-    joined = rows.join(models.select(*keys, "coefficients"), list(keys))
+    joined = lookup_join(rows, models.select(*keys, "coefficients"), keys)
     score = linear_score(F.col("coefficients"), features)
     value = 1 / (1 + F.exp(-score)) if logistic else score
     return joined.withColumn("prediction", value).drop("coefficients")

@@ -51,6 +51,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return picked.select(*keys, "_first.*").select(*df.columns)
 
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per key, whatever the sizes and the key skew.
+
+    A small lookup is broadcast by Spark's own measure.  A large one that was
+    just aggregated already sits on the join key, which would keep adaptive
+    execution from splitting the rows of a hot key; the rebalance gives the
+    join two plain shuffles again.
+    """
+    return rows.join(lookup.hint("rebalance"), list(keys), how)
+
+
 def prefix_values(
     df: DataFrame,
     keys: Sequence[str],

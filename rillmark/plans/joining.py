@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillmark.operators import joins, scada, windows
-from rillmark.operators import prompts
+from rillmark.operators import joins, ml, prompts, scada, windows
 from rillmark.plans import inputs
 from rillmark.plans.inputs import LINES_SQL, WINDOW_SQL
 from rillmark.plans.registry import query
@@ -180,12 +179,10 @@ def jn_topic_positions(t):
     SELECT l_orderkey, l_linenumber, round(i + s * l_quantity, 3) AS prediction FROM lineitem JOIN m ON entity = l_suppkey""",
 )
 def jn_model_to_entity(t):
-    models = t.lineitem.groupBy(F.col("l_suppkey").alias("entity")).agg(
-        F.regr_slope("l_extendedprice", "l_quantity").alias("s"),
-        F.regr_intercept("l_extendedprice", "l_quantity").alias("i"))
-    rows = t.lineitem.withColumnRenamed("l_suppkey", "entity").join(models, "entity")
-    return rows.select("l_orderkey", "l_linenumber",
-                       F.round(F.col("i") + F.col("s") * F.col("l_quantity"), 3).alias("prediction"))
+    rows = t.lineitem.withColumnRenamed("l_suppkey", "entity")
+    models = ml.fit_linear(rows, ["entity"], "l_extendedprice", ["l_quantity"])
+    out = ml.predict(rows, models, ["entity"], ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rillmark.functions.text import clean_for_ingest, strip
 from rillmark.operators.terms import classify_term_lines
-from rillmark.operators.windows import prefix_values
+from rillmark.operators.windows import lookup_join, prefix_values
 
 DEVICE_SCHEMA = "dsn string, oem string, identifier string, index string, lat string, long string"
 
@@ -132,8 +132,7 @@ def unread_lines(lines: DataFrame, marks: DataFrame) -> DataFrame:
     known = sizes.join(marks, "path", "left").select("path", F.when(
         F.coalesce("lines_read", F.lit(0)) > F.col("_size"), F.lit(0)).otherwise(
         F.coalesce("lines_read", F.lit(0))).alias("_seen"))
-    # One row per file; lines of a file share its mark.
-    return lines.join(known, "path").filter("line_number > _seen").drop("_seen")
+    return lookup_join(lines, known, ["path"]).filter("line_number > _seen").drop("_seen")
 
 
 def line_marks(lines: DataFrame) -> DataFrame:

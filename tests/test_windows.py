@@ -125,6 +125,26 @@ def test_device_lookup_first_match(spark):
     assert rows(joins.device_lookup(readings, devices, "dsn", "ord")) == [("d1", 1, "first"), ("d2", 2, "x")]
 
 
+def test_hot_lookup_key_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id").cast("string")))
+        readings = spark.range(0, 60_000, 1, 16).select("id", key.alias("dsn"))
+        devices = readings.select("dsn", F.col("id").alias("ord"), F.md5("dsn").alias("ident"))
+        out = joins.device_lookup(readings, devices, "dsn", "ord")
+        assert len(out.collect()) == 60_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_page(spark):
     out = windows.page(spark.range(100), [F.desc("id")], 30, 4)
     assert rows(out) == [(i,) for i in range(10)]
