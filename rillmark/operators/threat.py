@@ -272,7 +272,9 @@ def pattern_score(tactic: Column, technique: Column, entity: Column, weights: We
 def distribution(df: DataFrame, category: str) -> DataFrame:
     """Share of every category, rounded to 4 places."""
     counts = df.groupBy(category).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    # The total reads the same counts, whose shuffle is reused: the rows are
+    # made once.
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
     return counts.select(category, F.bround(F.col("_n") / total, 4).alias("share"))
 
 

@@ -53,6 +53,9 @@ _URL = rf"{_B}(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{{2,}}{_E}"
 _BOX = r"(?i)^(Router|Switch|Firewall|Core-SW|Edge|Gateway|LoadBalancer)-\S+"
 
 
+_PAGE_SQL = "SELECT page_id AS doc_id, 1 AS line_number, regexp_replace(html, '[<>]', ' ', 'g') AS line FROM pages"
+
+
 def _entity_sql(lines: str) -> str:
     return rf"""WITH l AS ({lines}),
     tok AS (SELECT doc_id, line_number, unnest(t) AS raw, generate_subscripts(t, 1) AS i
@@ -82,8 +85,7 @@ def txt_line_entities(t):
 
 @query(
     "txt_page_entities",
-    _entity_sql("SELECT page_id AS doc_id, 1 AS line_number, regexp_replace(html, '[<>]', ' ', 'g') AS line FROM pages")
-    + " SELECT doc_id, entity, category FROM ent",
+    _entity_sql(_PAGE_SQL) + " SELECT doc_id, entity, category FROM ent",
 )
 def txt_page_entities(t):
     from rillmark.functions.text import strip
@@ -151,7 +153,6 @@ def _elements_sql(lines: str) -> str:
 
 
 _DOC_EL = _elements_sql(LINES_SQL)
-_TALK_SQL = """SELECT conv_id AS doc_id, turn AS line_number, text AS line FROM conversations"""
 _SCORE_SQL = """round_even(sqrt(CASE WHEN contains(lower(tactic), 'credential') OR contains(lower(technique), 'credential')
     THEN 8.0 WHEN contains(lower(technique), 'unsecured') THEN 2.0 WHEN contains(lower(technique), 'isolation') THEN 6.5
     WHEN contains(lower(tactic), 'discovery') OR contains(lower(technique), 'discovery') THEN 3.0 ELSE 5.0 END::DOUBLE *
@@ -165,9 +166,10 @@ def document_elements(t):
     return threat.unique_elements(found, "doc_id", "line_number")
 
 
-def talk_elements(t):
-    lines = t.conversations.select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_number"), F.col("text").alias("line"))
+def page_elements(t):
+    """Elements of the pages, whose categories serve as the stored baseline."""
+    lines = spread(t.pages.select("page_id", "html")).select(
+        F.col("page_id").alias("doc_id"), F.lit(1).alias("line_number"), F.regexp_replace("html", "[<>]", " ").alias("line"))
     found = threat.elements(lines, "line", rules(), ["doc_id", "line_number"])
     return threat.unique_elements(found, "doc_id", "line_number")
 
@@ -253,10 +255,10 @@ def agg_category_distribution(t):
 
 
 def _drift_sql(target: str) -> str:
-    talk = _elements_sql(_TALK_SQL).removeprefix("WITH ")
+    pages = _elements_sql(_PAGE_SQL).removeprefix("WITH ")
     return f"""WITH cur AS ({_DOC_EL} SELECT event_type, round_even(count(*) / (SELECT count(*) FROM un), 4) AS a
       FROM un GROUP BY event_type),
-    base AS (WITH {talk} SELECT event_type, round_even(count(*) / (SELECT count(*) FROM un), 4) AS b
+    base AS (WITH {pages} SELECT event_type, round_even(count(*) / (SELECT count(*) FROM un), 4) AS b
       FROM un GROUP BY event_type),
     {target} AS (SELECT event_type, round_even((ga - gb) * ln(ga / gb), 4) AS drift FROM (SELECT event_type,
       greatest(coalesce(a, 0.0001), 0.0001) AS ga, greatest(coalesce(b, 0.0001), 0.0001) AS gb
@@ -266,7 +268,7 @@ def _drift_sql(target: str) -> str:
 @query("agg_stability_index", _drift_sql("d") + " SELECT event_type, drift FROM d")
 def agg_stability_index(t):
     current = threat.distribution(document_elements(t), "event_type")
-    baseline = threat.distribution(talk_elements(t), "event_type")
+    baseline = threat.distribution(page_elements(t), "event_type")
     return threat.stability_index(baseline, current, "event_type")
 
 
@@ -277,7 +279,7 @@ def agg_stability_index(t):
 )
 def jn_drift_to_rows(t):
     found = materialize(document_elements(t), "elements")
-    baseline = threat.distribution(talk_elements(t), "event_type")
+    baseline = threat.distribution(page_elements(t), "event_type")
     drift = threat.stability_index(baseline, threat.distribution(found, "event_type"), "event_type")
     return threat.with_drift(found, drift, "event_type").select("doc_id", "line_number", "drift")
 
@@ -325,7 +327,7 @@ def txt_raw_score(t):
 )
 def threat_scores(t):
     """The whole scoring of one batch of files against a stored baseline."""
-    baseline = threat.distribution(talk_elements(t), "event_type")
+    baseline = threat.distribution(page_elements(t), "event_type")
     out = threat.score_batch(document_elements(t), threat.Weights.from_profile(PROFILE), baseline)
     return out.select("doc_id", "line_number", "event_type", "entity", "pattern_score", "drift", "raw_score",
                       "normalised_score")
