@@ -202,7 +202,8 @@ def elements(df: DataFrame, line: str, rules: Sequence[Rule], keep: Sequence[str
     settled = F.when(F.col("_rule") == _TEXT_LINE, F.transform(
         F.array_compact(F.array(line_entity(text))), lambda h: kind(F.lit(_TEXT_LINE), h)))
     if silent:
-        settled = settled.when(F.col("_rule").isin(silent), F.array().cast("array<struct<kind:int,hit:struct<entity:string,category:string>>>"))
+        none = F.array().cast("array<struct<kind:int,hit:struct<entity:string,category:string>>>")
+        settled = settled.when(F.col("_rule").isin(silent), none)
     settled = settled.otherwise(F.array(kind(F.col("_rule"), nothing)))
     found = rows.select(*keep, "_line", F.explode(settled).alias("_s")).select(
         *keep, "_line", F.col("_s.kind").alias("_kind"), "_s.hit.entity", "_s.hit.category")

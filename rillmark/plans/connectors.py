@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillmark.functions.jsonpath import json_get
-
 from rillmark.operators import ml, scada, threat
 from rillmark.plans import inputs
 from rillmark.plans.extraction import derived

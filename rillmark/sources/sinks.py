@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions.jsonpath import is_json_object
+from rillmark.session import materialize
 
 
 def topic_records(
@@ -34,9 +35,11 @@ def append_topic(df: DataFrame, path: str) -> None:
 def fan_out(df: DataFrame, targets: dict[str, Callable[[DataFrame], None]]) -> DataFrame:
     """Write one result to several targets; a failing target does not stop the others.
 
-    Returns (target, status, message).
+    The result is stored once, so every target gets the same rows without
+    computing them again.  Returns (target, status, message).
     """
     spark = df.sparkSession
+    df = materialize(df, "fan-out")
     rows = []
     for name, write in targets.items():
         try:
