@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillmark.llm.decontaminate import contained
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
 from rillmark.llm.storage import prepare
@@ -35,6 +36,26 @@ def _near_duplicates(read):
     return jaccard_classes(read("documents"))
 
 
+DECONTAMINATION_SQL = r"""
+WITH w AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') FROM benchmark
+), runs AS (
+    SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS run
+    FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), items AS (SELECT id AS item_id, run, count(*) OVER (PARTITION BY id) AS n_runs FROM runs WHERE kind = 'i')
+SELECT id AS doc_id, item_id, n_runs, count(*) AS n_held
+FROM runs JOIN items USING (run) WHERE kind = 'd'
+GROUP BY ALL HAVING 100 * count(*) >= 75 * n_runs
+"""
+
+
+@query("op5_benchmark_decontamination", DECONTAMINATION_SQL)
+def _decontamination(read):
+    return contained(read("documents"), read("benchmark"))
+
+
 @query("op8_quality_rules")
 def _quality(read):
     return judge(read("documents"))
