@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rillmark.llm.decontaminate import contained
+from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
 from rillmark.llm.storage import prepare
+from rillmark.llm.token_files import encoded
+
+# Folder of the public vocabulary files, and the one that the token files use.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file lies on every machine."""
+    return os.path.join(TOKENIZERS, name)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of ``read``, which opens a table by name."""
 
@@ -56,6 +68,16 @@ def _decontamination(read):
     return contained(read("documents"), read("benchmark"))
 
 
+@query("op6_mixing")
+def _mixing(read):
+    return mix(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_token_files")
+def _token_files(read):
+    return encoded(read("documents"), tokenizer_path(VOCABULARY))
+
+
 @query("op8_quality_rules")
 def _quality(read):
     return judge(read("documents"))
