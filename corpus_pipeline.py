@@ -1,4 +1,8 @@
-"""A training-data pipeline: each stage works on all documents that its predecessor kept."""
+"""A training-data pipeline: each stage works on all documents that its predecessor kept.
+
+Columns beyond ``doc_id``, ``text``, ``lang``, ``source`` pass through all stages but the last.  A row with a null
+``doc_id`` cannot be named by a verdict: it passes the filters, and the mix leaves it out.
+"""
 
 from __future__ import annotations
 
@@ -10,33 +14,32 @@ from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
 from rillmark.llm.queries import VOCABULARY, tokenizer_path
-from rillmark.llm.storage import materialize, prepare
+from rillmark.llm.storage import materialize, measured, prepare
 from rillmark.llm.token_files import encoded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the robust distance keep."""
-    verdict = judge(docs).filter("kept").select("doc_id")
-    return docs.join(verdict.distinct(), "doc_id", "left_semi")
+    """Documents but those that the rules or the robust distance reject."""
+    rejected = materialize(judge(docs).filter("NOT kept").select("doc_id").distinct(), "rejected")
+    return docs.join(measured(rejected), "doc_id", "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    classes = jaccard_classes(docs)
-    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    later = jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(measured(materialize(later, "later")), "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     held = contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+    return docs.join(measured(materialize(held, "held")), "doc_id", "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document taken twice is two rows."""
-    copies = mix(docs).filter("copies > 0").select("doc_id", "copies").distinct()
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    copies = materialize(mix(docs).filter("copies > 0").select("doc_id", "copies").distinct(), "copies")
+    return docs.join(measured(copies), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
