@@ -11,8 +11,10 @@ from rillmark.llm.decontaminate import contained
 from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
+from rillmark.llm.secrets import digest, find_secrets
 from rillmark.llm.storage import prepare
 from rillmark.llm.token_files import encoded
+from rillmark.llm.url_filters import judge_urls
 
 # Folder of the public vocabulary files, and the one that the token files use.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -43,6 +45,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_secret_scans")
+def _secrets(read):
+    return digest(find_secrets(read("documents")))
+
+
 @query("op3_ngram_jaccard_join")
 def _near_duplicates(read):
     return jaccard_classes(read("documents"))
@@ -81,3 +88,8 @@ def _token_files(read):
 @query("op8_quality_rules")
 def _quality(read):
     return judge(read("documents"))
+
+
+@query("op10_url_filters")
+def _urls(read):
+    return judge_urls(read("pages"))

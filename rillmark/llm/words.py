@@ -120,3 +120,32 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
     one = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     two = mix(own + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
     return int(mix(one.reshape(1))[0].view(np.int64)), int(two.view(np.int64))
+
+
+def segment_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of many segments at once: (segment, hash), sorted by both."""
+    starts, _, first = word_bounds(flat, offsets)
+    hashes = word_hashes(flat, starts)
+    count = np.diff(first)
+    of_word = np.repeat(np.arange(len(count)), count)
+    runs = sequence_hash(hashes, width)
+    whole = np.flatnonzero(np.arange(len(runs)) + width <= first[1:][of_word[: len(runs)]])
+    segment, found = [of_word[whole]], [runs[whole]]
+    for size in range(1, width):
+        short = np.flatnonzero(count == size)
+        if len(short):
+            segment.append(short)
+            found.append(sequence_hash(hashes, size)[first[:-1][short]])
+    segment, found = np.concatenate(segment), np.concatenate(found)
+    order = np.lexsort((found, segment))
+    segment, found = segment[order], found[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (segment[1:] != segment[:-1]) | (found[1:] != found[:-1])
+    return segment[fresh], found[fresh]
+
+
+def segment_fingerprints(begin: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``fingerprint`` of every non-empty segment, given where its hashes begin."""
+    one = np.add.reduceat(mix(found ^ np.uint64(0x5851F42D4C957F2D)), begin)
+    two = np.add.reduceat(mix(found + np.uint64(0x14057B7EF767814F)), begin)
+    return mix(one).view(np.int64), two.view(np.int64)
