@@ -90,7 +90,7 @@ def _whole_sets(width: int):
 
 
 @pandas_udf(LongType())
-def _overlap(one: pd.Series, two: pd.Series) -> pd.Series:
+def overlap(one: pd.Series, two: pd.Series) -> pd.Series:
     """Entries of the product of two incidence rows."""
     out = []
     for x, y in zip(one, two):
@@ -111,7 +111,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     sets = materialize(texts.mapInArrow(_whole_sets(width), "id long, own binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    both = both.withColumn("overlap", _overlap("x", "y"))
+    both = both.withColumn("overlap", overlap("x", "y"))
     return both.filter(f"{100 + percent} * overlap >= {percent} * (na + nb)").select("a", "b")
 
 

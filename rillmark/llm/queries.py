@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillmark.llm.decontaminate import contained
+from rillmark.llm.lines import repeated_lines
 from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
@@ -90,6 +92,17 @@ def _quality(read):
     return judge(read("documents"))
 
 
+@query("op9_line_dedup")
+def _lines(read):
+    docs = read("documents")
+    removed = repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    found = docs.select("doc_id").join(removed, "doc_id", "left")
+    numbers = F.transform("removed", lambda n: n.cast("string"))
+    return found.select(
+        "doc_id", F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(numbers, ","), F.lit("")).alias("removed_lines"))
+
+
 @query("op10_url_filters")
 def _urls(read):
     return judge_urls(read("pages"))

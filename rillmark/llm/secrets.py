@@ -76,7 +76,8 @@ def digest(found: DataFrame) -> DataFrame:
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     kinds = [r.kind for r in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
     return found.select(
         "doc_id", *counts, F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", name), ",").alias("spans"))
