@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm.decontaminate import contained
+from rillmark.llm.language_model import score
+from rillmark.llm.licences import scan_licences
 from rillmark.llm.lines import repeated_lines
 from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
@@ -47,6 +49,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_lm_scoring")
+def _language_models(read):
+    good = read("labels").filter("quality = 1 AND NOT toxic <=> 1").select("doc_id")
+    return score(read("documents"), good)
+
+
 @query("op2_secret_scans")
 def _secrets(read):
     return digest(find_secrets(read("documents")))
@@ -57,6 +65,14 @@ def _near_duplicates(read):
     return jaccard_classes(read("documents"))
 
 
+@query("op4_license_scans")
+def _licences(read):
+    found = scan_licences(read("documents"))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("found.family"))), ",").alias("families"))
+
+
 DECONTAMINATION_SQL = r"""
 WITH w AS (
     SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
