@@ -81,7 +81,10 @@ def _cells(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
                 if len(frequent):  # frequent hashes last, by rank
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     late = np.where(frequent[at] == own, rank[at] + 1, 0)
-                    own = own[np.lexsort((own, late, line))]
+                    moved = np.zeros(len(first), bool)
+                    moved[line[late > 0]] = True
+                    moved = np.flatnonzero(moved[line])
+                    own[moved] = own[moved][np.lexsort((own[moved], late[moved], line[moved]))]
                 length = np.minimum(size, size - -(-percent * size // 100) + S.shared(size))
                 begins = np.cumsum(size) - size
                 pick = np.arange(len(own)) - np.repeat(begins, size) < np.repeat(length, size)
@@ -145,8 +148,10 @@ def repeated_lines(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     signed = materialize(docs.mapInArrow(_signatures(words), schema), "line-signatures")
     frequent, rank = S.frequent_hashes(signed.filter("h IS NOT NULL").select("h", "df"))
     lines = signed.filter("n IS NOT NULL").select(F.struct("d", "l").alias("id"), "n", "f1", "f2")
-    firsts = materialize(lines.groupBy("f1", "f2", "n").agg(F.min("id").alias("id")), "first-lines")
-    copies = lines.join(firsts.withColumnRenamed("id", "first"), ["f1", "f2", "n"]).filter("id <> first").select("id")
+    firsts = lines.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    firsts = materialize(firsts, "first-lines")
+    repeated = materialize(firsts.filter("id <> last").select("f1", "f2", "n", F.col("id").alias("first")), "repeated-lines")
+    copies = lines.join(measured(repeated), ["f1", "f2", "n"]).filter("id <> first").select("id")
 
     cells = materialize(S.columns(docs.mapInArrow(_cells(words, percent, frequent, rank), "h long, c long, n int")), "line-cells")
     listed = S.lists(cells, percent).join(firsts.select(F.col("f1").alias("c"), "n", "id"), ["c", "n"])

@@ -69,11 +69,13 @@ def frequent_hashes(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def columns(rows: DataFrame) -> DataFrame:
     """Incidence columns of two sets or more: rows (``h``, ``c``, ``n``) with their frequency ``df``.
 
-    ``rows`` may repeat.  One exchange by ``h`` serves the removal of repeats and the count.
+    ``rows`` may repeat.  One exchange by ``h`` serves all of it; repeats are removed from the
+    few columns that are left.
     """
     by = Window.partitionBy("h")
-    cells = rows.repartition("h").dropDuplicates(["h", "c", "n"])
-    return cells.withColumn("df", F.count("*").over(by)).filter("df > 1")
+    cells = rows.repartition("h").withColumn("low", F.min("c").over(by)).withColumn("high", F.max("c").over(by))
+    cells = cells.filter("low <> high").select("h", "c", "n").dropDuplicates(["h", "c", "n"])
+    return cells.withColumn("df", F.count("*").over(by))
 
 
 def lists(cells: DataFrame, percent: int) -> DataFrame:

@@ -137,7 +137,9 @@ def segment_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
             segment.append(short)
             found.append(sequence_hash(hashes, size)[first[:-1][short]])
     segment, found = np.concatenate(segment), np.concatenate(found)
-    order = np.lexsort((found, segment))
+    order = np.argsort(found)
+    narrow = np.uint16 if len(count) <= 1 << 16 else np.int64
+    order = order[np.argsort(segment[order].astype(narrow), kind="stable")]
     segment, found = segment[order], found[order]
     fresh = np.ones(len(found), bool)
     fresh[1:] = (segment[1:] != segment[:-1]) | (found[1:] != found[:-1])
