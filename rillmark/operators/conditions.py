@@ -166,6 +166,7 @@ def apply_conditions(
     counts; any other field condition filters the rows themselves.
     """
     having: list[Column] = []
+    labels: list[str] = []
     aggregates: list[Column] = []
     row_tests: list[Column] = []
     terms = list(spec.terms)
@@ -194,6 +195,9 @@ def apply_conditions(
         else:
             value = {"sum": F.sum(number), "avg": F.avg(number), "count": F.count("*")}[term.name]
         label = f"{'timediff' if timed else term.name}_value"
+        if label in labels:  # a further test of the same kind
+            label = f"{label}_{len(labels) + 1}"
+        labels.append(label)
         aggregates.append(value.alias(label))
         having.append(_OPS[term.op](F.col(label), float(term.values[0])))
     for test in row_tests:

@@ -51,13 +51,15 @@ def training_matrix(
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_seconds: int, out: str
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_seconds: int, out: str,
+    tie: str | None = None,
 ) -> DataFrame:
     """Latest right value at or before each left row, at most ``tolerance`` old.
 
     Rows are cut into time buckets as wide as the tolerance; a right row is
     placed in its own and the next bucket, so a partner is always in the left
-    row's bucket and a hot key is split over time.
+    row's bucket and a hot key is split over time.  Of right rows with equal
+    stamps the one with the largest ``tie`` counts, by default the value itself.
     """
     width = tolerance_seconds * 1_000_000
 
@@ -69,9 +71,9 @@ def asof_join(
     own = F.floor(F.col("_us") / width)
     rights = side(right, 0).select(
         *keys, "_us", "_side", F.explode(F.array(own, own + 1)).alias("_bucket"),
-        F.col(value).alias("_rv"), F.col("_us").alias("_rus"))
+        F.col(value).alias("_rv"), F.col("_us").alias("_rus"), F.col(tie or value).alias("_tie"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_us", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_side") == 0, F.struct("_rus", "_rv")), ignorenulls=True).over(w)
     found = both.withColumn("_last", last).filter(F.col("_side") == 1)
     fresh = F.col("_us") - F.col("_last._rus") <= width

@@ -303,11 +303,10 @@ def cumulative_share(df: DataFrame, value: str) -> DataFrame:
         counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()), "ranged")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
-    # One row per shuffle partition.
     carried = totals.select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
     whole = ranged.agg(F.sum("_n").alias("n")).scalar()
     inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.withColumn("_run", F.sum("_n").over(inside)).join(F.broadcast(carried), "_part")
+    run = ranged.withColumn("_run", F.sum("_n").over(inside)).join(carried, "_part")
     upto = F.col("_run") + F.col("_carry")
     return run.select(
         value, F.col("_n").alias("rows"), ((upto - F.col("_n")) / whole).alias("below"), (upto / whole).alias("upto"))

@@ -161,7 +161,7 @@ def preprocess(
 ) -> DataFrame:
     """One preprocessed record per (entity, subtopic, type)."""
     wide = window_stats(measurements, types, maxrows, now)
-    return wide.unpivot(list(KEYS), list(types), "preprocesstype", "hyperprediction")
+    return wide.unpivot(list(KEYS), [F.col(f"`{t}`") for t in types], "preprocesstype", "hyperprediction")
 
 
 def per_stream_stats(measurements: DataFrame, streams: dict[str, str], maxrows: int = 800) -> DataFrame:

@@ -279,6 +279,11 @@ def distribution(df: DataFrame, category: str) -> DataFrame:
     return counts.select(category, F.bround(F.col("_n") / total, 4).alias("share"))
 
 
+def ranked_distribution(df: DataFrame, category: str) -> DataFrame:
+    """Shares of all categories, the largest first; equal ones by name.  One row per category is ordered."""
+    return distribution(df, category).orderBy(F.col("share").desc(), category)
+
+
 def stability_index(baseline: DataFrame, current: DataFrame, category: str) -> DataFrame:
     """Drift ``(a - b) ln(a / b)`` per category over the union of categories."""
     old = baseline.select(category, F.col("share").alias("_b"))
@@ -293,8 +298,7 @@ def with_drift(df: DataFrame, drift: DataFrame | None, category: str) -> DataFra
     """Drift of each row's category; 0.2979 on a cold start or when unknown."""
     if drift is None:
         return df.withColumn("drift", F.lit(COLD_START_DRIFT))
-    # One row per event type: rule names plus a handful of built-in categories.
-    joined = df.join(F.broadcast(drift), category, "left")
+    joined = df.join(drift, category, "left")
     return joined.withColumn("drift", F.coalesce("drift", F.lit(COLD_START_DRIFT)))
 
 

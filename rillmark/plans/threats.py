@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.jsonpath import is_json_object
@@ -254,6 +255,16 @@ def agg_category_distribution(t):
     return threat.distribution(document_elements(t), "event_type")
 
 
+@query(
+    "srt_category_distribution",
+    _DOC_EL + """ SELECT event_type, share, row_number() OVER (ORDER BY share DESC, event_type) AS place
+    FROM (SELECT event_type, round_even(count(*) / (SELECT count(*) FROM un), 4) AS share FROM un GROUP BY event_type)""",
+)
+def srt_category_distribution(t):
+    ranked = threat.ranked_distribution(document_elements(t), "event_type")
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.col("share").desc(), "event_type")))
+
+
 def _drift_sql(target: str) -> str:
     pages = _elements_sql(_PAGE_SQL).removeprefix("WITH ")
     return f"""WITH cur AS ({_DOC_EL} SELECT event_type, round_even(count(*) / (SELECT count(*) FROM un), 4) AS a

@@ -46,7 +46,7 @@ def fan_out(df: DataFrame, targets: dict[str, Callable[[DataFrame], None]]) -> D
             write(df)
             rows.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001 - the status table reports it
-            rows.append((name, "failed", f"{type(e).__name__}: {str(e)[:200]}"))
+            rows.append((name, "failed", f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, "target string, status string, message string")
 
 
