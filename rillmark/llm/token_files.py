@@ -27,7 +27,7 @@ from rillmark.llm.words import chunks, word_bounds
 
 END_ID = 1
 # Texts are cut into pieces that the tokenizer treats alike wherever they stand; a worker remembers this many.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 # Letters below U+0250, but for the one whose small form is two characters.
 _LATIN = re.compile("[a-zA-Z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
