@@ -10,6 +10,7 @@ File format: Parquet rows, one per block of whole documents in ascending order o
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from rillmark.llm.words import chunks, word_bounds
 
 END_ID = 1
 # Texts are cut into pieces that the tokenizer treats alike wherever they stand; a worker remembers this many.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 # Letters below U+0250, but for the one whose small form is two characters.
 _LATIN = re.compile("[a-zA-Z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
@@ -54,6 +55,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker per core; further threads would only hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,9 +82,11 @@ class Encoder:
                 continue
             ids.append([t.id for t in self.model.tokenize(word)])
         if rest:
-            whole = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
-            for (k, _), e in zip(rest, whole):
-                ids[k] = e.ids
+            for at in range(0, len(rest), 500):  # a few at a time: the library's results are large
+                some = rest[at : at + 500]
+                whole = self.tokenizer.encode_batch_fast([text for _, text in some], add_special_tokens=False)
+                for (k, _), e in zip(some, whole):
+                    ids[k] = e.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
