@@ -88,23 +88,47 @@ def simulation_bias(
     return joined.withColumn("bias", F.col("simulated") - F.col("measured"))
 
 
+HEAD_WORDS = 4
+
+
+def _quoted(text: str) -> str:
+    """A pattern for the text itself."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def entity_mentions(texts: DataFrame, text: str, entities: DataFrame, entity: str, term: str) -> DataFrame:
     """Texts holding ``term`` with ``--entity--`` replaced by a known entity.
 
-    The entity stands as a whole word.  The words at the placeholder are taken
-    from the text and matched by equality, so neither side is paired with all
-    of the other and both may be large.
+    Entities may hold any characters and mentions may overlap; at an end of
+    the term the entity does not go on as a word.  Every place where an entity
+    can begin gives its first words, up to ``HEAD_WORDS`` of them, as keys.  An
+    entity is looked up by as many whole words as it surely begins with, by its
+    first character if there are none, and only such candidates are compared
+    in full.  Empty and null entities match nothing.
     """
     before, mark, after = term.partition("--entity--")
     if not mark:
         raise ValueError("the term needs --entity--")
-    quoted = [f"\\Q{p}\\E" if p else "" for p in (before, after)]
-    edge = r"(?U)(?<![\w])" if not before else "(?U)"
-    tail = r"(?![\w])" if not after else ""
-    pattern = f"{edge}{quoted[0]}(\\w+){quoted[1]}{tail}"
-    found = texts.withColumn(
-        entity, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))))
-    return lookup_join(found, entities.select(F.col(entity).cast("string").alias(entity)).distinct(), [entity])
+    start = f"(?<={_quoted(before)})" if before else r"(?<!\w)"
+    runs = [rf"\W*+\w++(?:\W++\w++){{{n - 1}}}" for n in range(HEAD_WORDS, 0, -1)]
+
+    names = entities.select(F.col(entity).cast("string").alias(entity)).filter(F.col(entity) != "").distinct()
+    closed = F.concat(entity, F.lit(after or " "))
+    heads = [F.nullif(F.regexp_extract(closed, rf"(?U)^({run})(?=\W)", 1), F.lit("")) for run in runs]
+    first = F.concat(F.lit("character "), F.substring(entity, 1, 1))
+    names = names.withColumn("_key", F.coalesce(*[F.concat(F.lit("words "), h) for h in heads], first))
+
+    def keys(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(f"(?sU){start}(?=({pattern}))"), F.lit(1))
+        return F.transform(F.array_distinct(found), lambda k: F.concat(F.lit(kind), k))
+
+    places = F.flatten(F.array(*[keys("words ", run) for run in runs], keys("character ", ".")))
+    rows = texts.withColumn("_key", F.explode(F.array_distinct(places)))
+    # A quotation inside the pattern must not end at characters of the entity.
+    inner = F.concat(F.lit(r"\Q"), F.replace(entity, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    end = F.lit(_quoted(after) if after else r"(?!\w)")
+    pattern = F.concat(F.lit(f"(?sU){start}"), inner, end)
+    return lookup_join(rows, names, ["_key"]).filter(F.rlike(F.col(text), pattern)).select(*texts.columns, entity)
 
 
 def knowledge_match(text: Column, matrix: dict[str, list[str]]) -> Column:

@@ -68,15 +68,16 @@ def jn_asof(t):
 
 @query(
     "jn_entity_mentions",
-    f"""WITH w AS (SELECT DISTINCT doc_id, line_number, unnest(regexp_extract_all(line, 'the (\\pL+) ', 1)) AS word
-      FROM ({LINES_SQL}))
-    SELECT doc_id, line_number, word FROM w
-    WHERE word IN (SELECT DISTINCT string_split(text, ' ')[1] FROM conversations)""",
+    f"""WITH e AS (SELECT DISTINCT unnest([regexp_extract(text, '^[^ ]+'), regexp_extract(text, '^[^ ]+ [^ ]+')]) AS word
+      FROM conversations)
+    SELECT doc_id, line_number, word FROM ({LINES_SQL}), e
+    WHERE word <> '' AND contains(line, ' ' || word || ' ')""",
 )
 def jn_entity_mentions(t):
-    """Lines holding "the <entity> " for an entity seen in the other stream."""
-    entities = t.conversations.select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    out = joins.entity_mentions(inputs.document_lines(t), "line", entities, "word", "the --entity-- ")
+    """Lines holding " <entity> " for a word or a pair of words that the other stream begins with."""
+    heads = F.array(F.regexp_extract("text", "^[^ ]+", 0), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0))
+    entities = t.conversations.select(F.explode(heads).alias("word"))
+    out = joins.entity_mentions(inputs.document_lines(t), "line", entities, "word", " --entity-- ")
     return out.select("doc_id", "line_number", "word")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -105,6 +106,30 @@ def test_entity_mentions_need_whole_words(spark):
     assert rows(out.select("id", "name")) == [(1, "bob"), (4, "al")]
 
 
+def test_entity_mentions_of_any_text(spark):
+    names = ["Router-1", "10.0.0.5", "10.0.0.50", "New York", "bob", "a", "--", "x", "\\E+", "one two three four five", None, ""]
+    cases = {
+        "from --entity-- denied": ["from Router-1 denied", "from 10.0.0.5 denied", "from New York denied", "from -- denied",
+                                   "from \\E+ denied", "from one two three four five denied", "from  denied", None],
+        "x --entity-- x": ["x a x bob x x x", "xx a xx"],
+        "id=--entity--": ["id=10.0.0.50, id=New Yorker", "id=--bob", "id=bobid=a"],
+        "--entity--:": ["10.0.0.5: Router-1:", "bbob: New York:", "one two three four five:"],
+        "--entity--": ["x New York, bobby 10.0.0.5", "bob--"],
+    }
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    for term, texts in cases.items():
+        before, after = term.split("--entity--")
+        want = []
+        for k, text in enumerate(texts):
+            for name in filter(None, names):
+                edges = "" if before else r"(?<!\w)", "" if after else r"(?!\w)"
+                if text and re.search(edges[0] + re.escape(before + name + after) + edges[1], text):
+                    want.append((k, name))
+        df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        got = joins.entity_mentions(df, "text", known, "name", term)
+        assert rows(got.select("id", "name")) == sorted(want), term
+
+
 def test_knowledge_match_cases(spark):
     matrix = {"Initial Access": ["Valid Accounts", "Phishing"], "Impact": ["Data Destruction"], "Other": ["Phishing"]}
     texts = ["Initial Access by Valid Accounts", "Impact alone", "Phishing seen", "nothing",
