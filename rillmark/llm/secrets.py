@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,15 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
-_scanners: dict[tuple[Rule, ...], Scanner] = {}
+@functools.cache
+def _scanner(rules: tuple[Rule, ...]) -> Scanner:
+    """The automaton of a worker, which serves all its tasks."""
+    return Scanner(rules)
 
 
 def _scan(rules: tuple[Rule, ...]):
     def run(batches):
-        scanner = _scanners.get(rules) or _scanners.setdefault(rules, Scanner(rules))
+        scanner = _scanner(rules)
         for batch in batches:
             flat, offsets = text_buffer(batch.column("text"))
             spans = []

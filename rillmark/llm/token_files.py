@@ -10,6 +10,7 @@ File format: Parquet rows, one per block of whole documents in ascending order o
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ from rillmark.llm.words import chunks, word_bounds
 
 END_ID = 1
 # Texts are cut into pieces that the tokenizer treats alike wherever they stand; a worker remembers this many.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 # Letters below U+0250, but for the one whose small form is two characters.
 _LATIN = re.compile("[a-zA-Z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
@@ -120,14 +121,17 @@ class Encoder:
         return ids, np.diff(ends[last], prepend=0)
 
 
-_encoders: dict[str, Encoder] = {}
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker, which serves all its tasks."""
+    return Encoder(path)
 
 
 def _encode(path: str):
     """Blocks of a range of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoder(path)  # a function of this module: a dictionary would be copied into every task
         part, block = TaskContext.get().partitionId(), 0
         for batch in batches:
             docs = batch.column("doc_id").cast(pa.int64())
