@@ -35,7 +35,8 @@ REMEMBERED = 600_000
 _LATIN = re.compile("[a-zA-Z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
 # Byte-level vocabularies name a byte by its own character where that is printable, else by one from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_NAME = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)].__getitem__
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -72,16 +73,15 @@ class Encoder:
     def _learn(self, pieces: list[bytes]) -> None:
         ids: list = []
         rest = []
+        tokenize = self.model.tokenize
         for piece in pieces:
             if piece.isalpha():  # ASCII letters
-                word = piece.lower().decode()
+                ids.append([t.id for t in tokenize(piece.lower().decode())])
             elif _LATIN(text := piece.decode("utf-8", "replace")):
-                word = text.lower().encode().decode("latin-1").translate(_BYTE_NAMES)
+                ids.append([t.id for t in tokenize("".join(map(_BYTE_NAME, text.lower().encode())))])
             else:
                 rest.append((len(ids), text))
                 ids.append(None)
-                continue
-            ids.append([t.id for t in self.model.tokenize(word)])
         if rest:
             for at in range(0, len(rest), 500):  # a few at a time: the library's results are large
                 some = rest[at : at + 500]
@@ -98,8 +98,9 @@ class Encoder:
         """Ids of all rows with their end ids, and the number of ids of each row."""
         if b"<|" not in flat.tobytes():
             flat = _FOLD[flat]
-        cut = np.flatnonzero(_LETTER[flat[:-1]] & _STOP[flat[1:]]) + 1
-        cut = np.union1d(cut, offsets[1:-1])  # pieces end with their row, too
+        ends = _LETTER[flat[:-1]] & _STOP[flat[1:]]
+        ends[offsets[(offsets > 0) & (offsets < len(flat))] - 1] = True  # pieces end with their row, too
+        cut = np.flatnonzero(ends) + 1
         text = np.insert(flat, cut, 32)
         at = offsets + np.searchsorted(cut, offsets, "right")
         at[-1] = len(text)
