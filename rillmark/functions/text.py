@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,6 +77,21 @@ def java_regex(pattern: str) -> str:
     return re.sub(r"\(\?P<\w+>", "(", out).replace(r"\Z", r"\z")
 
 
+@functools.lru_cache(10_000)
+def pattern_fault(pattern: str) -> str | None:
+    """Why a pattern cannot be used, else None; asked of both engines that see it."""
+    try:
+        java = "(?U)" + java_regex(pattern)
+    except re.error as fault:
+        return str(fault)
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    try:
+        spark.sql("SELECT '' RLIKE :pattern AS hit", args={"pattern": java}).first()
+    except PySparkException as fault:
+        return str(fault).splitlines()[0]
+    return None
+
+
 def tilde_head(identifier: Column) -> Column:
     """First part of a ``~``-joined identifier: the variable."""
     return F.element_at(F.split(identifier, "~"), 1)

@@ -12,39 +12,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.operators.terms import TermGroup, term_masks
+from rillmark.operators.terms import TermGroup, term_keys
 from rillmark.operators.windows import last_n
 
 LOW_BELOW, MEDIUM_BELOW = 0.4, 0.7
 
 
 def window_hits(texts: DataFrame, text: str, groups: Sequence[TermGroup]) -> DataFrame:
-    """One row per (entity, window): the terms seen, as bit masks.
+    """One row per (entity, window) with the keys of the terms seen (see ``terms.term_keys``).
 
-    The masks combine before the shuffle, so a busy entity sends one row per
-    task and window.
+    Keys are collected as sets before the shuffle, so a busy entity sends one
+    row per task and window.
     """
-    masks = term_masks(F.col(text), groups, F.col("entity"))
-    marked = texts.select("entity", "window", *[m.alias(f"mask{i}") for i, m in enumerate(masks)])
-    return marked.groupBy("entity", "window").agg(
-        *[F.bit_or(f"mask{i}").alias(f"mask{i}") for i in range(len(masks))])
+    found = texts.select("entity", "window", term_keys(F.col(text), groups, F.col("entity")).alias("terms"))
+    return merge_hits(found)
+
+
+def merge_hits(hits: DataFrame) -> DataFrame:
+    """Rows of the same (entity, window) as one."""
+    rows = hits.select("entity", "window", F.explode_outer("terms").alias("term"))
+    return rows.groupBy("entity", "window").agg(F.collect_set("term").alias("terms"))
 
 
 def memory_counts(hits: DataFrame, remember: int, maxwindows: int = 10_000) -> DataFrame:
-    """Windows seen, windows with a hit and windows with a repeated term, per entity."""
-    masks = [c for c in hits.columns if c.startswith("mask")]
+    """Windows seen, windows with a hit and windows with a repeated term, per entity.
+
+    A term is repeated where an earlier remembered window has it, too.
+    """
     kept = last_n(hits, ["entity"], ["window"], min(remember, maxwindows))
-    earlier = Window.partitionBy("entity").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, -1)
-    any_hit, again = F.lit(False), F.lit(False)
-    for m in masks:
-        before = F.coalesce(F.bit_or(m).over(earlier), F.lit(0))
-        kept = kept.withColumn(f"_again{m}", F.col(m).bitwiseAND(before) != 0)
-        any_hit = any_hit | (F.col(m) != 0)
-        again = again | F.col(f"_again{m}")
-    return kept.groupBy("entity").agg(
+    seen = kept.select("entity", "rn", F.explode_outer("terms").alias("term"))
+    oldest = F.max("rn").over(Window.partitionBy("entity", "term"))
+    again = F.col("term").isNotNull() & (F.col("rn") < oldest)
+    windows = seen.withColumn("again", again).groupBy("entity", "rn").agg(
+        F.count("term").alias("hits"), F.bool_or("again").alias("again"))
+    return windows.groupBy("entity").agg(
         F.count("*").alias("windows_seen"),
-        F.count_if(any_hit).alias("attack_windows"),
-        F.count_if(again).alias("pattern_windows"),
+        F.count_if(F.col("hits") > 0).alias("attack_windows"),
+        F.count_if("again").alias("pattern_windows"),
     )
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.functions.text import java_regex
+from rillmark.functions.text import java_regex, pattern_fault
 
 ENTITY_MARK = "--entity--"
-MASK_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -65,16 +63,9 @@ def _term_hit(text: Column, group: TermGroup, term: str, entity: Column | None)
 
 
 def valid_groups(groups: Sequence[TermGroup]) -> tuple[list[TermGroup], list[TermGroup]]:
-    """Groups that can be used, and regular expressions that do not compile."""
-    good, bad = [], []
-    for group in groups:
-        try:
-            if group.regex:
-                re.compile(group.terms[0])
-            good.append(group)
-        except re.error:
-            bad.append(group)
-    return good, bad
+    """Groups that can be used, and regular expressions that cannot (see ``pattern_fault``)."""
+    bad = [g for g in groups if g.regex and pattern_fault(g.terms[0])]
+    return [g for g in groups if g not in bad], bad
 
 
 def found_terms(text: Column, groups: Sequence[TermGroup], entity: Column | None = None) -> Column:
@@ -91,36 +82,31 @@ def found_terms(text: Column, groups: Sequence[TermGroup], entity: Column | None
     return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
 
 
-def term_masks(text: Column, groups: Sequence[TermGroup], entity: Column | None = None) -> list[Column]:
-    """Bit masks of the terms found, ``MASK_BITS`` terms to a long.
+def term_keys(text: Column, groups: Sequence[TermGroup], entity: Column | None = None) -> Column:
+    """Keys of what is found: a term's own text, for an AND group the group's.
 
-    Masks merge with ``bit_or``, so counting windows per term needs no rows
-    per term.
+    Keys say what was found wherever it stands in the specification, so they
+    can be stored and compared after terms were added or moved.
     """
-    bits: list[Column] = []
+    marks = []
     for group in valid_groups(groups)[0]:
         hits = [_term_hit(text, group, t, entity) for t in group.terms]
         if group.every:
             whole = hits[0]
             for hit in hits[1:]:
                 whole = whole & hit
-            hits = [whole]
-        bits += hits
-    masks = []
-    for start in range(0, max(len(bits), 1), MASK_BITS):
-        mask = F.lit(0).cast("long")
-        for i, bit in enumerate(bits[start:start + MASK_BITS]):
-            mask = mask + F.when(bit, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        masks.append(mask)
-    return masks
-
-
-SHORT_TERM_LIMIT = 1_000
+            marks.append(F.when(whole, F.lit("@" + ",".join(group.terms))))
+        else:
+            sign = "rgx:" if group.regex else "|"
+            marks += [F.when(h, F.lit(sign + t)) for h, t in zip(hits, group.terms)]
+    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
+
+
 GRAM = 3
 
 
 def _gram_candidates(texts: DataFrame, keys: Sequence[str], text: str, short: DataFrame, term: str, term_key: str):
-    """Candidate pairs for many short terms, joined on their first characters."""
+    """Candidate pairs for short terms, joined on their first characters."""
     heads = short.select(term_key, F.substring(F.col(term), 1, GRAM).alias("_gram"))
     doc = F.col(text)
     grams = F.array_distinct(F.flatten(F.transform(
@@ -136,9 +122,9 @@ def match_term_table(
 
     Each term is looked up by its longest inner word: a word strictly inside
     the term stands as a whole word in any text that contains it.  Terms
-    without an inner word are tested directly while they are few, and looked
-    up by their first characters beyond that.  Only candidates are compared in
-    full, so no text is paired with terms it cannot hold.
+    without an inner word are looked up by their first characters.  Only
+    candidates are compared in full, so no text is paired with terms it
+    cannot hold.
     """
     words = F.split(F.col(term), r"(?U)\W+")
     inner = F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & (w != ""))
@@ -149,14 +135,6 @@ def match_term_table(
     tokens = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), r"(?U)\W+"))).alias("_anchor"))
     anchored = keyed.filter("_anchor is not null").select(term_key, "_anchor")
     candidates = tokens.join(anchored, "_anchor").select(*keys, term_key)
-    found = None
-    few = short.limit(SHORT_TERM_LIMIT + 1).collect()
-    if len(few) > SHORT_TERM_LIMIT:
-        candidates = candidates.unionByName(_gram_candidates(texts, keys, text, short, term, term_key))
-    elif few:
-        kind = terms.schema[term_key].dataType
-        marks = [F.when(F.contains(F.col(text), F.lit(r[term])), F.lit(r[term_key]).cast(kind)) for r in few]
-        found = texts.select(*keys, F.explode(F.array_compact(F.array(*marks))).alias(term_key))
+    candidates = candidates.unionByName(_gram_candidates(texts, keys, text, short, term, term_key))
     full = candidates.distinct().join(terms.select(term_key, term), term_key).join(texts.select(*keys, text), list(keys))
-    long = full.filter(F.contains(F.col(text), F.col(term))).select(*keys, term_key)
-    return long if found is None else long.unionByName(found)
+    return full.filter(F.contains(F.col(text), F.col(term))).select(*keys, term_key)

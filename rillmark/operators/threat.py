@@ -11,11 +11,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions.jsonpath import is_json_object
-from rillmark.functions.text import contains_any, java_regex, strip
+from rillmark.functions.text import contains_any, java_regex, pattern_fault, strip
 from rillmark.operators.windows import first_by
 from rillmark.session import materialize
 
@@ -98,15 +98,15 @@ def rules_from(config: dict, matrix: dict[str, list[str]]) -> list[Rule]:
 
 
 def usable_rules(rules: Sequence[Rule]) -> tuple[list[Rule], list[Rule]]:
-    """Rules whose pattern compiles, and the rejected ones."""
-    good, bad = [], []
-    for rule in rules:
-        try:
-            re.compile(rule.pattern)
-            good.append(rule)
-        except re.error:
-            bad.append(rule)
-    return good, bad
+    """Rules whose pattern can be used, and the rejected ones."""
+    bad = [r for r in rules if pattern_fault(r.pattern)]
+    return [r for r in rules if r not in bad], bad
+
+
+def rejected_rules(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """Table of the rules that are left out: ``name``, ``pattern``, ``reason``."""
+    rows = [(r.name, r.pattern, pattern_fault(r.pattern)) for r in usable_rules(rules)[1]]
+    return spark.createDataFrame(rows, "name string, pattern string, reason string")
 
 
 def _unicode(pattern: str) -> Column:

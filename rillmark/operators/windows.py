@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.session import hot_key_parts
+from rillmark.session import HOT_KEY_PARTS
 
 DEFAULT_CHUNK = 65_536
 
@@ -22,17 +22,15 @@ def last_n(
     keys: Sequence[str],
     order: Sequence[str],
     n: int,
-    salts: int | None = None,
+    salts: int = HOT_KEY_PARTS,
     rank: str = "rn",
 ) -> DataFrame:
     """Newest ``n`` rows per key with their rank (1 = newest).
 
     ``order`` must end in a unique tie-break.  Each map task keeps at most n
-    rows per key before the shuffle.  In wide jobs a key is then cut to n rows
-    in ``salts`` independent parts, so that only ``n * salts`` of its rows
-    meet in one task; the default follows the shuffle width.
+    rows per key before the shuffle.  A key is then cut to n rows in ``salts``
+    independent parts, so that only ``n * salts`` of its rows meet in one task.
     """
-    salts = hot_key_parts(df.sparkSession) if salts is None else salts
     newest = [F.col(c).desc() for c in order]
     if salts > 1:
         part = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))

@@ -69,13 +69,8 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores)
 
 
-def hot_key_parts(spark: SparkSession) -> int:
-    """In how many parts a key's rows are reduced before they meet.
-
-    Follows the configured shuffle width: a wide job has many map tasks that
-    may all hold rows of one hot key.
-    """
-    return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 25))
+# In how many parts a key's rows are reduced before they meet.
+HOT_KEY_PARTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -62,8 +62,8 @@ def entity_memory(
 ) -> DataStreamWriter:
     """Remembered windows per entity; the counts go to ``emit`` after each batch.
 
-    The terms are read again for every batch; their order must stay the same
-    while old windows are remembered.
+    The terms are read again for every batch; what old windows held is stored
+    by the terms' own texts, so terms may come, go and move.
     """
     probe = memory.window_hits(stream.sparkSession.createDataFrame([], stream.schema), text, term_source())
     table = StateTable(state, probe.schema)
@@ -72,9 +72,7 @@ def entity_memory(
         hits = memory.window_hits(batch, text, term_source())
         before = table.read(batch.sparkSession, batch_id)
         if before is not None:
-            merged = before.unionByName(hits, allowMissingColumns=True)
-            masks = [c for c in merged.columns if c.startswith("mask")]
-            hits = merged.groupBy("entity", "window").agg(*[F.bit_or(m).alias(m) for m in masks])
+            hits = memory.merge_hits(before.unionByName(hits))
         kept = last_n(hits, ["entity"], ["window"], min(remember, maxwindows)).drop("rn")
         emit(memory.memory_counts(table.write(kept, batch_id), remember, maxwindows), batch_id)
 

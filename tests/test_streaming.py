@@ -103,6 +103,24 @@ def test_memory_equals_batch(spark, scratch):
     assert rows(spark.read.parquet(f"{scratch}/out").select(*want.columns)) == rows(want)
 
 
+def test_memory_over_a_reload(spark, scratch):
+    """Terms inserted in front and beyond any number leave stored windows as they are."""
+    data = [("e", 0, "m"), ("e", 1, "aa"), ("e", 2, "late"), ("e", 3, "late aa")]
+    stream = _staged(spark, f"{scratch}/in", data, "entity string, window long, text string")
+    specs = ["m,k", "aa,m,k"] + [",".join(["aa", "m"] + [f"t{i:03d}" for i in range(80)] + ["late"])] * 2
+    calls = []
+
+    def source():
+        calls.append(0)
+        return terms.parse_groups(specs[min(max(len(calls) - 2, 0), 3)])
+
+    drain(jobs.entity_memory(
+        stream, "text", source, 12, 10_000, f"{scratch}/state", f"{scratch}/c",
+        lambda counts, b: counts.write.mode("overwrite").parquet(f"{scratch}/out")))
+    got = spark.read.parquet(f"{scratch}/out").first()
+    assert (got["windows_seen"], got["attack_windows"], got["pattern_windows"]) == (4, 4, 1)
+
+
 def test_log_scan_keeps_and_replaces_the_baseline(spark, scratch):
     lines = [[("f", 1, "from 1.1.1.1"), ("f", 2, "in /etc/x")], [("g", 1, "from 2.2.2.2")], [("h", 1, "from 3.3.3.3")],
              [("i", 1, "nothing here")], [("k", 1, "at 4.4.4.4")]]

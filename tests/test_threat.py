@@ -115,9 +115,7 @@ def test_term_groups(spark):
     assert len(good) == 4 and len(bad) == 1
 
 
-@pytest.mark.parametrize("few", [1000, 0])
-def test_term_table_against_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(terms, "SHORT_TERM_LIMIT", few)
+def test_term_table_against_brute_force(spark):
     texts = ["the quick brown fox", "quick", "xbrown foxy", "über alles gut so", "", "a-b c", "ends with q"]
     needles = ["quick brown fox", "brown fox", "q", "k b", "alles", "ber alles gut s", "zz", "a-b", "the quick brown fox"]
     t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -126,7 +124,26 @@ def test_term_table_against_brute_force(spark, few, monkeypatch):
     assert got == sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(needles) if y in x)
 
 
-def test_more_terms_than_bits(spark):
+def test_patterns_of_either_engine_are_rejected_with_a_reason(spark):
+    rules = [threat.Rule("bad", "user=[^[]+x", "t", "u"), threat.Rule("open", "(", "t", "u"),
+             threat.Rule("good", r"user=(?P<entity>\w+)", "t", "u")]
+    rejected = threat.rejected_rules(spark, rules).collect()
+    assert [r["name"] for r in rejected] == ["bad", "open"] and all(r["reason"] for r in rejected)
+    df = spark.createDataFrame([("f", 1, "user=bob")], "file string, n int, line string")
+    assert [r["entity"] for r in threat.elements(df, "line", rules, ["file", "n"]).collect()] == ["bob"]
+    groups = terms.parse_groups("rgx:[^[]b ~~~ rgx:b+")
+    assert [g.terms for g in terms.valid_groups(groups)[1]] == [("[^[]b",)]
+    assert df.select(terms.found_terms(F.col("line"), groups)).first()[0] == ["b+"]
+
+
+def test_many_short_terms(spark):
+    t = spark.createDataFrame([(i, f"x w{i} y") for i in range(0, 20_000, 1000)], "id int, text string")
+    n = spark.range(20_000).selectExpr("id AS no", "concat('w', id, ' ') AS term")
+    got = rows(terms.match_term_table(t, ["id"], "text", n, "term", "no"))
+    assert got == [(i, i) for i in range(0, 20_000, 1000)]
+
+
+def test_many_terms(spark):
     spec = "|" + ",".join(f"t{i:03d}" for i in range(130))
     df = spark.createDataFrame([("e", 0, "t000 t129"), ("e", 1, "t129"), ("e", 2, "t001"), ("f", 0, "none")],
                                "entity string, window long, text string")

@@ -26,17 +26,10 @@ def test_last_n_is_independent_of_salting(spark, salts):
     assert rows(windows.last_n(df, ["key"], ["pos"], 7, salts)) == sorted(want)
 
 
-def test_hot_key_parts_follow_shuffle_width(spark):
-    from rillmark.session import hot_key_parts
-
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", "20000")
-        assert hot_key_parts(spark) == 64
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        assert hot_key_parts(spark) == 1
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+def test_hot_keys_are_split_at_any_shuffle_width(spark):
+    _, df = _hot(spark)
+    plan = windows.last_n(df, ["key"], ["pos"], 7)._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
 
 
 def test_last_n_cuts_before_the_shuffle(spark):
