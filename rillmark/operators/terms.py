@@ -103,16 +103,18 @@ def term_keys(text: Column, groups: Sequence[TermGroup], entity: Column | None =
 
 
 GRAM = 3
+_WORD, _BETWEEN = r"(?U)\w+", r"(?U)\W+"
 
 
-def _gram_candidates(texts: DataFrame, keys: Sequence[str], text: str, short: DataFrame, term: str, term_key: str):
-    """Candidate pairs for short terms, joined on their first characters."""
-    heads = short.select(term_key, F.substring(F.col(term), 1, GRAM).alias("_gram"))
-    doc = F.col(text)
+def _words_with(pieces: DataFrame, vocabulary: DataFrame, term_key: str) -> DataFrame:
+    """(term_key, _anchor) of every word of the vocabulary that contains a term's ``_piece``."""
+    heads = pieces.select(term_key, "_piece", F.substring("_piece", 1, GRAM).alias("_gram"))
+    word = F.col("_anchor")
     grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(doc), F.lit(1))),
-        lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substring(doc, i, n)))))
-    return texts.select(*keys, F.explode(grams).alias("_gram")).join(heads, "_gram").select(*keys, term_key)
+        F.sequence(F.lit(1), F.length(word)),
+        lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substring(word, i, n)))))
+    met = vocabulary.select("_anchor", F.explode(grams).alias("_gram")).join(heads, "_gram")
+    return met.filter(F.contains("_anchor", "_piece")).select(term_key, "_anchor")
 
 
 def match_term_table(
@@ -121,20 +123,26 @@ def match_term_table(
     """(keys, term_key) of every text that contains a term of a large table.
 
     Each term is looked up by its longest inner word: a word strictly inside
-    the term stands as a whole word in any text that contains it.  Terms
-    without an inner word are looked up by their first characters.  Only
-    candidates are compared in full, so no text is paired with terms it
-    cannot hold.
+    the term stands as a whole word in any text that contains it.  A term
+    without an inner word is looked up by the words that contain its longest
+    word, among the distinct words of all texts; one without any word by the
+    runs between words.  Only candidates are compared in full, so no text is
+    paired with terms it cannot hold.
     """
-    words = F.split(F.col(term), r"(?U)\W+")
-    inner = F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & (w != ""))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = terms.select(term_key, term, longest.alias("_anchor")).filter(F.col(term) != "")
-    short = keyed.filter("_anchor is null").select(term_key, term)
+    words = F.split(F.col(term), _BETWEEN)
 
-    tokens = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), r"(?U)\W+"))).alias("_anchor"))
+    def longest(parts: Column) -> Column:
+        return F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+    inner = longest(F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & (w != "")))
+    piece = F.coalesce(longest(F.filter(words, lambda w: w != "")), F.col(term))
+    keyed = terms.select(term_key, inner.alias("_anchor"), piece.alias("_piece")).filter(F.col(term) != "")
+
+    parts = F.array_union(F.split(F.col(text), _BETWEEN), F.split(F.col(text), _WORD))
+    tokens = texts.select(*keys, F.explode(parts).alias("_anchor")).filter("_anchor <> ''")
+    vocabulary = tokens.select("_anchor").distinct()
     anchored = keyed.filter("_anchor is not null").select(term_key, "_anchor")
+    anchored = anchored.unionByName(_words_with(keyed.filter("_anchor is null"), vocabulary, term_key))
     candidates = tokens.join(anchored, "_anchor").select(*keys, term_key)
-    candidates = candidates.unionByName(_gram_candidates(texts, keys, text, short, term, term_key))
     full = candidates.distinct().join(terms.select(term_key, term), term_key).join(texts.select(*keys, text), list(keys))
     return full.filter(F.contains(F.col(text), F.col(term))).select(*keys, term_key)

@@ -116,8 +116,8 @@ def test_term_groups(spark):
 
 
 def test_term_table_against_brute_force(spark):
-    texts = ["the quick brown fox", "quick", "xbrown foxy", "über alles gut so", "", "a-b c", "ends with q"]
-    needles = ["quick brown fox", "brown fox", "q", "k b", "alles", "ber alles gut s", "zz", "a-b", "the quick brown fox"]
+    texts = ["the quick brown fox", "quick", "xbrown foxy", "über alles gut so", "", "a-b c", "ends with q", "== --> x"]
+    needles = ["quick brown fox", "brown fox", "q", "k b", "alles", "ber alles gut s", "zz", "a-b", "the quick brown fox", "->", " --", "=", "> x"]
     t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     n = spark.createDataFrame(list(enumerate(needles)), "no int, term string")
     got = rows(terms.match_term_table(t, ["id"], "text", n, "term", "no"))
