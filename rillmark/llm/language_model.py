@@ -6,20 +6,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.storage import materialize, measured, prepare
-from rillmark.llm.words import chunks, word_bounds, word_hashes
+from rillmark.llm.words import chunks, mix, word_bounds, word_hashes
 
-# Bounds of what every task holds of the models: words and pairs of words (together about 20 MB).  Counts are taken
-# over all documents; entries below total / bound are part of the unknown word, or left to the smoothing.
+# Bounds of what every task holds itself of the models, words and pairs of words (together about 30 MB): those with at
+# least total / bound occurrences.  All others are joined to the documents by hash, none is left out for its size.
 VOCABULARY = 65_536
 PAIRS = 1_000_000
+# Occurrences from which a word or pair is part of the models, in a corpus of any size; rarer words are the unknown
+# word, rarer pairs are left to the smoothing.
+LEAST = 2
 # Weight of the word distribution in the distribution after a word.
 SMOOTHING = 64.0
 
 _COUNTS = "h long, n long, t long"
+_PAIR_COUNTS = "v long, w long, n long, t long"
+# Stands before the first word of a document.
+_START = np.uint64(0x9D5C_1F0B_37A8_E264)
 
 
 def _counts(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
@@ -42,43 +49,55 @@ def _count_words(batches):
             yield _counts(keys, marks)
 
 
-def _word_ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Number of every word in the sorted vocabulary; its length for unknown ones."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of every wanted key among the sorted keys; their number for absent ones."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, len(keys))
 
 
-def _pair_keys(vocabulary: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, ids of the words before them (a mark of its own at a document's start), words per document."""
-    starts, _, begin = word_bounds(flat, offsets)
-    ids = _word_ids(vocabulary, word_hashes(flat, starts))
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[begin[:-1][begin[:-1] < begin[1:]]] = len(vocabulary) + 1
-    return ids, before, np.diff(begin)
+def _pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0xD1342543DE82EF95) + words)
 
 
-def _count_pairs(vocabulary: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            keys, marks = [], []
-            for first, flat, offsets in chunks(batch.column("text")):
-                ids, before, count = _pair_keys(vocabulary, flat, offsets)
-                keys.append(before * (len(vocabulary) + 2) + ids)
-                marks.append(np.repeat(target[first : first + len(count)], count))
-            if keys:
-                yield _counts(keys, marks)
+def _neighbours(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, of the words before them, of both together, and the index of every document's first word."""
+    starts, _, begin = word_bounds(flat, offsets)
+    words = word_hashes(flat, starts)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[begin[:-1][begin[:-1] < begin[1:]]] = _START
+    return words, before, _pair_hashes(before, words), begin
 
-    return run
+
+def _count_pairs(batches):
+    for batch in batches:
+        target = batch.column("target").to_numpy(zero_copy_only=False)
+        parts = []
+        for first, flat, offsets in chunks(batch.column("text")):
+            words, before, pairs, begin = _neighbours(flat, offsets)
+            parts.append((pairs, before, words, np.repeat(target[first : first + len(offsets) - 1], np.diff(begin))))
+        if parts:
+            pairs, before, words, marks = (np.concatenate(c) for c in zip(*parts))
+            key, one, at = np.unique(pairs, return_index=True, return_inverse=True)
+            n, t = np.bincount(at, minlength=len(key)), np.bincount(at, weights=marks, minlength=len(key))
+            columns = (before[one].view(np.int64), words[one].view(np.int64), n.astype(np.int64), t.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "w", "n", "t"])
+
+
+def _keyed(batches):
+    """Pairs with the key that documents look them up by."""
+    for batch in batches:
+        v, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("v", "w"))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(v, w).view(np.int64)), *batch.columns], names=["h", "v", "w", "n", "t"])
 
 
 class Model:
     """Losses of both models: ``-log((c(v, w) + SMOOTHING p(w)) / (c(v) + SMOOTHING))`` with ``p(w)`` add-one.
 
-    ``c(v)`` counts the kept pairs only, so the distribution after every word sums to one.
+    ``c(v)`` counts the kept pairs only, so the distribution after every word sums to one.  This is the definition,
+    over tables that fit into memory; ``score`` spreads the same sums over tables of any size.
     """
 
     def __init__(self, vocabulary: np.ndarray, words: list[np.ndarray], pairs: np.ndarray, pair_counts: list[np.ndarray]):
@@ -104,31 +123,92 @@ class Model:
         return out
 
 
+class Frequent:
+    """Sorted keys of the frequent words and pairs with their parts of the loss; a last row of zeros for all others."""
+
+    def __init__(self, words, pairs, base: list[float]):
+        self.words, self.word = self._sorted(words, ["at", "ab", "rt", "rb"])
+        self.pairs, self.pair = self._sorted(pairs, ["at", "ab"])
+        self.base = base
+
+    @staticmethod
+    def _sorted(rows, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        key = rows["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return key[order], np.vstack((rows[columns].to_numpy(np.float64)[order], np.zeros((1, len(columns)))))
+
+
 def _score(shared):
+    """Per document the loss by the frequent entries, and the keys of all its other words and pairs.
+
+    A last word stands before nothing: where it is among the keys, it is the first of them (``ends``).
+    """
+
     def run(batches):
-        model: Model = shared.value
+        model: Frequent = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, flat, offsets in chunks(batch.column("text")):
-                ids, before, count = _pair_keys(model.vocabulary, flat, offsets)
+                words, before, pairs, begin = _neighbours(flat, offsets)
+                count = np.diff(begin)
+                doc = np.repeat(np.arange(len(count)), count)
+                word, pair = _at(model.words, words), _at(model.pairs, pairs)
+                previous = _at(model.words, before)
                 columns = []
-                for loss in model.losses(ids, before):
-                    total = np.bincount(np.repeat(np.arange(len(count)), count), weights=loss, minlength=len(count))
-                    columns.append(pa.array(np.where(count > 0, total / np.maximum(count, 1), np.nan), from_pandas=True))
+                for k, base in enumerate(model.base):
+                    loss = base + model.word[previous, 2 + k] - model.word[word, k] - model.pair[pair, k]
+                    columns.append(pa.array(np.bincount(doc, weights=loss, minlength=len(count))))
+                rare, rare_pair = np.flatnonzero(word == len(model.words)), np.flatnonzero(pair == len(model.pairs))
+                last = np.zeros(len(words), bool)
+                last[begin[1:][count > 0] - 1] = True
+                keys = np.concatenate((words[rare], pairs[rare_pair]))
+                of = np.concatenate((doc[rare], doc[rare_pair]))
+                late = np.concatenate((~last[rare], np.ones(len(rare_pair), bool)))
+                order = np.lexsort((late, of))
+                ends = np.zeros(len(count), bool)
+                ends[of[~late]] = True
+                lists = pa.LargeListArray.from_arrays(np.searchsorted(of[order], np.arange(len(count) + 1)), keys[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(count)), pa.array(count.astype(np.int64)), *columns],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+                    [pa.array(np.arange(row, row + len(count))), batch.column("doc_id").slice(first, len(count)), pa.array(count.astype(np.int64)),
+                     *columns, pa.array(ends), lists.cast(pa.list_(pa.int64()))], names=["r", "doc_id", "n_tokens", "lt", "lb", "ends", "keys"])
+                row += len(count)
 
     return run
 
 
-def _largest(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Sorted keys of at least total / bound occurrences with their counts, and the totals of all keys."""
-    counts = materialize(counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
-    n, t = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    kept = counts.filter(F.col("n") >= max(2, math.ceil(n / bound))).toPandas()
-    key = kept["h"].to_numpy(np.int64)
-    order = np.argsort(key.view(np.uint64))
-    return key[order], kept["n"].to_numpy(np.int64)[order], kept["t"].to_numpy(np.int64)[order], n, t
+def _models(marked: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Written tables of all words and all pairs with their parts of the losses, and the loss of a token without.
+
+    ``at``, ``ab`` are taken off the loss of a word or pair under the target and the background model, ``rt``, ``rb``
+    added for the word before.
+    """
+    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
+    counts = materialize(marked.mapInArrow(_count_words, _COUNTS).groupBy("h").agg(*sums), "counts")
+    words = counts.filter(F.col("n") >= LEAST)
+    pairs = marked.mapInArrow(_count_pairs, _PAIR_COUNTS).groupBy("v", "w").agg(*sums).filter(F.col("n") >= LEAST)
+    pairs = materialize(pairs.mapInArrow(_keyed, f"h long, {_PAIR_COUNTS}"), "pairs")
+    kept = F.col("n") >= LEAST
+    total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "t")), F.count(F.when(kept, 1)),
+                       *(F.coalesce(F.sum(F.when(~kept, F.col(x))), F.lit(0)) for x in ("n", "t"))).first()
+    n, t, size, unknown_n, unknown_t = total
+    base = [-math.log((own + 1) / (every + size + 1)) for own, every in ((unknown_t, t), (unknown_n, n))]
+    after = pairs.groupBy(F.col("v").alias("h")).agg(F.sum("n").alias("vn"), F.sum("t").alias("vt"))
+    start = int(_START.view(np.int64))
+    every = words.union(marked.sparkSession.createDataFrame([(start, unknown_n, unknown_t)], words.schema))
+    parts = every.join(after, "h", "left").selectExpr(
+        "h", "n", f"ln((t + 1D) / ({unknown_t} + 1D)) AS at", f"ln((n + 1D) / ({unknown_n} + 1D)) AS ab",
+        f"ln(1 + coalesce(vt, 0) / {SMOOTHING}D) AS rt", f"ln(1 + coalesce(vn, 0) / {SMOOTHING}D) AS rb")
+    bound = max(LEAST, math.ceil(n / VOCABULARY))
+    parts = parts.withColumn("frequent", (F.col("n") >= bound) | (F.col("h") == start))
+    # Pairs meet the counts of their second word: the frequent words, which many pairs share, in every task.
+    second = words.selectExpr("h AS w", "n AS wn", "t AS wt")
+    often = F.broadcast(second.filter(F.col("wn") >= bound))
+    rare = second.filter(F.col("wn") < bound)
+    met = pairs.join(often, "w").unionByName(pairs.join(often, "w", "left_anti").join(rare, "w"))
+    gains = met.selectExpr(
+        "h", "n", f"ln(1 + t / ({SMOOTHING}D * (wt + 1) / {t + size + 1}D)) AS at", f"ln(1 + n / ({SMOOTHING}D * (wn + 1) / {n + size + 1}D)) AS ab")
+    gains = gains.withColumn("frequent", F.col("n") >= max(LEAST, math.ceil(n / PAIRS)))
+    return materialize(parts, "words"), materialize(gains, "gains"), base
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -139,8 +219,10 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     share one vocabulary and one set of pairs.  ``score`` is the mean per-token loss under the target model less that
     under the background model: the lower, the more like the target.
 
-    Counting is a sum per key, combined in every batch before the shuffle.  Only entries of at least a fixed share of
-    all occurrences reach the tasks, VOCABULARY words and PAIRS pairs at most, whatever the size of the corpus.
+    Counting is a sum per key, combined in every batch before the shuffle.  The models are all words and pairs with
+    LEAST occurrences, however many those are.  Frequent ones, VOCABULARY words and PAIRS pairs at most, are in every
+    task; a document's other words and pairs are joined to the written tables by hash.  Frequent keys thus never meet
+    in one task, and what a task holds does not grow with the corpus.
 
     Null and empty texts have no tokens and null losses.  Null target ids mark nothing, repeated ones once; without
     target documents the target model is uniform.  Repeated rows are documents of their own.  An empty table gives an
@@ -151,10 +233,16 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = docs.join(measured(marks.withColumn("target", F.lit(1))), "doc_id", "left").select(
         F.coalesce("target", F.lit(0)).alias("target"), "text")
-    vocabulary, n, t, all_n, all_t = _largest(marked.mapInArrow(_count_words, _COUNTS), VOCABULARY)
-    words = [np.append(t, all_t - t.sum()), np.append(n, all_n - n.sum())]
-    vocabulary = vocabulary.view(np.uint64)
-    pairs, pn, pt, _, _ = _largest(marked.mapInArrow(_count_pairs(vocabulary), _COUNTS), PAIRS)
-    shared = spark.sparkContext.broadcast(Model(vocabulary, words, pairs, [pt, pn]))
-    scored = docs.mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    words, pairs, base = _models(marked)
+    frequent = Frequent(words.filter("frequent").toPandas(), pairs.filter("frequent").toPandas(), base)
+    shared = spark.sparkContext.broadcast(frequent)
+    scored = materialize(docs.mapInArrow(
+        _score(shared), "r long, doc_id long, n_tokens long, lt double, lb double, ends boolean, keys array<long>"), "scored")
+    rare = words.filter("NOT frequent").select("h", "at", "ab", "rt", "rb").unionByName(
+        pairs.filter("NOT frequent").select("h", "at", "ab", F.lit(0.0).alias("rt"), F.lit(0.0).alias("rb")))
+    wanted = scored.select("r", "ends", F.posexplode("keys").alias("place", "h")).selectExpr("r", "h", "NOT (ends AND place = 0) AS leads")
+    rest = wanted.join(measured(rare), "h").groupBy("r").agg(
+        F.expr("sum(if(leads, rt, 0D) - at) AS more_t"), F.expr("sum(if(leads, rb, 0D) - ab) AS more_b"))
+    losses = scored.select("r", "doc_id", "n_tokens", "lt", "lb").join(rest, "r", "left").selectExpr(
+        "doc_id", "n_tokens", *(f"if(n_tokens > 0, (l{m} + coalesce(more_{m}, 0D)) / n_tokens, NULL) AS {name}" for m, name in (("t", "target_loss"), ("b", "background_loss"))))
+    return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
