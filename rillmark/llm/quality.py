@@ -25,8 +25,10 @@ CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 # Groups of fewer rows share the estimate of their language, or of all rows that are left.
 LEAST_ROWS = 200
-HALF = 0.75
-STEPS = 4
+# Share of a group whose rows make the estimate: nearly as many others may lie anywhere.
+HALF = 0.5
+# A start is concentrated until its log-determinant falls by less than this.
+STILL = 1e-4
 # Distances are sorted in steps of 1/32 octave.
 PER_OCTAVE = 32
 # Share of clean rows of a normal group that may be rejected.
@@ -123,10 +125,11 @@ def _inverse(moments: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _closest(rows: DataFrame, distance: str) -> DataFrame:
-    """Centre and covariance of the closest HALF of every group's rows, per start.
+    """Centre and covariance of the closest HALF of every group's rows (and P + 1 halves more), per start.
 
     Rows are summed per group and step of distance, which partial aggregation does before the shuffle; the steps of a
-    group are bounded in number, whatever its size.
+    group are bounded in number, whatever its size.  The step that crosses the half counts in part, so that no group of
+    equal rows comes in whole.
     """
     step = F.floor(F.log2(F.expr(f"least(greatest({distance}, 1e-6), 1e12)")) * PER_OCTAVE).cast("int")
     sums = [F.sum(F.col(X[i])).alias(f"t{i}") for i in range(P)]
@@ -135,9 +138,10 @@ def _closest(rows: DataFrame, distance: str) -> DataFrame:
     by = Window.partitionBy("g", "start")
     inner = F.sum("n").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     steps = steps.withColumn("inner", F.coalesce(inner, F.lit(0))).withColumn("all", F.sum("n").over(by))
-    near = steps.filter(F.col("inner") < HALF * F.col("all"))
+    half = F.least(F.col("all"), HALF * (F.col("all") + P + 1))
+    near = steps.filter(F.col("inner") < half).withColumn("part", F.least(F.lit(1.0), (half - F.col("inner")) / F.col("n")))
     names = ["n", *(f"t{i}" for i in range(P)), *(f"t{i}{j}" for i, j in CELLS)]
-    return _inverse(near.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in names)), ["g", "start"])
+    return _inverse(near.groupBy("g", "start").agg(*(F.sum(F.col(c) * F.col("part")).alias(c) for c in names)), ["g", "start"])
 
 
 def _with(rows: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:
@@ -149,7 +153,7 @@ def covariance(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per group ``g`` of the columns X.
 
     Two deterministic starts, the median with scales from absolute deviations and the same on squashed values, are
-    concentrated STEPS times on the closest HALF of the rows; the smaller determinant counts.
+    concentrated on the closest HALF of the rows until the determinant stands still; the smaller determinant counts.
     """
     middle = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(X)))
     middle = materialize(middle, "medians")
@@ -162,9 +166,16 @@ def covariance(rows: DataFrame) -> DataFrame:
     starts = _with(rows, scales, ["g"]).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     found = materialize(_closest(starts, f"if(start = 0, {plain}, {squashed})"), "estimate")
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    for _ in range(STEPS):
-        found = materialize(_closest(_with(both, found, ["g", "start"]), _square("")), "estimate")
-    best = found.groupBy("g").agg(F.min_by(F.struct(*found.columns), F.struct("logdet", "start")).alias("e"))
+    settled = None
+    while True:
+        was = found.selectExpr("g", "start", "logdet AS was")
+        found = materialize(_closest(_with(both, found, ["g", "start"]), _square("")).join(was, ["g", "start"]), "estimate")
+        still = found.filter(f"logdet >= was - {STILL}")
+        settled = still if settled is None else settled.union(still)
+        found = found.filter(f"logdet < was - {STILL}").drop("was")
+        if found.isEmpty():
+            break
+    best = settled.drop("was").groupBy("g").agg(F.min_by(F.struct(*found.columns), F.struct("logdet", "start")).alias("e"))
     return materialize(best.select("e.*").drop("start"), "estimate")
 
 

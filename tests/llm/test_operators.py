@@ -116,6 +116,16 @@ def test_quality_estimate(spark):
     assert square(bad).min() > 5 * square(clean).max()
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_quality_third(spark, equal):
+    """A third of a group is symbol spam, copied or each row its own."""
+    spam = lambda k: " ".join(w + " ####|$" for w in prose(1000 + k, 40).split())
+    rows = [(k, prose(k, 60), "en", "s") for k in range(400)] + [(400 + k, spam(0 if equal else k), "en", "s") for k in range(200)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert not judged.filter("base_failed").count()
+    assert sorted(r["doc_id"] for r in judged.filter("kept").collect()) == list(range(400))
+
+
 def test_chi2():
     assert abs(quality.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
