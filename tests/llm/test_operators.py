@@ -317,6 +317,28 @@ def test_licences(spark, docs):
     assert got == {1: [("mit", 1)], 2: [], 3: [], 4: [], 5: [("gpl-3.0", 0)], 6: []}
 
 
+def test_licences_wrapped(spark, docs):
+    """Notices over several lines, behind comment marks, inside a paragraph and far into a long line."""
+    model = licences.Classifier(*licences.training_set(docs))
+    rows, want, key = [], {}, 0
+    for family in ("gpl-3.0", "mit", "bsd-3-clause", "apache-2.0"):
+        words = max(licences.TEMPLATES[family], key=len).split()
+        lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        for mark in ("", "# ", " * ", "// "):
+            head = f"{mark}{prose(key, 9)}\n{mark}\n"
+            rows.append((key, head + "\n".join(mark + x for x in lines) + f"\n{mark}\n{prose(key + 1, 20)}"))
+            want[key], key = [(family, 2)], key + 1
+        rows.append((key, prose(key, 30) + "\n" + "\n".join(lines) + "\n" + prose(key + 1, 30)))
+        want[key], key = [(family, 1)], key + 1
+        for before in (30, 37, 45):
+            rows.append((key, prose(key, before) + " " + " ".join(words) + " " + prose(key + 1, 90)))
+            want[key], key = [(family, 0)], key + 1
+    rows.append((key, "Released under the MIT License.\nReleased under the MIT License.\n\nx"))
+    want[key] = [("mit", 0), ("mit", 1)]
+    scanned = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert {r["doc_id"]: [(x["family"], x["line"]) for x in r["found"]] for r in scanned.collect()} == want
+
+
 def test_empty(empty):
     for found in (near_duplicates.jaccard_classes(empty), lines.repeated_lines(empty), quality.judge(empty), mixing.mix(empty),
                   token_files.encoded(empty, tokenizer_path(VOCABULARY)), secrets.find_secrets(empty),
