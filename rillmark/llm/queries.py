@@ -16,6 +16,7 @@ from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
 from rillmark.llm.secrets import digest, find_secrets
+from rillmark.llm.spelling import count_words, spelling_groups
 from rillmark.llm.storage import prepare
 from rillmark.llm.token_files import encoded
 from rillmark.llm.url_filters import judge_urls
@@ -122,3 +123,8 @@ def _lines(read):
 @query("op10_url_filters")
 def _urls(read):
     return judge_urls(read("pages"))
+
+
+@query("op13_spelling_groups")
+def _spelling(read):
+    return spelling_groups(count_words(read("documents")))

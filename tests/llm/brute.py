@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, for small tables."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,3 +63,32 @@ def counts(text):
     repeat = {j for k in range(len(w) - 4) if runs[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
     lines = [s for s in text.split("\n") if re.search("[^\x20\x09-\x0d]", s)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat)
+
+
+def spelling(rows, factor=10, letters=7, times=2, typo=31):
+    """Form, root, count, near words and the form's count per word of (doc_id, text) rows."""
+    n = Counter()
+    for i, text in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = w.encode().translate(FOLD).decode()
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % typo == 0 else w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= letters and c >= times}
+    near, alike = defaultdict(set), defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            alike[w[:k] + "*" + w[k + 1 :]].add(w)
+            shorter = w[:k] + w[k + 1 :]
+            if shorter in n:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for group in alike.values():
+        for w in group:
+            near[w] |= group - {w}
+    best = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    form = {w: b if b is not None and n[b] >= factor * n[w] else None for w, b in best.items()}
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
