@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark.llm.conversations import damage, repair
 from rillmark.llm.decontaminate import contained
 from rillmark.llm.language_model import score
 from rillmark.llm.licences import scan_licences
@@ -125,6 +126,11 @@ def _urls(read):
     return judge_urls(read("pages"))
 
 
+@query("op12_conversation_repair")
+def _conversations(read):
+    return repair(damage(read("conversations")))
+
+
 @query("op13_spelling_groups")
 def _spelling(read):
     return spelling_groups(count_words(read("documents")))

@@ -1,5 +1,6 @@
 """Plain single-process versions of the operators, for small tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -92,3 +93,72 @@ def spelling(rows, factor=10, letters=7, times=2, typo=31):
         return w if form[w] is None else root(form[w])
 
     return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
+
+
+def best_edits(rows):
+    """Cost, initials and repaired rows of (role, text, fault) rows: the least over all states, row by row."""
+    ways = {"": (0, "", ())}  # by the initials so far, s? and the last of u, a
+
+    def inserted(ways):
+        for _ in range(2):
+            for state, (cost, audit, lines) in list(ways.items()):
+                role = "assistant" if state[-1:] == "u" else "user"
+                offer(ways, after(state, role), (cost + 3, audit + "I", (*lines, role + ":")))
+        return ways
+
+    def after(state, role):
+        return state[:-1] * (state[-1:] != "s") + role[0] if state else role[0]
+
+    def offer(ways, state, way):
+        if state not in ways or way < ways[state]:
+            ways[state] = way
+
+    def allowed(state, role):
+        return role[:1] == ("a" if state[-1:] == "u" else "u") or (state == "" and role[:1] == "s")
+
+    for role, text, fault in rows:
+        new = {}
+        for state, (cost, audit, lines) in inserted(ways).items():
+            offer(new, state, (cost + 4, audit + "D", lines))
+            if fault not in ("blank", "duplicate"):
+                extra = 3 if fault == "truncated" else 0
+                for other in ("user", "assistant"):
+                    if allowed(state, other):
+                        offer(new, after(state, other), (cost + 3 + extra, audit + "R", (*lines, f"{other}:{text}")))
+                if allowed(state, role):
+                    offer(new, after(state, role), (cost + extra, audit + "K", (*lines, f"{role}:{text}")))
+        ways = new
+    return min(way for state, way in inserted(ways).items() if state in ("", "a"))
+
+
+def conversation(rows, conv):
+    """Repair of the (turn, role, text) rows of a conversation, damaged first."""
+    kept = []
+    for turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        h = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if h == 0:
+            continue
+        text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+        kept += [(turn, "user" if h == 4 else role, text)] * (2 if h == 3 else 1)
+    kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    seen, found = set(), []
+    for _, role, text in kept:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else ""
+        seen.add((role, text))
+        found.append((role, text, fault))
+    turns = {t for t, _, _ in kept if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    faults = [sum(f == kind for _, _, f in found) for kind in ("blank", "duplicate", "truncated")]
+    illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(found, found[1:]))
+    cost, audit, lines = best_edits(found)
+    return (gaps, *faults, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def conversations(rows):
+    """``conversation`` of every id of (conv_id, turn, role, text) rows."""
+    own = defaultdict(list)
+    for conv, *row in rows:
+        own[conv].append(row)
+    return {conv: conversation(r, conv) for conv, r in own.items()}
