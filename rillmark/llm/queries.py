@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +17,13 @@ from rillmark.llm.mixing import mix
 from rillmark.llm.near_duplicates import jaccard_classes
 from rillmark.llm.quality import judge
 from rillmark.llm.secrets import digest, find_secrets
+from rillmark.llm.sequences import pack
 from rillmark.llm.spelling import count_words, spelling_groups
 from rillmark.llm.storage import prepare
 from rillmark.llm.token_files import encoded
 from rillmark.llm.url_filters import judge_urls
 
-# Folder of the public vocabulary files, and the one that the token files use.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+# The public vocabulary file that token files and sequences use.
 VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,7 @@ ORACLES: dict[str, str] = {}
 
 def tokenizer_path(name: str) -> str:
     """Where a vocabulary file lies on every machine."""
-    return os.path.join(TOKENIZERS, name)
+    return str(public_tokenizers.path(name))
 
 
 def query(name: str, sql: str | None = None):
@@ -126,6 +126,11 @@ def _urls(read):
     return judge_urls(read("pages"))
 
 
+@query("op11_sequence_packing")
+def _sequences(read):
+    return pack(read("documents"), tokenizer_path(VOCABULARY))
+
+
 @query("op12_conversation_repair")
 def _conversations(read):
     return repair(damage(read("conversations")))
