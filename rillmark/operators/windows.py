@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.session import HOT_KEY_PARTS
+from rillmark.session import HOT_KEY_PARTS, estimated_splits
 
 DEFAULT_CHUNK = 65_536
 
@@ -28,11 +28,13 @@ def last_n(
     """Newest ``n`` rows per key with their rank (1 = newest).
 
     ``order`` must end in a unique tie-break.  Each map task keeps at most n
-    rows per key before the shuffle.  A key is then cut to n rows in ``salts``
-    independent parts, so that only ``n * salts`` of its rows meet in one task.
+    rows per key before the shuffle.  Where the input may come from more than
+    ``salts`` full splits, a key is then cut to n rows in ``salts`` independent
+    parts, so that only ``n * salts`` of its rows meet in one task.  Below that
+    the map side alone leaves no more, and one exchange is enough.
     """
     newest = [F.col(c).desc() for c in order]
-    if salts > 1:
+    if salts > 1 and estimated_splits(df) > salts:
         part = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         w = Window.partitionBy(*keys, "_salt").orderBy(*newest)
         df = part.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank, "_salt")

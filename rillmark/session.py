@@ -73,6 +73,17 @@ def spread(table: DataFrame) -> DataFrame:
 HOT_KEY_PARTS = 16
 
 
+def estimated_splits(df: DataFrame) -> float:
+    """Full file splits that the optimizer's size estimate of ``df`` makes up.
+
+    Nothing runs for it.  Rows whose size is not known (streams, RDDs) count as
+    many splits.
+    """
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) / conf.filesMaxPartitionBytes()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

@@ -5,6 +5,7 @@ import statistics as st
 import pytest
 
 from rillmark.operators import stats
+from rillmark.operators.windows import last_n
 from tests.conftest import rows
 
 
@@ -108,10 +109,19 @@ def test_cleaning(spark):
     assert [r["hyperprediction"] for r in flat.collect()] == [3.0] * 3
 
 
-def test_all_types_share_one_exchange(spark):
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_all_types_share_one_exchange(spark, scratch):
+    """All statistics run on the partitioning of the rollback, which is one exchange of rows of a known, small size."""
     kinds = ["avg", "trend", "IQR", "anomprob", "spikedetect", "skewness"]
-    plan = stats.window_stats(_df(spark, VALUES), kinds)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    unknown = _df(spark, VALUES)
+    assert exchanges(stats.window_stats(unknown, kinds)) == exchanges(last_n(unknown, stats.KEYS, stats.ORDER, 800)) == 2
+    unknown.write.parquet(scratch)
+    known = spark.read.parquet(scratch)
+    assert exchanges(stats.window_stats(known, kinds)) == exchanges(last_n(known, stats.KEYS, stats.ORDER, 800)) == 1
+    assert rows(stats.window_stats(known, kinds)) == rows(stats.window_stats(unknown, kinds))
 
 
 def test_stream_names(spark):
