@@ -1,8 +1,18 @@
-"""LM scoring: cross-entropy difference of a target and a background n-gram model over one vocabulary."""
+"""LM scoring: cross-entropy difference of a target and a background n-gram model over one vocabulary.
+
+Both models are word-pair models smoothed by words.  A document is scored by the pairs of all other documents::
+
+    P(w | v) = (n(v, w) + S p(w)) / (n(v) + S)        p(w) = (n(w) + 1) / (N + V)
+
+``n(v, w)`` counts the pair and ``n(v)`` the word with any word behind it, outside the document; ``n(w)``, of ``N`` words,
+counts the word everywhere.  The vocabulary is all words that occur twice, ``V`` with the unknown word, which all others
+are and which is in no pair; so the probabilities behind a word sum to one, less its share of unknown words.  The
+background model counts all documents, the target model the target ones.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,40 +23,75 @@ from pyspark.sql import functions as F
 from rillmark.llm.storage import materialize, measured, prepare
 from rillmark.llm.words import chunks, mix, word_bounds, word_hashes
 
-# Bounds of what every task holds itself of the models, words and pairs of words (together about 30 MB): those with at
-# least total / bound occurrences.  All others are joined to the documents by hash, none is left out for its size.
-VOCABULARY = 65_536
-PAIRS = 1_000_000
-# Occurrences from which a word or pair is part of the models, in a corpus of any size; rarer words are the unknown
-# word, rarer pairs are left to the smoothing.
+# Words and pairs with at least total / FREQUENT occurrences are held by every task (together about 30 MB), so none of
+# their many rows meet in one.  All others travel to the bucket of their hash; none is left out.
+FREQUENT = 1 << 18
+# Occurrences from which a word is known, in a corpus of any size.
 LEAST = 2
 # Weight of the word distribution in the distribution after a word.
 SMOOTHING = 64.0
+# Words of a bucket, about, and entries that a task gathers before it sends them off.
+BUCKET = 1 << 18
+FLUSH = 1 << 21
 
-_COUNTS = "h long, n long, t long"
-_PAIR_COUNTS = "v long, w long, n long, t long"
+_COUNTS = "kind int, h long, n long, t long, ln long, lt long"
+_WORD, _PAIR, _BEGIN = range(3)
 # Stands before the first word of a document.
 _START = np.uint64(0x9D5C_1F0B_37A8_E264)
 
 
-def _counts(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
-    """Occurrences of every key, and those in target documents."""
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(at, minlength=len(key))
-    t = np.bincount(at, weights=np.concatenate(marks), minlength=len(key)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t)], names=["h", "n", "t"])
+def _neighbours(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, of all words with the word before, and the index of every document's first word."""
+    starts, _, begin = word_bounds(flat, offsets)
+    words = word_hashes(flat, starts)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[begin[:-1][begin[:-1] < begin[1:]]] = _START
+    return words, mix(before * np.uint64(0xD1342543DE82EF95) + words), begin
+
+
+def _leading(begin: np.ndarray) -> np.ndarray:
+    """Whether a word has another behind it."""
+    out = np.ones(int(begin[-1]), bool)
+    out[begin[1:][np.diff(begin) > 0] - 1] = False
+    return out
+
+
+def _sums(kind: int, keys: np.ndarray, *values: np.ndarray, least: int = 1) -> pa.RecordBatch:
+    """Sums of every key; the first value is the one to reach ``least``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    sums = [np.add.reduceat(v[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in values]
+    sums += [np.zeros(len(first), np.int64)] * (4 - len(sums))
+    kept = sums[0] >= least
+    columns = [np.full(int(kept.sum()), kind, np.int32), keys[first][kept].view(np.int64), *(s[kept] for s in sums)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "h", "n", "t", "ln", "lt"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, beginnings of documents, and pairs that are common in a stretch of the text."""
+    words, pairs, marks, leads, begun = [], [], [], [], np.zeros(2, np.int64)
 
+    def flush():
+        w, p, m, lead = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (words, pairs, marks, leads))
+        yield _sums(_WORD, w, np.ones(len(w)), m, lead, m * lead)
+        yield _sums(_PAIR, p, np.ones(len(p)), least=max(2, len(p) // (2 * FREQUENT)))
+        for x in (words, pairs, marks, leads):
+            x.clear()
 
-def _count_words(batches):
     for batch in batches:
         target = batch.column("target").to_numpy(zero_copy_only=False)
-        keys, marks = [], []
         for first, flat, offsets in chunks(batch.column("text")):
-            starts, _, begin = word_bounds(flat, offsets)
-            keys.append(word_hashes(flat, starts))
-            marks.append(np.repeat(target[first : first + len(offsets) - 1], np.diff(begin)))
-        if keys:
-            yield _counts(keys, marks)
+            w, p, begin = _neighbours(flat, offsets)
+            count, own = np.diff(begin), target[first : first + len(offsets) - 1]
+            for x, new in ((words, w), (pairs, p), (marks, np.repeat(own, count)), (leads, _leading(begin))):
+                x.append(new)
+            begun += ((count > 0).sum(), own[count > 0].sum())
+        if sum(map(len, words)) >= FLUSH:
+            yield from flush()
+    yield from flush()
+    yield _sums(_BEGIN, np.array([_START]), *begun.reshape(2, 1))
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -57,192 +102,295 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, len(keys))
 
 
-def _pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0xD1342543DE82EF95) + words)
+def _count_common(shared):
+    """Occurrences of the pairs that are common somewhere."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        sums = np.zeros((2, len(keys) + 1))
+        for batch in batches:
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            for first, flat, offsets in chunks(batch.column("text")):
+                _, pairs, begin = _neighbours(flat, offsets)
+                at = _at(keys, pairs)
+                marks = np.repeat(target[first : first + len(offsets) - 1], np.diff(begin))
+                sums[0] += np.bincount(at, minlength=len(keys) + 1)
+                sums[1] += np.bincount(at, weights=marks, minlength=len(keys) + 1)
+        n, t = sums[:, :-1].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], names=["h", "n", "t"])
 
-def _neighbours(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, of the words before them, of both together, and the index of every document's first word."""
-    starts, _, begin = word_bounds(flat, offsets)
-    words = word_hashes(flat, starts)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[begin[:-1][begin[:-1] < begin[1:]]] = _START
-    return words, before, _pair_hashes(before, words), begin
+    return run
 
 
-def _count_pairs(batches):
-    for batch in batches:
-        target = batch.column("target").to_numpy(zero_copy_only=False)
-        parts = []
-        for first, flat, offsets in chunks(batch.column("text")):
-            words, before, pairs, begin = _neighbours(flat, offsets)
-            parts.append((pairs, before, words, np.repeat(target[first : first + len(offsets) - 1], np.diff(begin))))
-        if parts:
-            pairs, before, words, marks = (np.concatenate(c) for c in zip(*parts))
-            key, one, at = np.unique(pairs, return_index=True, return_inverse=True)
-            n, t = np.bincount(at, minlength=len(key)), np.bincount(at, weights=marks, minlength=len(key))
-            columns = (before[one].view(np.int64), words[one].view(np.int64), n.astype(np.int64), t.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "w", "n", "t"])
-
-
-def _keyed(batches):
-    """Pairs with the key that documents look them up by."""
-    for batch in batches:
-        v, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("v", "w"))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(v, w).view(np.int64)), *batch.columns], names=["h", "v", "w", "n", "t"])
+class Frequent:
+    """What every task holds: sorted frequent words and pairs with their counts, and the totals.
 
+    Counts are pairs (background, target) of columns: ``word`` of the word, ``lead`` of it before another, ``pair``.
+    """
 
-class Model:
-    """Losses of both models: ``-log((c(v, w) + SMOOTHING p(w)) / (c(v) + SMOOTHING))`` with ``p(w)`` add-one.
+    def __init__(self, words, pairs, totals: tuple[int, int], size: int, unknown: tuple[int, int]):
+        order = np.argsort(words["h"].to_numpy(np.int64).view(np.uint64))
+        self.words = words["h"].to_numpy(np.int64).view(np.uint64)[order]
+        self.word, self.lead = words[["n", "t"]].to_numpy(float)[order], words[["ln", "lt"]].to_numpy(float)[order]
+        order = np.argsort(pairs["h"].to_numpy(np.int64).view(np.uint64))
+        self.pairs = pairs["h"].to_numpy(np.int64).view(np.uint64)[order]
+        self.pair = pairs[["n", "t"]].to_numpy(float)[order]
+        self.whole = np.array(totals, float) + size
+        self.unknown = -np.log(SMOOTHING * (np.array(unknown, float) + 1) / self.whole)
 
-    ``c(v)`` counts the kept pairs only, so the distribution after every word sums to one.  This is the definition,
-    over tables that fit into memory; ``score`` spreads the same sums over tables of any size.
-    """
+    def word_loss(self, n: np.ndarray, lead: np.ndarray, mark: np.ndarray, count: np.ndarray, leads: np.ndarray) -> np.ndarray:
+        """Part of the loss of a word's occurrences in a document, as words and as words before others."""
+        own = leads[:, None] * np.column_stack((np.ones(len(mark)), mark))
+        return -count[:, None] * np.log(SMOOTHING * (n + 1) / self.whole) + leads[:, None] * np.log(np.maximum(lead - own, 0) + SMOOTHING)
 
-    def __init__(self, vocabulary: np.ndarray, words: list[np.ndarray], pairs: np.ndarray, pair_counts: list[np.ndarray]):
-        size = len(vocabulary) + 1
-        self.vocabulary, self.pairs = vocabulary, pairs
-        self.word, self.rest, self.seen = [], [], []
-        for own, after in zip(words, pair_counts):
-            p = (own + 1.0) / (own.sum() + size)
-            total = np.bincount(pairs // (size + 1), weights=after, minlength=size + 1)
-            self.word.append(np.log(SMOOTHING * p).astype(np.float32))
-            self.rest.append(np.log(total + SMOOTHING).astype(np.float32))
-            self.seen.append(np.log(after + SMOOTHING * p[pairs % (size + 1)]).astype(np.float32))
-
-    def losses(self, ids: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-        """Loss of every token under the target and the background model."""
-        key = before * (len(self.vocabulary) + 2) + ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out = []
-        for word, rest, seen in zip(self.word, self.rest, self.seen):
-            top = np.where(known, seen[at], word[ids]) if len(seen) else word[ids]
-            out.append(rest[before] - top)
-        return out
+    def pair_gain(self, n: np.ndarray, word: np.ndarray, mark: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """What the pairs of other documents take off that, given the counts of the pair and its second word."""
+        others = n - count[:, None] * np.column_stack((np.ones(len(mark)), mark))
+        return count[:, None] * np.log1p(others * self.whole / (SMOOTHING * (word + 1)))
 
 
-class Frequent:
-    """Sorted keys of the frequent words and pairs with their parts of the loss; a last row of zeros for all others."""
+def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, key): the first place of each, and for every place its group."""
+    both = mix(keys + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    _, first, group = np.unique(both, return_index=True, return_inverse=True)
+    return first, group
 
-    def __init__(self, words, pairs, base: list[float]):
-        self.words, self.word = self._sorted(words, ["at", "ab", "rt", "rb"])
-        self.pairs, self.pair = self._sorted(pairs, ["at", "ab"])
-        self.base = base
 
-    @staticmethod
-    def _sorted(rows, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        key = rows["h"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return key[order], np.vstack((rows[columns].to_numpy(np.float64)[order], np.zeros((1, len(columns)))))
+# Columns of an entry, each stored byte plane by byte plane: a word or pair, what tells its pairs or its second word apart,
+# the document, the pair's occurrences in it, those of the word and of the word before others, and two marks.
+_FIELDS = (("k1", np.uint64), ("k2", np.uint64), ("r", np.uint32), ("c", np.uint32), ("cw", np.uint32), ("lw", np.uint32), ("mark", np.uint8))
+_TARGET, _RARE = 1, 2
+_WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
 
 
-def _score(shared):
-    """Per document the loss by the frequent entries, and the keys of all its other words and pairs.
+def _pack(entries: dict[str, np.ndarray], part: slice) -> bytes:
+    return b"".join(np.ascontiguousarray(entries[name][part].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in _FIELDS)
+
+
+def _unpack(bodies: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in _FIELDS}
+    for base, n, body in bodies:
+        planes, at = np.frombuffer(body, np.uint8).reshape(_WIDTH, n), 0
+        for name, kind in _FIELDS:
+            size = np.dtype(kind).itemsize
+            parts[name].append(np.ascontiguousarray(planes[at : at + size].T).view(kind).ravel())
+            at += size
+        parts["r"][-1] = parts["r"][-1].astype(np.int64) + base
+    return {name: np.concatenate(some) for name, some in parts.items()}
+
+
+_SENT = "b long, r long, doc_id long, n_tokens long, lb double, lt double, n int, body binary"
 
-    A last word stands before nothing: where it is among the keys, it is the first of them (``ends``).
-    """
 
-    def run(batches):
+def _entries(shared, buckets: int):
+    """Per document the loss by what the task knows, and entries for the rest, packed per bucket of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Frequent = shared.value
-        row = TaskContext.get().partitionId() << 40
+        row = base = TaskContext.get().partitionId() << 40
+        held: list[dict[str, np.ndarray]] = []
+
+        def flush():
+            if not held:
+                return
+            entries = {name: np.concatenate([h[name] for h in held]) for name, _ in _FIELDS}
+            held.clear()
+            order = np.argsort(entries["k1"])
+            entries = {name: x[order] for name, x in entries.items()}
+            at = (entries["k1"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))[: len(at)]), [len(at)]))
+            rows = {"b": [], "r": [], "n": [], "body": []}
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for name, value in (("b", int(at[a])), ("r", base), ("n", z - a), ("body", _pack(entries, slice(a, z)))):
+                    rows[name].append(value)
+            yield _row(len(rows["b"]), b=rows["b"], r=rows["r"], n=rows["n"], body=rows["body"])
+
         for batch in batches:
+            target = batch.column("target").to_numpy(zero_copy_only=False)
             for first, flat, offsets in chunks(batch.column("text")):
-                words, before, pairs, begin = _neighbours(flat, offsets)
+                words, pairs, begin = _neighbours(flat, offsets)
                 count = np.diff(begin)
                 doc = np.repeat(np.arange(len(count)), count)
-                word, pair = _at(model.words, words), _at(model.pairs, pairs)
-                previous = _at(model.words, before)
-                columns = []
-                for k, base in enumerate(model.base):
-                    loss = base + model.word[previous, 2 + k] - model.word[word, k] - model.pair[pair, k]
-                    columns.append(pa.array(np.bincount(doc, weights=loss, minlength=len(count))))
-                rare, rare_pair = np.flatnonzero(word == len(model.words)), np.flatnonzero(pair == len(model.pairs))
-                last = np.zeros(len(words), bool)
-                last[begin[1:][count > 0] - 1] = True
-                keys = np.concatenate((words[rare], pairs[rare_pair]))
-                of = np.concatenate((doc[rare], doc[rare_pair]))
-                late = np.concatenate((~last[rare], np.ones(len(rare_pair), bool)))
-                order = np.lexsort((late, of))
-                ends = np.zeros(len(count), bool)
-                ends[of[~late]] = True
-                lists = pa.LargeListArray.from_arrays(np.searchsorted(of[order], np.arange(len(count) + 1)), keys[order].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(count))), batch.column("doc_id").slice(first, len(count)), pa.array(count.astype(np.int64)),
-                     *columns, pa.array(ends), lists.cast(pa.list_(pa.int64()))], names=["r", "doc_id", "n_tokens", "lt", "lb", "ends", "keys"])
+                mark = target[first : first + len(count)].astype(np.int64)
+                loss = np.zeros((len(count), 2))
+                start = _at(model.words, np.array([_START]))
+                filled = np.flatnonzero(count)
+                if len(filled):
+                    own = np.column_stack((np.ones(len(filled)), mark[filled]))
+                    loss[filled] += np.log(np.maximum(model.lead[start] - own, 0) + SMOOTHING)
+                # The words of every document.
+                one, group = _groups(doc, words)
+                cw, lw = np.bincount(group, minlength=len(one)), np.bincount(group, weights=_leading(begin), minlength=len(one))
+                of, known = doc[one], _at(model.words, words[one])
+                here = np.flatnonzero(known < len(model.words))
+                part = model.word_loss(model.word[known[here]], model.lead[known[here]], mark[of[here]], cw[here], lw[here])
+                for k in range(2):
+                    loss[:, k] += np.bincount(of[here], weights=part[:, k], minlength=len(count))
+                # Its pairs.
+                two, pair_group = _groups(doc, pairs)
+                c, of, second = np.bincount(pair_group, minlength=len(two)), doc[two], known[group[two]]
+                common = np.where(second < len(model.words), _at(model.pairs, pairs[two]), len(model.pairs))
+                here = np.flatnonzero(common < len(model.pairs))
+                part = model.pair_gain(model.pair[common[here]], model.word[second[here]], mark[of[here]], c[here])
+                for k in range(2):
+                    loss[:, k] -= np.bincount(of[here], weights=part[:, k], minlength=len(count))
+                rest = np.flatnonzero(common == len(model.pairs))
+                rare = second[rest] == len(model.words)
+                # A rare word's own counts go with the first of its entries.
+                head = np.zeros(len(rest), bool)
+                head[np.unique(np.where(rare, group[two[rest]], -1), return_index=True)[1]] = True
+                head &= rare
+                own = group[two[rest]]
+                held.append({
+                    "k1": np.where(rare, words[two[rest]], pairs[two[rest]]), "k2": np.where(rare, pairs[two[rest]], second[rest].astype(np.uint64)),
+                    "r": of[rest] + (row - base), "c": c[rest], "cw": np.where(head, cw[own], 0), "lw": np.where(head, lw[own], 0),
+                    "mark": mark[of[rest]] * _TARGET + rare * _RARE})
+                ids = np.arange(row, row + len(count))
+                yield _row(len(ids), b=ids % buckets, r=ids, doc_id=batch.column("doc_id").slice(first, len(count)), n_tokens=count, lb=loss[:, 0], lt=loss[:, 1])
                 row += len(count)
+                if sum(len(h["c"]) for h in held) >= FLUSH or row - base >= 1 << 31:
+                    yield from flush()
+                    base = row
+        yield from flush()
 
     return run
 
 
-def _models(marked: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Written tables of all words and all pairs with their parts of the losses, and the loss of a token without.
+_SENT_SCHEMA = pa.schema({"b": pa.int64(), "r": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "lb": pa.float64(), "lt": pa.float64(), "n": pa.int32(), "body": pa.binary()})
 
-    ``at``, ``ab`` are taken off the loss of a word or pair under the target and the background model, ``rt``, ``rb``
-    added for the word before.
-    """
-    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
-    counts = materialize(marked.mapInArrow(_count_words, _COUNTS).groupBy("h").agg(*sums), "counts")
-    words = counts.filter(F.col("n") >= LEAST)
-    pairs = marked.mapInArrow(_count_pairs, _PAIR_COUNTS).groupBy("v", "w").agg(*sums).filter(F.col("n") >= LEAST)
-    pairs = materialize(pairs.mapInArrow(_keyed, f"h long, {_PAIR_COUNTS}"), "pairs")
-    kept = F.col("n") >= LEAST
-    total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "t")), F.count(F.when(kept, 1)),
-                       *(F.coalesce(F.sum(F.when(~kept, F.col(x))), F.lit(0)) for x in ("n", "t"))).first()
-    n, t, size, unknown_n, unknown_t = total
-    base = [-math.log((own + 1) / (every + size + 1)) for own, every in ((unknown_t, t), (unknown_n, n))]
-    after = pairs.groupBy(F.col("v").alias("h")).agg(F.sum("n").alias("vn"), F.sum("t").alias("vt"))
-    start = int(_START.view(np.int64))
-    every = words.union(marked.sparkSession.createDataFrame([(start, unknown_n, unknown_t)], words.schema))
-    parts = every.join(after, "h", "left").selectExpr(
-        "h", "n", f"ln((t + 1D) / ({unknown_t} + 1D)) AS at", f"ln((n + 1D) / ({unknown_n} + 1D)) AS ab",
-        f"ln(1 + coalesce(vt, 0) / {SMOOTHING}D) AS rt", f"ln(1 + coalesce(vn, 0) / {SMOOTHING}D) AS rb")
-    bound = max(LEAST, math.ceil(n / VOCABULARY))
-    parts = parts.withColumn("frequent", (F.col("n") >= bound) | (F.col("h") == start))
-    # Pairs meet the counts of their second word: the frequent words, which many pairs share, in every task.
-    second = words.selectExpr("h AS w", "n AS wn", "t AS wt")
-    often = F.broadcast(second.filter(F.col("wn") >= bound))
-    rare = second.filter(F.col("wn") < bound)
-    met = pairs.join(often, "w").unionByName(pairs.join(often, "w", "left_anti").join(rare, "w"))
-    gains = met.selectExpr(
-        "h", "n", f"ln(1 + t / ({SMOOTHING}D * (wt + 1) / {t + size + 1}D)) AS at", f"ln(1 + n / ({SMOOTHING}D * (wn + 1) / {n + size + 1}D)) AS ab")
-    gains = gains.withColumn("frequent", F.col("n") >= max(LEAST, math.ceil(n / PAIRS)))
-    return materialize(parts, "words"), materialize(gains, "gains"), base
+
+def _row(size: int, **columns) -> pa.RecordBatch:
+    """Rows with the given columns, null in all others."""
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _SENT_SCHEMA], schema=_SENT_SCHEMA)
+
+
+def _total(groups: np.ndarray, n: int, e: dict[str, np.ndarray], count: np.ndarray) -> np.ndarray:
+    """Occurrences of every group, in all documents and in target ones."""
+    return np.column_stack((np.bincount(groups, weights=count, minlength=n), np.bincount(groups, weights=count * (e["mark"] & _TARGET), minlength=n)))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of equal rows of sorted keys."""
+    fresh = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    return np.cumsum(fresh)
+
+
+def _bucket(model: Frequent, bodies: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and their parts of the losses, from all entries of a bucket."""
+    e = _unpack(bodies)
+    order = np.lexsort((e["k2"], e["k1"]))
+    e = {name: x[order] for name, x in e.items()}
+    rare, target = e["mark"] & _RARE > 0, (e["mark"] & _TARGET).astype(float)
+    pair = _runs(e["k1"], e["k2"], rare)
+    sums = _total(pair, int(pair[-1]) + 1, e, e["c"])[pair]
+    word = _runs(e["k1"], rare)
+    n = _total(word, int(word[-1]) + 1, e, e["cw"])[word]
+    lead = _total(word, int(word[-1]) + 1, e, e["lw"])[word]
+    common = np.flatnonzero(~rare)
+    n[common] = model.word[e["k2"][common].astype(np.int64)]
+    known = ~rare | (n[:, 0] >= LEAST)
+    out = np.zeros((len(rare), 2))
+    out[known] -= model.pair_gain(sums[known], n[known], target[known], e["c"][known].astype(float))
+    own = np.flatnonzero(known & (e["cw"] > 0))
+    out[own] += model.word_loss(n[own], lead[own], target[own], e["cw"][own].astype(float), e["lw"][own].astype(float))
+    strange = np.flatnonzero(~known)
+    out[strange] += model.unknown + e["lw"][strange, None] * np.log(SMOOTHING)
+    return e["r"], out
+
+
+def _gains(shared):
+    """Documents as they came, and their parts of the losses from the buckets, which arrive one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Frequent = shared.value
+        bucket, bodies, found, size = None, [], [], 0
+
+        def combined():
+            r, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            parts = np.concatenate([f[1] for f in found])
+            return r, np.column_stack([np.bincount(place, weights=parts[:, k], minlength=len(r)) for k in range(2)])
+
+        def close():
+            nonlocal size
+            if bodies:
+                found.append(_bucket(model, bodies))
+                size += len(found[-1][0])
+                bodies.clear()
+            if size >= FLUSH:
+                found[:] = [combined()]
+                size = len(found[0][0])
+
+        def send():
+            r, parts = combined()
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(parts[:, 0]), pa.array(parts[:, 1])],
+                                             names=["r", "doc_id", "n_tokens", "lb", "lt"])
+
+        for batch in batches:
+            packed = batch.column("body").is_valid()
+            yield batch.filter(batch.column("body").is_null()).select(["r", "doc_id", "n_tokens", "lb", "lt"])
+            rows = batch.filter(packed)
+            for b, r, n, body in zip(*(rows.column(c).to_pylist() for c in ("b", "r", "n", "body"))):
+                if b != bucket:
+                    close()
+                    bucket = b
+                    if size >= FLUSH // 2:
+                        yield from send()
+                        found.clear()
+                        size = 0
+                bodies.append((r, n, body))
+        close()
+        if found:
+            yield from send()
+
+    return run
+
+
+def _models(marked: DataFrame) -> tuple[Frequent, int]:
+    """The frequent words and pairs with the totals, and the number of words."""
+    counts = marked.mapInArrow(_count, _COUNTS).groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in ("n", "t", "ln", "lt")))
+    counts = materialize(counts, "counts")
+    words = counts.filter(F.col("kind") == _WORD)
+    known = F.col("n") >= LEAST
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t")), F.count(F.when(known, 1)).alias("size"),
+                      *(F.coalesce(F.sum(F.when(~known, F.col(c))), F.lit(0)).alias(f"u{c}") for c in ("n", "t"))).first()
+    often = words.filter(F.col("n") >= max(LEAST, total["n"] / FREQUENT))
+    often = often.unionByName(counts.filter(F.col("kind") == _BEGIN).select("kind", "h", F.lit(0).alias("n"), F.lit(0).alias("t"), F.col("n").alias("ln"), F.col("t").alias("lt")))
+    common = counts.filter(F.col("kind") == _PAIR).filter(F.col("n") >= max(2, total["n"] / (2 * FREQUENT))).select("h").toPandas()
+    keys = marked.sparkSession.sparkContext.broadcast(np.sort(common["h"].to_numpy(np.int64).view(np.uint64)))
+    pairs = marked.mapInArrow(_count_common(keys), "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return Frequent(often.toPandas(), pairs.toPandas(), (total["n"], total["t"]), total["size"] + 1, (total["un"], total["ut"])), total["n"]
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Cross-entropy difference of every document: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss``, ``score``.
 
-    Takes integer ``doc_id`` and ``text``, and the ``doc_id`` of target documents; other columns are ignored.  Words
-    and pairs of neighbouring words are counted over all documents (background) and over the target ones; both models
-    share one vocabulary and one set of pairs.  ``score`` is the mean per-token loss under the target model less that
-    under the background model: the lower, the more like the target.
+    Takes integer ``doc_id`` and ``text``, and the ``doc_id`` of target documents; other columns are ignored.  ``score``
+    is the mean per-token loss under the target model less that under the background model: the lower, the more like
+    the target.
 
-    Counting is a sum per key, combined in every batch before the shuffle.  The models are all words and pairs with
-    LEAST occurrences, however many those are.  Frequent ones, VOCABULARY words and PAIRS pairs at most, are in every
-    task; a document's other words and pairs are joined to the written tables by hash.  Frequent keys thus never meet
-    in one task, and what a task holds does not grow with the corpus.
+    Words are counted first, combined in every task.  Then one exchange carries what a task does not know: an entry
+    per document and pair (or rare second word with the pair), packed per bucket of hashes.  A bucket holds all entries
+    of its words and pairs, so it counts them and at once gives every document its part of the losses; pairs are never
+    stored.  Frequent words and pairs are counted beforehand and held by every task, so they send nothing; all others
+    have less than total / FREQUENT entries.  What a task holds does not grow with the corpus but for the entries of one
+    bucket.
 
-    Null and empty texts have no tokens and null losses.  Null target ids mark nothing, repeated ones once; without
-    target documents the target model is uniform.  Repeated rows are documents of their own.  An empty table gives an
-    empty result.
+    Null and empty texts have no tokens and null losses.  Null ids stay and are no targets; null target ids mark
+    nothing, repeated ones once.  Repeated rows are documents of their own, and so count for each other.  Without target
+    documents the target model is uniform.  An empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     marks = materialize(target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "target")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = docs.join(measured(marks.withColumn("target", F.lit(1))), "doc_id", "left").select(
-        F.coalesce("target", F.lit(0)).alias("target"), "text")
-    words, pairs, base = _models(marked)
-    frequent = Frequent(words.filter("frequent").toPandas(), pairs.filter("frequent").toPandas(), base)
-    shared = spark.sparkContext.broadcast(frequent)
-    scored = materialize(docs.mapInArrow(
-        _score(shared), "r long, doc_id long, n_tokens long, lt double, lb double, ends boolean, keys array<long>"), "scored")
-    rare = words.filter("NOT frequent").select("h", "at", "ab", "rt", "rb").unionByName(
-        pairs.filter("NOT frequent").select("h", "at", "ab", F.lit(0.0).alias("rt"), F.lit(0.0).alias("rb")))
-    wanted = scored.select("r", "ends", F.posexplode("keys").alias("place", "h")).selectExpr("r", "h", "NOT (ends AND place = 0) AS leads")
-    rest = wanted.join(measured(rare), "h").groupBy("r").agg(
-        F.expr("sum(if(leads, rt, 0D) - at) AS more_t"), F.expr("sum(if(leads, rb, 0D) - ab) AS more_b"))
-    losses = scored.select("r", "doc_id", "n_tokens", "lt", "lb").join(rest, "r", "left").selectExpr(
-        "doc_id", "n_tokens", *(f"if(n_tokens > 0, (l{m} + coalesce(more_{m}, 0D)) / n_tokens, NULL) AS {name}" for m, name in (("t", "target_loss"), ("b", "background_loss"))))
+        "doc_id", F.coalesce("target", F.lit(0)).alias("target"), "text")
+    model, total = _models(marked)
+    shared = spark.sparkContext.broadcast(model)
+    sent = marked.mapInArrow(_entries(shared, max(1, total // BUCKET)), _SENT)
+    parts = sent.repartition("b").sortWithinPartitions("b").mapInArrow(_gains(shared), "r long, doc_id long, n_tokens long, lb double, lt double")
+    losses = parts.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    losses = losses.selectExpr("doc_id", "n_tokens", "if(n_tokens > 0, lt / n_tokens, NULL) AS target_loss", "if(n_tokens > 0, lb / n_tokens, NULL) AS background_loss")
     return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))

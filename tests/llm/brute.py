@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -162,3 +163,33 @@ def conversations(rows):
     for conv, *row in rows:
         own[conv].append(row)
     return {conv: conversation(r, conv) for conv, r in own.items()}
+
+
+def lm_losses(rows, targets, first=None, smoothing=64.0):
+    """Mean losses under the target and the background model of the first (doc_id, text) rows, by all other rows' pairs."""
+    own = [(words(text), i in targets) for i, text in rows]
+    seen = Counter(w for doc, _ in own for w in doc)
+    known = {w for w, n in seen.items() if n >= 2}
+    out = []
+    for doc, mark in own[:first]:
+        losses = []
+        for only in (True, False):
+            part = [(d, m) for d, m in own if m or not only]
+            n = Counter(w if w in known else None for d, _ in part for w in d)
+            total = sum(n.values()) + len(known) + 1
+            others = [d for d, _ in part]
+            if mark or not only:
+                others.remove(doc)
+            after, lead = Counter(), Counter()
+            for d in others:
+                for v, w in zip(["<s>", *d], d):
+                    lead[v] += 1
+                    after[v, w] += 1
+            loss = 0.0
+            for v, w in zip(["<s>", *doc], doc):
+                p = (n[w if w in known else None] + 1) / total
+                inside = w in known and (v in known or v == "<s>")
+                loss -= math.log(((after[v, w] if inside else 0) + smoothing * p) / ((lead[v] if v in known or v == "<s>" else 0) + smoothing))
+            losses.append(loss / len(doc) if doc else None)
+        out.append((len(doc), *losses))
+    return out

@@ -270,42 +270,29 @@ def test_language_model(spark, edge, empty):
     assert language_model.score(empty, target).count() == 0
 
 
-def test_language_model_whole(spark, monkeypatch):
-    """Every word and pair that occurs twice counts, though tasks hold a few of them only."""
-    monkeypatch.setattr(language_model, "VOCABULARY", 4)
-    monkeypatch.setattr(language_model, "PAIRS", 6)
-    rows = [(k, prose(k, 150) + (" often" * 40 if k % 3 else " often rare" * 3)) for k in range(40)] + [(40, "once"), (41, prose(3, 150)), (41, "x x x"), (42, None)]
-    marks = set(range(0, 40, 4))
-    own = [(k, brute.words(text), k in marks) for k, text in rows]
-    count = lambda keys: [Counter(x for _, w, m in own if m for x in keys(w)), Counter(x for _, w, _ in own for x in keys(w))]
-    words, pairs = count(lambda w: w), count(lambda w: zip([None, *w], w))
-    known = sorted(w for w in words[1] if words[1][w] >= 2)
-    number = {w: k for k, w in enumerate(known)}
-    ids = lambda w: number.get(w, len(known)) if w is not None else len(known) + 1
-    kept = sorted((ids(v) * (len(known) + 2) + ids(w), (v, w)) for v, w in pairs[1] if pairs[1][v, w] >= 2)
-    model = language_model.Model(
-        np.arange(len(known)), [np.array([*(c[w] for w in known), sum(c.values()) - sum(c[w] for w in known)]) for c in words],
-        np.array([k for k, _ in kept]), [np.array([c[p] for _, p in kept]) for c in pairs])
-    want = []
-    for k, w, _ in own:
-        at = np.array([ids(x) for x in w], np.int64)
-        mean = [float(x.mean()) for x in model.losses(at, np.array([len(known) + 1, *at[:-1]]))] if w else [None, None]
-        want.append((k, len(w), *mean))
+@pytest.mark.parametrize("frequent", [4, 1 << 18])
+def test_language_model_whole(spark, monkeypatch, frequent):
+    """Every word and pair counts, however few of them a task holds itself."""
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    monkeypatch.setattr(language_model, "BUCKET", 500)
+    rows = [(k, prose(k, 150) + (" often" * 40 if k % 3 else " often rare" * 3)) for k in range(40)] + [(40, "once"), (41, prose(3, 150)), (41, "x x x"), (42, None), (43, " ")]
+    rows += [(None, "often rare x"), (44, "x"), (44, "x"), (45, prose(1, 3000))]
+    marks = set(range(0, 45, 4))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = language_model.score(df, spark.createDataFrame([(k,) for k in marks], "doc_id long")).drop("score").collect()
-    order = lambda r: (r[0], r[1])
+    want = [(k, *loss) for (k, _), loss in zip(rows, brute.lm_losses(rows, marks))]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or 0)
     for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
-        assert a == pytest.approx(b, abs=1e-4)
+        assert a == pytest.approx(b, abs=1e-9)
 
 
-def test_language_model_sums_to_one():
-    vocabulary = np.array([5, 9, 12], np.uint64)
-    words = [np.array([4, 2, 0, 3]), np.array([9, 5, 4, 8])]
-    pairs = np.array([0 * 5 + 1, 1 * 5 + 0, 4 * 5 + 2])
-    model = language_model.Model(vocabulary, words, pairs, [np.array([2, 1, 0]), np.array([4, 2, 3])])
-    for before in range(5):
-        for loss in model.losses(np.arange(4), np.full(4, before)):
-            assert abs(np.exp(-loss.astype(float)).sum() - 1) < 1e-5
+def test_language_model_given(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    marks = {k for k, _ in rows if k % 3 == 0}
+    got = {r["doc_id"]: tuple(r)[1:4] for r in language_model.score(docs, spark.createDataFrame([(k,) for k in marks], "doc_id long")).collect()}
+    for (k, _), loss in zip(rows, brute.lm_losses(rows, marks, 30)):
+        assert got[k] == pytest.approx(loss, abs=1e-9)
 
 
 def test_licences(spark, docs):
