@@ -30,9 +30,10 @@ FREQUENT = 1 << 18
 LEAST = 2
 # Weight of the word distribution in the distribution after a word.
 SMOOTHING = 64.0
-# Words of a bucket, about, and entries that a task gathers before it sends them off.
+# Words of a bucket and of a task that reads buckets, about, and entries that a task gathers before it sends them off.
 BUCKET = 1 << 18
-FLUSH = 1 << 21
+TASK = 1 << 23
+FLUSH = 1 << 20
 
 _COUNTS = "kind int, h long, n long, t long, ln long, lt long"
 _WORD, _PAIR, _BEGIN = range(3)
@@ -203,7 +204,7 @@ def _entries(shared, buckets: int):
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 for name, value in (("b", int(at[a])), ("r", base), ("n", z - a), ("body", _pack(entries, slice(a, z)))):
                     rows[name].append(value)
-            yield _row(len(rows["b"]), b=rows["b"], r=rows["r"], n=rows["n"], body=rows["body"])
+            yield _row(len(rows["b"]), _SENT_SCHEMA, b=rows["b"], r=rows["r"], n=rows["n"], body=rows["body"])
 
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
@@ -246,7 +247,7 @@ def _entries(shared, buckets: int):
                     "r": of[rest] + (row - base), "c": c[rest], "cw": np.where(head, cw[own], 0), "lw": np.where(head, lw[own], 0),
                     "mark": mark[of[rest]] * _TARGET + rare * _RARE})
                 ids = np.arange(row, row + len(count))
-                yield _row(len(ids), b=ids % buckets, r=ids, doc_id=batch.column("doc_id").slice(first, len(count)), n_tokens=count, lb=loss[:, 0], lt=loss[:, 1])
+                yield _row(len(ids), _SENT_SCHEMA, b=ids % buckets, r=ids, doc_id=batch.column("doc_id").slice(first, len(count)), n_tokens=count, lb=loss[:, 0], lt=loss[:, 1])
                 row += len(count)
                 if sum(len(h["c"]) for h in held) >= FLUSH or row - base >= 1 << 31:
                     yield from flush()
@@ -259,10 +260,11 @@ def _entries(shared, buckets: int):
 _SENT_SCHEMA = pa.schema({"b": pa.int64(), "r": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "lb": pa.float64(), "lt": pa.float64(), "n": pa.int32(), "body": pa.binary()})
 
 
-def _row(size: int, **columns) -> pa.RecordBatch:
+def _row(size: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
     """Rows with the given columns, null in all others."""
+    arrays = [columns.get(f.name) for f in schema]
     return pa.RecordBatch.from_arrays([
-        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _SENT_SCHEMA], schema=_SENT_SCHEMA)
+        pa.nulls(size, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema)], schema=schema)
 
 
 def _total(groups: np.ndarray, n: int, e: dict[str, np.ndarray], count: np.ndarray) -> np.ndarray:
@@ -301,18 +303,22 @@ def _bucket(model: Frequent, bodies: list[tuple[int, int, bytes]]) -> tuple[np.n
     return e["r"], out
 
 
+# Documents of a task whose parts of the losses travel together: as many as these low bits of their numbers tell apart.
+_BLOCK_BITS = 12
+_PART_DDL = "block long, r long, doc_id long, n_tokens long, lb double, lt double, n int, body binary"
+_PART_SCHEMA = pa.schema({"block": pa.int64(), **{f.name: f.type for f in _SENT_SCHEMA if f.name != "b"}})
+
+
 def _gains(shared):
-    """Documents as they came, and their parts of the losses from the buckets, which arrive one after the other."""
+    """Documents as they came, and their parts of the losses from the buckets, packed per block of documents.
+
+    Buckets arrive one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Frequent = shared.value
         bucket, bodies, found, size = None, [], [], 0
 
-        def combined():
-            r, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            parts = np.concatenate([f[1] for f in found])
-            return r, np.column_stack([np.bincount(place, weights=parts[:, k], minlength=len(r)) for k in range(2)])
-
         def close():
             nonlocal size
             if bodies:
@@ -320,26 +326,39 @@ def _gains(shared):
                 size += len(found[-1][0])
                 bodies.clear()
             if size >= FLUSH:
-                found[:] = [combined()]
-                size = len(found[0][0])
+                combine()
+
+        def combine():
+            nonlocal size
+            r, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            parts = np.concatenate([f[1] for f in found])
+            found[:] = [(r, np.column_stack([np.bincount(place, weights=parts[:, k], minlength=len(r)) for k in range(2)]))]
+            size = len(r)
 
         def send():
-            r, parts = combined()
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(parts[:, 0]), pa.array(parts[:, 1])],
-                                             names=["r", "doc_id", "n_tokens", "lb", "lt"])
+            nonlocal size
+            combine()
+            r, parts = found[0]
+            block = r >> _BLOCK_BITS
+            cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), [len(r)])).tolist()
+            low = (r & (1 << _BLOCK_BITS) - 1).astype(np.uint16)
+            body = [b"".join(np.ascontiguousarray(x[a:z]).view(np.uint8).reshape(z - a, -1).T.tobytes() for x in (low, parts[:, 0], parts[:, 1]))
+                    for a, z in zip(cuts, cuts[1:])]
+            yield _row(len(body), _PART_SCHEMA, block=block[cuts[:-1]], n=np.diff(cuts), body=body)
+            found.clear()
+            size = 0
 
         for batch in batches:
-            packed = batch.column("body").is_valid()
-            yield batch.filter(batch.column("body").is_null()).select(["r", "doc_id", "n_tokens", "lb", "lt"])
-            rows = batch.filter(packed)
+            docs = batch.filter(batch.column("body").is_null())
+            numbers = docs.column("r").to_numpy()
+            yield _row(len(numbers), _PART_SCHEMA, block=numbers >> _BLOCK_BITS, **{c: docs.column(c) for c in ("r", "doc_id", "n_tokens", "lb", "lt")})
+            rows = batch.filter(batch.column("body").is_valid())
             for b, r, n, body in zip(*(rows.column(c).to_pylist() for c in ("b", "r", "n", "body"))):
                 if b != bucket:
                     close()
                     bucket = b
-                    if size >= FLUSH // 2:
+                    if size >= FLUSH // 2 and len(found) == 1:  # as many documents, each once
                         yield from send()
-                        found.clear()
-                        size = 0
                 bodies.append((r, n, body))
         close()
         if found:
@@ -348,6 +367,33 @@ def _gains(shared):
     return run
 
 
+def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Losses of all documents of a block, which arrives with its parts at once."""
+    block, docs, sums = None, [], np.zeros((1 << _BLOCK_BITS, 2))
+
+    def close():
+        columns = list(zip(*docs)) or [()] * 5
+        low = np.array(columns[0], np.int64) & (1 << _BLOCK_BITS) - 1
+        loss = np.array(columns[3:], float).reshape(2, -1) + sums[low].T
+        yield pa.RecordBatch.from_arrays([pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(loss[0]), pa.array(loss[1])],
+                                         names=["doc_id", "n_tokens", "lb", "lt"])
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("block", "r", "doc_id", "n_tokens", "lb", "lt", "n", "body"))
+        for b, r, doc, tokens, lb, lt, n, body in zip(*columns):
+            if b != block:
+                yield from close()
+                block, docs, sums = b, [], np.zeros((1 << _BLOCK_BITS, 2))
+            if body is None:
+                docs.append((r, doc, tokens, lb, lt))
+                continue
+            planes = np.frombuffer(body, np.uint8).reshape(18, n)
+            low = np.ascontiguousarray(planes[:2].T).view(np.uint16).ravel()
+            for k in range(2):
+                sums[low, k] += np.ascontiguousarray(planes[2 + 8 * k : 10 + 8 * k].T).view(np.float64).ravel()
+    yield from close()
+
+
 def _models(marked: DataFrame) -> tuple[Frequent, int]:
     """The frequent words and pairs with the totals, and the number of words."""
     counts = marked.mapInArrow(_count, _COUNTS).groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in ("n", "t", "ln", "lt")))
@@ -390,7 +436,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     model, total = _models(marked)
     shared = spark.sparkContext.broadcast(model)
     sent = marked.mapInArrow(_entries(shared, max(1, total // BUCKET)), _SENT)
-    parts = sent.repartition("b").sortWithinPartitions("b").mapInArrow(_gains(shared), "r long, doc_id long, n_tokens long, lb double, lt double")
-    losses = parts.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    parts = sent.repartition(max(total // TASK, spark.sparkContext.defaultParallelism), "b").sortWithinPartitions("b").mapInArrow(_gains(shared), _PART_DDL)
+    losses = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_losses, "doc_id long, n_tokens long, lb double, lt double")
     losses = losses.selectExpr("doc_id", "n_tokens", "if(n_tokens > 0, lt / n_tokens, NULL) AS target_loss", "if(n_tokens > 0, lb / n_tokens, NULL) AS background_loss")
     return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
