@@ -165,7 +165,7 @@ _WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
 
 
 def _pack(entries: dict[str, np.ndarray], part: slice) -> bytes:
-    return b"".join(np.ascontiguousarray(entries[name][part].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in _FIELDS)
+    return b"".join(entries[name][part].view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in _FIELDS)
 
 
 def _unpack(bodies: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
@@ -197,7 +197,8 @@ def _entries(shared, buckets: int):
             entries = {name: np.concatenate([h[name] for h in held]) for name, _ in _FIELDS}
             held.clear()
             order = np.argsort(entries["k1"])
-            entries = {name: x[order] for name, x in entries.items()}
+            for name in entries:
+                entries[name] = entries[name][order]
             at = (entries["k1"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))[: len(at)]), [len(at)]))
             rows = {"b": [], "r": [], "n": [], "body": []}
@@ -242,10 +243,11 @@ def _entries(shared, buckets: int):
                 head[np.unique(np.where(rare, group[two[rest]], -1), return_index=True)[1]] = True
                 head &= rare
                 own = group[two[rest]]
-                held.append({
+                entry = {
                     "k1": np.where(rare, words[two[rest]], pairs[two[rest]]), "k2": np.where(rare, pairs[two[rest]], second[rest].astype(np.uint64)),
                     "r": of[rest] + (row - base), "c": c[rest], "cw": np.where(head, cw[own], 0), "lw": np.where(head, lw[own], 0),
-                    "mark": mark[of[rest]] * _TARGET + rare * _RARE})
+                    "mark": mark[of[rest]] * _TARGET + rare * _RARE}
+                held.append({name: entry[name].astype(kind) for name, kind in _FIELDS})
                 ids = np.arange(row, row + len(count))
                 yield _row(len(ids), _SENT_SCHEMA, b=ids % buckets, r=ids, doc_id=batch.column("doc_id").slice(first, len(count)), n_tokens=count, lb=loss[:, 0], lt=loss[:, 1])
                 row += len(count)

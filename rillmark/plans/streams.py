@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillmark.operators import terms, threat
-from rillmark.plans.inputs import WINDOW_SQL
 from rillmark.plans.registry import query
 from rillmark.plans.threats import _DOC_EL, _MEM_SQL, _MEM_TERMS, _SCORE_SQL, PROFILE, rules
 from rillmark.session import scratch_path
 from rillmark.sources import files
 from rillmark.streaming import jobs
-from rillmark.streaming.state import drain, every, keep_running
+from rillmark.streaming.keyed import latest
+from rillmark.streaming.state import drain, every
 
 
 def stream_of(t, name: str, files_per_trigger: int = 1000):
@@ -21,38 +21,49 @@ def stream_of(t, name: str, files_per_trigger: int = 1000):
         f"{t.sf_dir}/{name}.parquet*")
 
 
+BATCHES = 4
+
+
+def in_batches(rows, folder: str, order: str | None = None):
+    """Rows as a stream of at least BATCHES micro-batches, by ranges of ``order`` if that is given.
+
+    They are written as several files first; a table of many splits keeps its number of files.
+    """
+    files_ = max(BATCHES, rows.rdd.getNumPartitions())
+    dealt = rows.repartitionByRange(files_, order) if order else rows.repartition(files_)
+    dealt.write.parquet(folder)
+    stream = rows.sparkSession.readStream.schema(rows.schema)
+    return stream.option("maxFilesPerTrigger", -(-files_ // BATCHES)).parquet(folder)
+
+
 def _measurements(events):
     return events.select(
         F.col("user_id").alias("entity"), F.col("event_type").alias("subtopic"), "value", "ts",
         F.col("event_id").alias("msgid"))
 
 
-def _newest(df, keys):
-    """Latest emitted record per key."""
-    return df.groupBy(*keys).agg(F.max_by("hyperprediction", "batch_id").alias("hyperprediction"))
-
-
 @query(
     "st_rolling_window",
     """SELECT user_id AS entity, event_id AS msgid, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id
       ORDER BY ts DESC, event_id DESC) <= 20""",
 )
 def st_rolling_window(t):
+    """The newest rows of every user, over several micro-batches."""
     base = scratch_path(t.spark, "rolling")
-    stream = _measurements(stream_of(t, "events"))
-    writer = jobs.rolling_windows(
-        stream, ["entity"], ["ts", "msgid"], 20, f"{base}/state", f"{base}/checkpoint",
-        lambda window, batch_id: window.write.mode("overwrite").parquet(f"{base}/out"))
-    drain(writer)
-    return t.spark.read.schema(stream.schema).parquet(f"{base}/out").select("entity", "msgid", "value")
+    stream = in_batches(_measurements(t.events), f"{base}/in")
+    drain(jobs.rolling_windows(stream, ["entity"], ["ts", "msgid"], 20, f"{base}/out", f"{base}/checkpoint"))
+    return latest(t.spark.read.parquet(f"{base}/out"), ["entity"]).select("entity", "msgid", "value")
 
 
 def _rolling(t, base):
-    stream = _measurements(stream_of(t, "events"))
-    drain(jobs.rolling_statistics(
-        stream, ["avg", "max"], 800, f"{base}/state1", f"{base}/pre", f"{base}/checkpoint1"))
+    stream = in_batches(_measurements(t.events), f"{base}/in")
+    drain(jobs.rolling_statistics(stream, ["avg", "max"], ROLLED, f"{base}/windows", f"{base}/pre", f"{base}/checkpoint1"))
 
 
+# Rows of a window: fewer than most keys have, so that old ones are dropped.
+ROLLED = 8
+_ROLLED_SQL = f"""SELECT user_id AS entity, event_type AS subtopic, value AS x FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) <= {ROLLED}"""
 _PRE = "entity bigint, subtopic string, preprocesstype string, hyperprediction double, batch_id bigint"
 
 
@@ -60,48 +71,43 @@ _PRE = "entity bigint, subtopic string, preprocesstype string, hyperprediction d
     "st_rolling_statistics",
     f"""SELECT entity, subtopic, unnest(['avg', 'max']) AS preprocesstype,
       unnest([round(a, 6), round(b, 6)]) AS hyperprediction
-    FROM (SELECT entity, subtopic, avg(x) AS a, max(x) AS b FROM ({WINDOW_SQL}) GROUP BY entity, subtopic)""",
+    FROM (SELECT entity, subtopic, avg(x) AS a, max(x) AS b FROM ({_ROLLED_SQL}) GROUP BY entity, subtopic)""",
 )
 def st_rolling_statistics(t):
+    """Statistics of every window as of its last change, over several micro-batches."""
     base = scratch_path(t.spark, "rolling")
     _rolling(t, base)
-    out = _newest(t.spark.read.schema(_PRE).parquet(f"{base}/pre"), ["entity", "subtopic", "preprocesstype"])
+    out = latest(t.spark.read.schema(_PRE).parquet(f"{base}/pre"), ["entity", "subtopic", "preprocesstype"])
     return out.withColumn("hyperprediction", F.round("hyperprediction", 6))
 
 
 @query(
     "st_chained_topics",
     f"""SELECT entity, round(avg(a), 6) AS avg, round(max(a), 6) AS max
-    FROM (SELECT entity, subtopic, avg(x) AS a FROM ({WINDOW_SQL}) GROUP BY entity, subtopic) GROUP BY entity""",
+    FROM (SELECT entity, subtopic, avg(x) AS a FROM ({_ROLLED_SQL}) GROUP BY entity, subtopic) GROUP BY entity""",
 )
 def st_chained_topics(t):
     """raw -> window statistics -> statistics over the derived stream, each with its own checkpoint."""
     base = scratch_path(t.spark, "chain")
     _rolling(t, base)
     derived = t.spark.readStream.schema(_PRE).parquet(f"{base}/pre")
-    second = derived.filter("preprocesstype = 'avg'")
-    table = f"{base}/state2"
-    writer = jobs.rolling_windows(
-        second, ["entity", "subtopic"], ["batch_id"], 1, table, f"{base}/checkpoint2",
-        lambda window, batch_id: window.write.mode("overwrite").parquet(f"{base}/out"))
-    drain(writer)
-    latest = t.spark.read.schema(_PRE).parquet(f"{base}/out")
-    return latest.groupBy("entity").agg(
+    second = derived.filter("preprocesstype = 'avg'").withColumnRenamed("batch_id", "step")
+    drain(jobs.rolling_windows(second, ["entity", "subtopic"], ["step"], 1, f"{base}/out", f"{base}/checkpoint2"))
+    last = latest(t.spark.read.parquet(f"{base}/out"), ["entity", "subtopic"])
+    return last.groupBy("entity").agg(
         F.round(F.avg("hyperprediction"), 6).alias("avg"), F.round(F.max("hyperprediction"), 6).alias("max"))
 
 
 @query("st_entity_memory", _MEM_SQL + " SELECT * FROM c")
 def st_entity_memory(t):
-    """The stream of documents leaves the same counts as the batch form."""
+    """The stream of documents leaves the same counts as the batch form, over several micro-batches."""
     base = scratch_path(t.spark, "memory")
-    stream = stream_of(t, "documents").select(
-        F.col("source").alias("entity"), F.floor(F.col("doc_id") / 40).alias("window"), "text")
-    writer = jobs.entity_memory(
-        stream, "text", lambda: terms.parse_groups(_MEM_TERMS), 20, 10_000, f"{base}/state", f"{base}/checkpoint",
-        lambda counts, batch_id: counts.write.mode("overwrite").parquet(f"{base}/out"))
-    drain(writer)
-    return t.spark.read.schema(
-        "entity string, windows_seen bigint, attack_windows bigint, pattern_windows bigint").parquet(f"{base}/out")
+    texts = t.documents.select(F.col("source").alias("entity"), F.floor(F.col("doc_id") / 40).alias("window"), "text")
+    stream = in_batches(texts, f"{base}/in", "window")
+    drain(jobs.window_hits(stream, "text", lambda: terms.parse_groups(_MEM_TERMS), f"{base}/hits", f"{base}/checkpoint1"))
+    schema = "entity string, window bigint, terms array<string>"
+    drain(jobs.entity_memory(t.spark, f"{base}/hits", schema, 20, 10_000, f"{base}/out", f"{base}/checkpoint2"))
+    return latest(t.spark.read.parquet(f"{base}/out"), ["entity"])
 
 
 @query(
@@ -161,21 +167,14 @@ def st_deduplicated(t):
     "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 )
 def st_restart(t):
-    """A query that fails once goes on from its checkpoint and loses nothing."""
+    """A query that is started again with its checkpoint goes on with what has arrived since and repeats nothing."""
     base = scratch_path(t.spark, "restart")
-    broken = [True]
-
-    def step(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-        if broken.pop() if broken else False:
-            raise RuntimeError("lost connection")
-
-    rows = stream_of(t, "events").select("event_id", "event_type")
-    survived = keep_running(
-        lambda: rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(
-            availableNow=True).start(), attempts=3)
-    assert survived == 1
-    out = t.spark.read.schema("event_id bigint, event_type string").parquet(f"{base}/out")
+    rows = t.events.select("event_id", "event_type")
+    for part in range(2):
+        rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        drain(stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"))
+    out = t.spark.read.schema(rows.schema).parquet(f"{base}/out")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 

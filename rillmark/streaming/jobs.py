@@ -1,110 +1,112 @@
 """Streaming forms of the batch operators.
 
-Each job hands its micro-batches to the same DataFrame functions the batch
-queries use.  Outputs are written per batch id, so a repeated batch replaces
-its own output.
+Jobs hand their micro-batches to the same DataFrame functions the batch
+queries use; what must be remembered per key is keyed state (``keyed``).
+Outputs are written per batch id, so a repeated batch replaces its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from rillmark.operators import memory, stats, terms, threat
-from rillmark.operators.windows import last_n
 from rillmark.session import materialize
 from rillmark.sources import files, sinks
-from rillmark.streaming.state import StateTable
+from rillmark.streaming import keyed
 
 
 def _batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
-def rolling_windows(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, state: str, checkpoint: str,
-    emit: Callable[[DataFrame, int], None] | None = None,
-) -> DataStreamWriter:
-    """Newest ``n`` rows per key over the whole stream, refreshed by every batch.
+def updates(stream: DataFrame, out: str, checkpoint: str, emit: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """Write what each batch of an update stream emits below ``out``; ``emit`` gets it as stored.
 
-    A batch is cut to its own newest rows first; then it meets the stored ones.
+    Stored rows can be read as often as needed, while the batch itself would run its keyed state again.
     """
-    table = StateTable(state, stream.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch.sparkSession, batch_id)
-        rows = batch if before is None else before.unionByName(batch)
-        kept = table.write(last_n(rows, keys, order, n).drop("rn"), batch_id)
+        folder = _batch_folder(out, batch_id)
+        batch.write.mode("overwrite").parquet(folder)
         if emit is not None:
-            emit(kept, batch_id)
+            emit(batch.sparkSession.read.schema(batch.schema).parquet(folder), batch_id)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def rolling_windows(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str, checkpoint: str,
+    emit: Callable[[DataFrame, int], None] | None = None,
+) -> DataStreamWriter:
+    """Newest ``n`` rows per key over the whole stream: each batch leaves the windows of its own keys."""
+    return updates(keyed.newest_rows(stream, keys, order, n), out, checkpoint, emit)
 
 
 def rolling_statistics(
-    stream: DataFrame, types: Sequence[str], maxrows: int, state: str, out: str, checkpoint: str
+    stream: DataFrame, types: Sequence[str], maxrows: int, windows: str, out: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Preprocessed records of every entity's window, one set per batch."""
+    """Preprocessed records of the windows that a batch changed."""
 
     def emit(window: DataFrame, batch_id: int) -> None:
         stats.preprocess(window, types, maxrows).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
-    return rolling_windows(stream, stats.KEYS, stats.ORDER, maxrows, state, checkpoint, emit)
+    return rolling_windows(stream, stats.KEYS, stats.ORDER, maxrows, windows, checkpoint, emit)
 
 
-def entity_memory(
-    stream: DataFrame, text: str, term_source: Callable[[], Sequence[terms.TermGroup]], remember: int, maxwindows: int,
-    state: str, checkpoint: str, emit: Callable[[DataFrame, int], None],
+def window_hits(
+    stream: DataFrame, text: str, term_source: Callable[[], Sequence[terms.TermGroup]], out: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Remembered windows per entity; the counts go to ``emit`` after each batch.
+    """Terms seen per entity and window of every batch, for :func:`entity_memory`.
 
-    The terms are read again for every batch; what old windows held is stored
-    by the terms' own texts, so terms may come, go and move.
+    The terms are read again for every batch; what is stored are the terms' own
+    texts, so terms may come, go and move.
     """
-    probe = memory.window_hits(stream.sparkSession.createDataFrame([], stream.schema), text, term_source())
-    table = StateTable(state, probe.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        hits = memory.window_hits(batch, text, term_source())
-        before = table.read(batch.sparkSession, batch_id)
-        if before is not None:
-            hits = memory.merge_hits(before.unionByName(hits))
-        kept = last_n(hits, ["entity"], ["window"], min(remember, maxwindows)).drop("rn")
-        emit(memory.memory_counts(table.write(kept, batch_id), remember, maxwindows), batch_id)
+        memory.window_hits(batch, text, term_source()).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def entity_memory(
+    spark: SparkSession, hits: str, schema: str, remember: int, maxwindows: int, out: str, checkpoint: str
+) -> DataStreamWriter:
+    """Counts of every entity's remembered windows, chained behind :func:`window_hits`.
+
+    ``schema`` names the types of ``entity``, ``window`` and ``terms``.  Sets
+    of terms are merged, so a repeated batch of hits changes nothing.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(hits)
+    return updates(keyed.remembered_windows(stream, min(remember, maxwindows)), out, checkpoint)
+
+
 def log_scan(
     stream: DataFrame, line: str, file: str, line_number: str, rules: Sequence[threat.Rule], weights: threat.Weights,
     baseline: str, hours: float, clock: Callable[[int], str], out: str, checkpoint: str,
 ) -> DataStreamWriter:
     """Score the new lines of each batch together against the stored baseline.
 
-    ``clock`` gives the time of a batch.  The baseline of batch b is read from
-    what batch b-1 left, so a repeated batch sees the same one.
+    ``clock`` gives the time of a batch.  Every batch leaves the baseline that
+    holds after it, one row per category, under its number; the next one reads
+    that, so a repeated batch sees the same one.
     """
-    table = StateTable(baseline, T._parse_datatype_string(sinks.BASELINE_SCHEMA))
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         found = threat.elements(batch, line, rules, [file, line_number])
         stored = materialize(threat.unique_elements(found, file, line_number), "elements")
-        before = table.read(batch.sparkSession, batch_id)
+        before = sinks.load_baseline(spark, _batch_folder(baseline, batch_id - 1)) if batch_id else None
         known = None if before is None or before.isEmpty() else before
-        if stored.isEmpty():
-            if known is not None:
-                table.write(known, batch_id)
-            else:
-                table.write(batch.sparkSession.createDataFrame([], sinks.BASELINE_SCHEMA), batch_id)
-            return
-        scored = threat.score_batch(stored, weights, known, stored=False)
-        scored.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-        current = threat.distribution(stored, "event_type")
-        table.write(sinks.next_baseline(known, current, clock(batch_id), hours), batch_id)
+        after = known if known is not None else spark.createDataFrame([], sinks.BASELINE_SCHEMA)
+        if not stored.isEmpty():
+            scored = threat.score_batch(stored, weights, known, stored=False)
+            scored.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+            after = sinks.next_baseline(known, threat.distribution(stored, "event_type"), clock(batch_id), hours)
+        after.write.mode("overwrite").parquet(_batch_folder(baseline, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

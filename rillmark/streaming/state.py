@@ -1,43 +1,9 @@
-"""State that a micro-batch replaces as a whole, and how queries are run."""
+"""How streaming queries are triggered.
 
-from __future__ import annotations
-
-import time
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-
-class StateTable:
-    """A table rewritten by every micro-batch, in two alternating slots.
-
-    Batch b reads what batch b-1 wrote and overwrites the other slot.  A batch
-    that is run again after a failure therefore starts from the same state.
-    """
-
-    def __init__(self, path: str, schema: T.StructType):
-        self.path = path
-        self.schema = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+Restarts are Spark's: a query started again with its checkpoint goes on where it stopped.
+"""
 
-    def _slot(self, batch_id: int) -> str:
-        return f"{self.path}/slot{batch_id % 2}"
-
-    def read(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """State left by the batch before ``batch_id``; None when there is none."""
-        if batch_id == 0:
-            return None
-        table = spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
-        return table.filter(F.col("_batch") == batch_id - 1).drop("_batch")
-
-    def write(self, df: DataFrame, batch_id: int) -> DataFrame:
-        """Replace the state and return it as stored."""
-        columns = [f.name for f in self.schema.fields[:-1]]
-        df.select(*columns, F.lit(batch_id).cast("long").alias("_batch")).write.mode("overwrite").parquet(
-            self._slot(batch_id))
-        return df.sparkSession.read.schema(self.schema).parquet(self._slot(batch_id)).drop("_batch")
+from __future__ import annotations
 
 
 def every(seconds: float) -> dict[str, str]:
@@ -49,20 +15,3 @@ def drain(writer, trigger: dict | None = None) -> None:
     """Process everything available and stop."""
     query = writer.trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
-
-
-def keep_running(start: Callable[[], StreamingQuery], attempts: int, pause_seconds: float = 0.0) -> int:
-    """Restart a failing query from its checkpoint; give up after ``attempts`` failures.
-
-    Returns the number of failures survived.
-    """
-    failures = 0
-    while True:
-        try:
-            start().awaitTermination()
-            return failures
-        except Exception:
-            failures += 1
-            if failures >= attempts:
-                raise
-            time.sleep(pause_seconds)

@@ -8,7 +8,8 @@ from rillmark.operators import memory, stats, terms, threat
 from rillmark.operators.windows import last_n
 from rillmark.sources import files
 from rillmark.streaming import jobs
-from rillmark.streaming.state import StateTable, drain, keep_running
+from rillmark.streaming.keyed import latest
+from rillmark.streaming.state import drain
 from tests.conftest import rows
 
 SCHEMA = "entity string, subtopic string, value double, ts timestamp_ntz, msgid long"
@@ -29,64 +30,69 @@ def _staged(spark, path, data, schema, parts=4):
 
 
 def test_rolling_window_equals_batch(spark, scratch):
-    data = _events()
+    """Nulls in keys and order included; a key with half of all rows is cut before the shuffle."""
+    data = [*_events(), (None, "a", 1.0, None, 900), (None, "a", 2.0, datetime(2024, 1, 2), 901), ("e1", None, None, None, 902)]
     stream = _staged(spark, f"{scratch}/in", data, SCHEMA)
     seen = []
-
-    def emit(window, batch_id):
-        seen.append(batch_id)
-        window.write.mode("overwrite").parquet(f"{scratch}/out")
-
-    drain(jobs.rolling_windows(stream, ["entity"], ["ts", "msgid"], 9, f"{scratch}/state", f"{scratch}/c", emit))
+    drain(jobs.rolling_windows(stream, ["entity"], ["ts", "msgid"], 9, f"{scratch}/out", f"{scratch}/c", lambda w, b: seen.append(b)))
     assert seen == [0, 1, 2, 3]
     batch = last_n(spark.createDataFrame(data, SCHEMA), ["entity"], ["ts", "msgid"], 9).drop("rn")
-    assert rows(spark.read.parquet(f"{scratch}/out").select(*batch.columns)) == rows(batch)
+    got = latest(spark.read.parquet(f"{scratch}/out"), ["entity"]).select(*batch.columns)
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
+
+
+def test_a_batch_emits_its_own_keys_only(spark, scratch):
+    """A batch with one key emits one key; rows older than the window change nothing."""
+    day = lambda d: datetime(2024, 1, d)
+    parts = [[("a", "s", 1.0, day(5), 1), ("b", "s", 1.0, day(5), 2), ("a", "s", 2.0, day(6), 3)],
+             [("b", "s", 3.0, day(7), 4)], [("a", "s", 0.0, day(1), 5)], [("a", "s", 9.0, day(9), 6)]]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    drain(jobs.rolling_windows(stream, ["entity"], ["ts", "msgid"], 2, f"{scratch}/out", f"{scratch}/c"))
+    got = {}
+    for r in spark.read.parquet(f"{scratch}/out").collect():
+        got.setdefault(r["batch_id"], []).append((r["entity"], r["msgid"]))
+    assert {b: sorted(v) for b, v in got.items()} == {0: [("a", 1), ("a", 3), ("b", 2)], 1: [("b", 2), ("b", 4)], 3: [("a", 3), ("a", 6)]}
 
 
 def test_rolling_statistics_equal_batch(spark, scratch):
     data = _events()
     stream = _staged(spark, f"{scratch}/in", data, SCHEMA)
-    drain(jobs.rolling_statistics(stream, ["avg", "diff"], 20, f"{scratch}/s", f"{scratch}/out", f"{scratch}/c"))
-    last = spark.read.parquet(f"{scratch}/out").filter("batch_id = 3").drop("batch_id")
+    drain(jobs.rolling_statistics(stream, ["avg", "diff"], 20, f"{scratch}/w", f"{scratch}/out", f"{scratch}/c"))
+    last = latest(spark.read.parquet(f"{scratch}/out"), ["entity", "subtopic", "preprocesstype"])
     want = stats.preprocess(spark.createDataFrame(data, SCHEMA), ["avg", "diff"], 20)
     got = {r[:3]: r[3] for r in rows(last.select(*want.columns))}
     assert got == pytest.approx({r[:3]: r[3] for r in rows(want)})
 
 
-def test_failed_batch_is_repeated_from_the_same_state(spark, scratch):
+def test_a_restarted_query_goes_on_from_its_state(spark, scratch):
+    """A batch that failed is run again on the state of the batch before."""
     data = _events(200)
     stream = _staged(spark, f"{scratch}/in", data, SCHEMA)
-    fail_at = [2]
+    failed = []
 
     def emit(window, batch_id):
-        if fail_at and batch_id == fail_at[0]:
-            fail_at.clear()
+        if batch_id == 2 and not failed:
+            failed.append(batch_id)
             raise RuntimeError("executor lost")
-        window.write.mode("overwrite").parquet(f"{scratch}/out")
 
-    failures = keep_running(lambda: jobs.rolling_windows(
-        stream, ["entity"], ["ts", "msgid"], 5, f"{scratch}/state", f"{scratch}/c", emit).trigger(availableNow=True).start(), 3)
-    assert failures == 1
+    writer = lambda: jobs.rolling_windows(stream, ["entity"], ["ts", "msgid"], 5, f"{scratch}/out", f"{scratch}/c", emit)
+    with pytest.raises(Exception, match="executor lost"):
+        drain(writer())
+    drain(writer())
+    assert failed == [2]
     batch = last_n(spark.createDataFrame(data, SCHEMA), ["entity"], ["ts", "msgid"], 5).drop("rn")
-    assert rows(spark.read.parquet(f"{scratch}/out").select(*batch.columns)) == rows(batch)
-
+    assert rows(latest(spark.read.parquet(f"{scratch}/out"), ["entity"]).select(*batch.columns)) == rows(batch)
 
-def test_giving_up():
-    class Broken:
-        def awaitTermination(self):
-            raise RuntimeError("no")
 
-    with pytest.raises(RuntimeError):
-        keep_running(Broken, 2)
+MEMORY = "entity string, window long, terms array<string>"
 
 
-def test_state_ignores_other_batches(spark, scratch):
-    df = spark.createDataFrame([(1,)], "x int")
-    table = StateTable(scratch, df.schema)
-    assert table.read(spark, 0) is None
-    table.write(df, 0)
-    assert rows(table.read(spark, 1)) == [(1,)]
-    assert table.read(spark, 3).count() == 0
+def _remember(spark, scratch, stream, source, n):
+    drain(jobs.window_hits(stream, "text", source, f"{scratch}/hits", f"{scratch}/c1"))
+    drain(jobs.entity_memory(spark, f"{scratch}/hits", MEMORY, n, 10_000, f"{scratch}/out", f"{scratch}/c2"))
+    return latest(spark.read.parquet(f"{scratch}/out"), ["entity"])
 
 
 def test_memory_equals_batch(spark, scratch):
@@ -97,10 +103,7 @@ def test_memory_equals_batch(spark, scratch):
     want = memory.memory_counts(memory.window_hits(spark.createDataFrame(data, schema), "text", groups), 12)
     # Windows arrive in order, as micro-batches do.
     stream = _staged(spark, f"{scratch}/in", sorted(data, key=lambda d: d[1]), schema)
-    drain(jobs.entity_memory(
-        stream, "text", lambda: groups, 12, 10_000, f"{scratch}/state", f"{scratch}/c",
-        lambda counts, b: counts.write.mode("overwrite").parquet(f"{scratch}/out")))
-    assert rows(spark.read.parquet(f"{scratch}/out").select(*want.columns)) == rows(want)
+    assert rows(_remember(spark, scratch, stream, lambda: groups, 12).select(*want.columns)) == rows(want)
 
 
 def test_memory_over_a_reload(spark, scratch):
@@ -112,12 +115,9 @@ def test_memory_over_a_reload(spark, scratch):
 
     def source():
         calls.append(0)
-        return terms.parse_groups(specs[min(max(len(calls) - 2, 0), 3)])
+        return terms.parse_groups(specs[len(calls) - 1])
 
-    drain(jobs.entity_memory(
-        stream, "text", source, 12, 10_000, f"{scratch}/state", f"{scratch}/c",
-        lambda counts, b: counts.write.mode("overwrite").parquet(f"{scratch}/out")))
-    got = spark.read.parquet(f"{scratch}/out").first()
+    got = _remember(spark, scratch, stream, source, 12).first()
     assert (got["windows_seen"], got["attack_windows"], got["pattern_windows"]) == (4, 4, 1)
 
 
