@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions.text import java_regex, pattern_fault
+from rillmark.session import materialize
 
 ENTITY_MARK = "--entity--"
 
@@ -106,43 +111,146 @@ GRAM = 3
 _WORD, _BETWEEN = r"(?U)\w+", r"(?U)\W+"
 
 
-def _words_with(pieces: DataFrame, vocabulary: DataFrame, term_key: str) -> DataFrame:
-    """(term_key, _anchor) of every word of the vocabulary that contains a term's ``_piece``."""
-    heads = pieces.select(term_key, "_piece", F.substring("_piece", 1, GRAM).alias("_gram"))
-    word = F.col("_anchor")
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substring(word, i, n)))))
-    met = vocabulary.select("_anchor", F.explode(grams).alias("_gram")).join(heads, "_gram")
-    return met.filter(F.contains("_anchor", "_piece")).select(term_key, "_anchor")
+def _grams(rows: DataFrame, text: str, out: str, size: int) -> DataFrame:
+    """One row per substring of ``size`` characters."""
+    longer = rows.filter(F.length(text) >= size)
+    at = longer.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - (size - 1))))
+    return at.withColumn(out, F.substring(F.col(text), F.col("_at"), F.lit(size))).drop("_at")
+
+
+def _containing(pieces: DataFrame, vocabulary: DataFrame, short: bool) -> DataFrame:
+    """(piece, anchor, df) of every entry of the vocabulary (anchor, df) that contains a piece.
+
+    A piece of GRAM characters or more is looked up by its rarest gram; with
+    ``short``, shorter pieces by themselves.
+    """
+    wanted = materialize(_grams(pieces, "piece", "gram", GRAM), "grams")
+    grams = _grams(vocabulary, "anchor", "gram", GRAM).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(frequency, "gram").groupBy("piece").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    met = grams.join(rarest, "gram").filter(F.contains("anchor", "piece")).select("piece", "anchor", "df")
+    if short:
+        for size in range(1, GRAM):
+            parts = _grams(vocabulary, "anchor", "piece", size)
+            met = met.unionByName(parts.join(pieces.filter(F.length("piece") == size), "piece").select("piece", "anchor", "df"))
+    return met.distinct()
+
+
+def _by_least(rows: DataFrame, term_key: str) -> DataFrame:
+    """(term_key, anchor) for the piece of each term that the fewest texts hold."""
+    weights = rows.groupBy(term_key, "piece").agg(F.sum("df").alias("weight"))
+    chosen = weights.groupBy(term_key).agg(F.min_by("piece", F.struct("weight", "piece")).alias("piece"))
+    return rows.join(chosen, [term_key, "piece"]).select(term_key, "anchor")
 
 
 def match_term_table(
     texts: DataFrame, keys: Sequence[str], text: str, terms: DataFrame, term: str, term_key: str
 ) -> DataFrame:
-    """(keys, term_key) of every text that contains a term of a large table.
-
-    Each term is looked up by its longest inner word: a word strictly inside
-    the term stands as a whole word in any text that contains it.  A term
-    without an inner word is looked up by the words that contain its longest
-    word, among the distinct words of all texts; one without any word by the
-    runs between words.  Only candidates are compared in full, so no text is
-    paired with terms it cannot hold.
+    """(keys, term_key) of every text that contains a term of a table of any size.
+
+    Each term is looked up by an anchor: a word strictly inside the term stands
+    as a whole word in any text that contains it, and of those words the one in
+    the fewest texts is taken.  A term without an inner word is looked up by
+    the words that contain its rarer end, among the distinct words of all
+    texts; one without any word by the runs between words.  Only candidates are
+    compared in full, so no text is paired with terms it cannot hold.  Anchors
+    and candidates are stored, so that Spark joins them by their true sizes.
     """
-    words = F.split(F.col(term), _BETWEEN)
-
-    def longest(parts: Column) -> Column:
-        return F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-
-    inner = longest(F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & (w != "")))
-    piece = F.coalesce(longest(F.filter(words, lambda w: w != "")), F.col(term))
-    keyed = terms.select(term_key, inner.alias("_anchor"), piece.alias("_piece")).filter(F.col(term) != "")
-
-    parts = F.array_union(F.split(F.col(text), _BETWEEN), F.split(F.col(text), _WORD))
-    tokens = texts.select(*keys, F.explode(parts).alias("_anchor")).filter("_anchor <> ''")
-    vocabulary = tokens.select("_anchor").distinct()
-    anchored = keyed.filter("_anchor is not null").select(term_key, "_anchor")
-    anchored = anchored.unionByName(_words_with(keyed.filter("_anchor is null"), vocabulary, term_key))
-    candidates = tokens.join(anchored, "_anchor").select(*keys, term_key)
-    full = candidates.distinct().join(terms.select(term_key, term), term_key).join(texts.select(*keys, text), list(keys))
+    parts = F.split(F.col(term), _BETWEEN)
+    inner = F.array_distinct(F.filter(parts, lambda w, i: (i > 0) & (i < F.size(parts) - 1) & (w != "")))
+    ends = F.array_distinct(F.filter(parts, lambda w: w != ""))
+    keyed = terms.filter(F.col(term) != "").select(term_key, F.col(term).alias("_term"), inner.alias("_inner"), ends.alias("_ends"))
+    kinds = keyed.agg(
+        F.coalesce(F.bool_or((F.size("_inner") == 0) & (F.size("_ends") > 0)), F.lit(False)).alias("ends"),
+        F.coalesce(F.bool_or(F.size("_ends") == 0), F.lit(False)).alias("none"),
+        F.coalesce(F.bool_or(F.exists("_ends", lambda w: F.length(w) < GRAM)), F.lit(False)).alias("short")).first()
+
+    tokens = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _BETWEEN))).alias("anchor")).filter("anchor <> ''")
+    words = materialize(tokens.groupBy("anchor").agg(F.count("*").alias("df")), "words")
+    inside = keyed.filter(F.size("_inner") > 0).select(term_key, F.explode("_inner").alias("anchor"))
+    rarest = inside.join(words, "anchor", "left").groupBy(term_key).agg(
+        F.min_by("anchor", F.struct(F.coalesce("df", F.lit(0)), "anchor")).alias("anchor"))
+    anchors = rarest
+    if kinds["ends"]:
+        pieces = keyed.filter((F.size("_inner") == 0) & (F.size("_ends") > 0)).select(term_key, F.explode("_ends").alias("piece"))
+        met = materialize(pieces.join(_containing(pieces.select("piece").distinct(), words, kinds["short"]), "piece"), "pieces")
+        anchors = anchors.unionByName(_by_least(met, term_key))
+    found = tokens.join(materialize(anchors, "anchors"), "anchor").select(*keys, term_key)
+    if kinds["none"]:
+        runs = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _WORD))).alias("anchor")).filter("anchor <> ''")
+        pieces = keyed.filter(F.size("_ends") == 0).select(term_key, F.col("_term").alias("piece"))
+        met = pieces.join(_containing(pieces.select("piece").distinct(), runs.groupBy("anchor").agg(F.count("*").alias("df")), True), "piece")
+        found = found.unionByName(runs.join(met.select(term_key, "anchor"), "anchor").select(*keys, term_key))
+    candidates = materialize(found.distinct().join(terms.select(term_key, term), term_key), "candidates")
+    full = texts.select(*keys, text).join(candidates, list(keys))
     return full.filter(F.contains(F.col(text), F.col(term))).select(*keys, term_key)
+
+
+GROUP_SCHEMA = "group string, kind string, term string"
+
+
+def group_table(lines: DataFrame) -> DataFrame:
+    """(group, kind, term) of the term files' rows (folder, every, kind, term).
+
+    ``kind`` is ``any``, ``every`` or ``regex``.  The plain lines of a folder
+    are one group, a group line is one or more.
+    """
+    plain = lines.filter("kind = 'plain'").select(
+        F.concat_ws(" ", F.lit("folder"), "folder").alias("group"), F.when(F.col("every"), "every").otherwise("any").alias("kind"), "term")
+    pieces = lines.filter("kind = 'group'").select(F.explode(F.split("term", "~~~")).alias("piece")).select(F.trim("piece").alias("piece"))
+    patterns = pieces.filter("startswith(piece, 'rgx:')").select(F.substring("piece", 5, 2**31 - 1).alias("term"))
+    patterns = patterns.unionByName(lines.filter("kind = 'regex'").select("term"))
+    listed = pieces.filter("NOT startswith(piece, 'rgx:')").select(
+        F.concat_ws(" ", F.lit("line"), "piece").alias("group"), F.when(F.startswith("piece", F.lit("@")), "every").otherwise("any").alias("kind"),
+        F.explode(F.split(F.ltrim("piece", F.lit("@|")), ",")).alias("term")).withColumn("term", F.trim("term"))
+    regex = patterns.select(F.concat_ws(" ", F.lit("regex"), "term").alias("group"), F.lit("regex").alias("kind"), "term")
+    return plain.unionByName(listed).unionByName(regex).filter("term <> ''").distinct()
+
+
+def group_rows(groups: Sequence[TermGroup]) -> list[tuple[str, str, str]]:
+    """The same rows of parsed groups."""
+    rows = []
+    for group in groups:
+        kind = "regex" if group.regex else "every" if group.every else "any"
+        rows += [(f"{kind} " + ",".join(group.terms), kind, term) for term in group.terms]
+    return rows
+
+
+def _matching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The patterns that are found in their texts; one that does not compile is found nowhere."""
+
+    @functools.cache
+    def compiled(pattern: str):
+        try:
+            return re.compile(pattern)
+        except re.error:
+            return None
+
+    for batch in batches:
+        keys = batch.columns[:-2]
+        rows = []
+        for *key, text, patterns in batch.itertuples(index=False, name=None):
+            rows += [(*key, p) for p in patterns if text is not None and (c := compiled(p)) and c.search(text)]
+        yield pd.DataFrame(rows, columns=[*keys, "term"])
+
+
+def match_groups(texts: DataFrame, keys: Sequence[str], text: str, groups: DataFrame) -> DataFrame:
+    """(keys, found) of every text with a hit: the sorted distinct terms of the groups that hold.
+
+    ``groups`` has rows (group, kind, term), as many as there may be: texts and
+    terms meet by :func:`match_term_table`, an ``every`` group counts when all
+    its terms are found.  Patterns have no word to be looked up by, so each task
+    tests every text against all of them; they are one value, not a table.
+    """
+    literal = groups.filter("kind <> 'regex'")
+    hits = match_term_table(texts, keys, text, literal.select("term", F.col("term").alias("_key")).distinct(), "term", "_key")
+    hits = hits.withColumnRenamed("_key", "term").join(literal, "term")
+    need = literal.filter("kind = 'every'").groupBy("group").agg(F.count("*").alias("_need"))
+    whole = hits.filter("kind = 'every'").groupBy(*keys, "group").agg(F.collect_set("term").alias("_terms"))
+    whole = whole.join(need, "group").filter(F.size("_terms") == F.col("_need")).select(*keys, F.explode("_terms").alias("term"))
+    found = hits.filter("kind = 'any'").select(*keys, "term").unionByName(whole)
+    patterns = groups.filter("kind = 'regex'").agg(F.collect_set("term").alias("_patterns"))
+    columns = texts.select(*keys).schema
+    schema = T.StructType([*columns.fields, T.StructField("term", T.StringType())])
+    tested = texts.select(*keys, text).withColumn("_patterns", patterns.scalar()).filter(F.size("_patterns") > 0).mapInPandas(_matching, schema)
+    return found.unionByName(tested).groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("found"))

@@ -131,20 +131,35 @@ def st_log_scan(t):
         "doc_id", "line_number", "raw_score", "normalised_score")
 
 
+_PHRASE = "[a-z]+ [a-z]+"
+
+
 @query(
     "st_reloaded_terms",
-    """SELECT conv_id, turn, concat_ws('|', CASE WHEN contains(text, 'que la') THEN 'que la' END,
-      CASE WHEN contains(text, 'NATION_1') THEN 'NATION_1' END) AS found FROM conversations
-    WHERE contains(text, 'que la')""",
+    f"""WITH ph AS (SELECT DISTINCT conv_id % 4 AS part, regexp_extract(text, '{_PHRASE}') AS term FROM conversations
+      WHERE turn < 3 AND regexp_extract(text, '{_PHRASE}') <> ''),
+    c AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 2 END AS batch FROM conversations),
+    f AS (SELECT c.conv_id, c.turn, ph.term FROM c JOIN ph ON ph.part = c.batch AND contains(c.text, ph.term)
+      UNION SELECT conv_id, turn, unnest(['the', 'reat']) FROM c WHERE contains(text, 'the') AND contains(text, 'reat')
+      UNION SELECT conv_id, turn, 'ouen' FROM c WHERE contains(text, 'ouen')
+      UNION SELECT conv_id, turn, '^[A-M].*[.]$' FROM c WHERE batch = 2 AND regexp_matches(text, '^[A-M].*[.]$'))
+    SELECT DISTINCT conv_id, turn, term FROM f""",
 )
 def st_reloaded_terms(t):
-    """A text stream against configured terms and term files."""
+    """A text stream against a table of terms that grows with the texts; the files change between two batches."""
     base = scratch_path(t.spark, "terms")
-    t.nation.select(F.col("n_name").alias("value")).write.text(f"{base}/files")
-    stream = stream_of(t, "conversations").select("conv_id", "turn", "text")
-    drain(jobs.searched(stream, "text", [f"|{base}/files"], "que la", f"{base}/out", f"{base}/checkpoint"))
+    phrases = t.conversations.filter("turn < 3").select(
+        (F.col("conv_id") % 4).alias("part"), F.regexp_extract("text", _PHRASE, 0).alias("value")).filter("value <> ''")
+    texts = t.conversations.select("conv_id", "turn", "text")
+    for batch in (1, 2):
+        lines = phrases.filter(F.col("part") == batch).select("value")
+        extra = ["~~~@the,reat"] + ["rgx:^[A-M].*[.]$"] * (batch == 2)
+        lines.unionByName(t.spark.createDataFrame([(x,) for x in extra], "value string")).write.mode("overwrite").text(f"{base}/files")
+        texts.filter((F.col("conv_id") % 3 == 0) == (batch == 1)).write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(texts.schema).parquet(f"{base}/in")
+        drain(jobs.searched(stream, ["conv_id", "turn"], "text", [f"|{base}/files"], "ouen", f"{base}/out", f"{base}/checkpoint"))
     out = t.spark.read.schema("conv_id bigint, turn bigint, found array<string>").parquet(f"{base}/out")
-    return out.select("conv_id", "turn", F.array_join("found", "|").alias("found"))
+    return out.select("conv_id", "turn", F.explode("found").alias("term"))
 
 
 @query(

@@ -112,42 +112,25 @@ def log_scan(
 
 
 def searched(
-    stream: DataFrame, text: str, folders: Sequence[str], config: str, out: str, checkpoint: str
+    stream: DataFrame, keys: Sequence[str], text: str, folders: Sequence[str], config: str, out: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Texts with the search terms found; term files are read again for every batch."""
+    """Texts with the search terms found; term files are read again for every batch.
+
+    ``keys`` tell the texts apart.  The term files are a table like any other:
+    every batch is joined with all their terms, however many.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        groups = terms.parse_groups(config) + load_groups(files.term_files(batch.sparkSession, folders))
-        hits = batch.withColumn("found", terms.found_terms(F.col(text), groups)).filter(F.size("found") > 0)
-        hits.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        spark = batch.sparkSession
+        groups = terms.group_table(files.term_files(spark, folders)).unionByName(
+            spark.createDataFrame(terms.group_rows(terms.parse_groups(config)), terms.GROUP_SCHEMA)).distinct()
+        rows = materialize(batch.select(*keys, text), "texts")
+        found = terms.match_groups(rows, keys, text, materialize(groups, "terms"))
+        found.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-MAX_CONFIG_TERMS = 10_000
-
-
-def load_groups(term_rows: DataFrame) -> list[terms.TermGroup]:
-    """Groups of the term files: the plain lines of a folder, each group line, each regex.
-
-    Term files are configuration; more terms than ``MAX_CONFIG_TERMS`` belong
-    in a table for :func:`rillmark.operators.terms.match_term_table`.
-    """
-    rows = term_rows.orderBy("folder", "kind", "term").limit(MAX_CONFIG_TERMS + 1).collect()
-    if len(rows) > MAX_CONFIG_TERMS:
-        raise ValueError("too many terms for expressions: use match_term_table")
-    groups = []
-    for folder, every in sorted({(r["folder"], r["every"]) for r in rows}):
-        plain = tuple(r["term"] for r in rows if (r["folder"], r["every"], r["kind"]) == (folder, every, "plain"))
-        groups += [terms.TermGroup(plain, every)] if plain else []
-    for row in rows:
-        if row["kind"] == "regex":
-            groups.append(terms.TermGroup((row["term"],), regex=True))
-        elif row["kind"] == "group":
-            groups += terms.parse_groups(row["term"])
-    return groups
-
-
 def deduplicated(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """Repeated deliveries within the watermark are dropped."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

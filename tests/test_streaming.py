@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -152,7 +153,7 @@ def test_terms_are_read_again(spark, scratch):
     spark.createDataFrame([(1, "alpha x"), (2, "bat"), (3, "one"), (4, "one two"), (5, "new")], schema).coalesce(1).write.parquet(
         f"{scratch}/in")
     stream = spark.readStream.schema(schema).parquet(f"{scratch}/in")
-    run = lambda: drain(jobs.searched(stream, "text", [f"|{scratch}/terms"], "conf", f"{scratch}/out", f"{scratch}/c"))
+    run = lambda: drain(jobs.searched(stream, ["id"], "text", [f"|{scratch}/terms"], "conf", f"{scratch}/out", f"{scratch}/c"))
     run()
     put("new\n")
     spark.createDataFrame([(6, "alpha"), (7, "new"), (8, "conf")], schema).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
@@ -160,6 +161,27 @@ def test_terms_are_read_again(spark, scratch):
     assert rows(spark.read.parquet(f"{scratch}/out").select("id")) == [(1,), (2,), (4,), (7,), (8,)]
 
 
+def test_any_number_of_terms(spark, scratch):
+    """20,000 terms, among them common, short and punctuated ones, groups and patterns, against plain containment."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6)))
+    texts = [(k, " ".join(word() for _ in range(40)) + rng.choice([".", " -- ", "; x", ""])) for k in range(300)] + [(300, None), (301, "")]
+    plain = {" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(20_000)} | {"a", "--", "; ", "a b", "(none)"}
+    every = [("a", "b c"), ("zz", "a"), (texts[0][1][:9], texts[0][1][-9:])]
+    patterns = ["^a+ ", "(bad", "[gh]{5}$"]
+    groups = [("plain", "any", x) for x in plain] + [(f"g{k}", "every", x) for k, g in enumerate(every) for x in g] + [(p, "regex", p) for p in patterns]
+    got = {r["id"]: r["found"] for r in terms.match_groups(
+        spark.createDataFrame(texts, "id int, text string"), ["id"], "text", spark.createDataFrame(groups, terms.GROUP_SCHEMA)).collect()}
+    want = {}
+    for k, t in texts:
+        t = t or ""
+        found = {x for x in plain if x in t} | {x for g in every if all(y in t for y in g) for x in g}
+        found |= {p for p in ("^a+ ", "[gh]{5}$") if re.search(p, t)}
+        if found:
+            want[k] = sorted(found)
+    assert got == want and len(want) >= 300
+
+
 def test_duplicates_and_time_windows(spark, scratch):
     start = datetime(2024, 1, 1)
     data = [("k1", start), ("k1", start + timedelta(minutes=1)), ("k2", start), ("k1", start + timedelta(minutes=2))]
