@@ -11,7 +11,8 @@ from rillmark.plans.extraction import derived
 from rillmark.plans.inputs import LINES_SQL
 from rillmark.plans.registry import query, register
 from rillmark.session import scratch_path
-from rillmark.sources import files, landing, sinks
+from rillmark.sources import files, landing, ranges, sinks
+from rillmark.streaming.state import drain
 
 
 def _order_lines(t):
@@ -47,7 +48,20 @@ def src_folder_messages(t):
     return files.folder_messages(t.spark, [f"{base}/a", f"{base}/b"], ["orders", "suppliers"]).select("topic", "message")
 
 
-@query("txt_document_chunks")
+# A chunk is the longest beginning of at most 1,024 bytes, cut back behind its last blank; then it is cleaned.
+_CHUNK_SQL = r"""WITH RECURSIVE c AS (
+    SELECT doc_id, 0 AS n, '' AS piece, coalesce(text, '') AS rest FROM documents
+    UNION ALL
+    SELECT doc_id, n + 1, left(rest, k), substr(rest, k + 1) FROM (
+      SELECT doc_id, n, rest, CASE WHEN contains(left(rest, m), ' ') THEN length(regexp_extract(left(rest, m), '(?s)^.* ')) ELSE m END AS k
+      FROM (SELECT *, CASE WHEN strlen(rest) <= 1024 THEN length(rest)
+        ELSE list_max(list_filter(range(256, 1025), lambda i: strlen(left(rest, i)) <= 1024)) END AS m FROM c WHERE rest <> '')))
+  SELECT * FROM (SELECT doc_id, n AS chunk_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(piece, '["'']', '', 'g'),
+    '\\n|\\r|[\n\r;&]', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' +', ' ', 'g') AS chunk FROM c WHERE n > 0)
+  WHERE chunk <> ''"""
+
+
+@query("txt_document_chunks", _CHUNK_SQL)
 def txt_document_chunks(t):
     """Chunks of at most 1,024 bytes of every whole document."""
     return files.chunk_texts(t.documents, ["doc_id"], "text", 1024)
@@ -98,6 +112,24 @@ def src_unread_lines(t):
     return files.unread_lines(lines, marks).select(F.col("path").alias("doc_id"), "line_number")
 
 
+@query(
+    "src_appended_lines",
+    f"SELECT doc_id, count(*) AS lines, doc_id % 2 AS pass FROM ({LINES_SQL}) GROUP BY doc_id",
+)
+def src_appended_lines(t):
+    """Lines that a folder of files has got since the last pass, each read once by byte ranges."""
+    base = scratch_path(t.spark, "appended")
+    marked = inputs.document_lines(t).select("doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "line").alias("value"))
+    for part in (0, 1):
+        marked.filter(F.col("doc_id") % 2 == part).select("value").write.mode("append").text(f"{base}/in")
+        lines = ranges.appended_lines(t.spark, f"{base}/in", "part-*", 1 << 20)
+        drain(lines.withColumn("pass", F.lit(part)).writeStream.format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint"))
+    out = t.spark.read.schema("file string, position bigint, line string, pass int").parquet(f"{base}/out")
+    doc = F.split_part("line", F.lit("|"), F.lit(1)).cast("long")
+    return out.groupBy(doc.alias("doc_id"), F.col("pass").cast("long").alias("pass")).agg(F.count("*").alias("lines"))
+
+
 @query(
     "src_rest_push",
     """SELECT o_orderkey, o_orderstatus, topic FROM (

@@ -82,6 +82,7 @@ def chunk_texts(df: DataFrame, keys: Sequence[str], text: str, size: int) -> Dat
     """(keys, chunk_no, chunk) of every text; cleaned, empty chunks dropped.
 
     Where a piece ends depends on where it began, so one text is cut in order
+    (files in blocks: :func:`rillmark.sources.ranges.file_chunks`)
     while all texts are cut in parallel.
     """
     schema = T.StructType([df.schema[k] for k in keys] + [
@@ -99,13 +100,6 @@ def chunk_texts(df: DataFrame, keys: Sequence[str], text: str, size: int) -> Dat
     return cuts.withColumn("chunk", clean_for_ingest(F.col("chunk"))).filter("chunk <> ''")
 
 
-def file_chunks(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """Chunks of every file below a path as (path, chunk_no, chunk)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return chunk_texts(files, ["path"], "text", size)
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_number, line) of text files of any size.
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.sources import files, landing, pull, sinks
+from rillmark.sources import files, landing, pull, ranges, sinks
 from rillmark.streaming.state import drain
 from tests.conftest import rows
 
@@ -109,7 +109,7 @@ def test_last_word_is_its_own_chunk(spark, scratch):
     os.makedirs(scratch)
     with open(f"{scratch}/a.txt", "w") as f:
         f.write("one two;three\nfour")
-    out = files.file_chunks(spark, scratch, 1024).select("chunk_no", "chunk")
+    out = ranges.file_chunks(spark, scratch, 1024).select("chunk_no", "chunk")
     assert rows(out) == [(1, "one"), (2, "two three four")]
 
 
