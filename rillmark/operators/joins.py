@@ -50,32 +50,47 @@ def training_matrix(
     return counted.filter(F.col("_n") >= minimum).drop("_n")
 
 
+# Parts of a tolerance that a key's rows are scanned in.
+SEGMENTS = 1024
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_seconds: int, out: str,
-    tie: str | None = None,
+    tie: str | None = None, segments: int = SEGMENTS,
 ) -> DataFrame:
     """Latest right value at or before each left row, at most ``tolerance`` old.
 
-    Rows are cut into time buckets as wide as the tolerance; a right row is
-    placed in its own and the next bucket, so a partner is always in the left
-    row's bucket and a hot key is split over time.  Of right rows with equal
-    stamps the one with the largest ``tie`` counts, by default the value itself.
+    A scan of the last known value, in segments: a key's time is cut into
+    segments of a part of the tolerance.  Each reports its last right row, and
+    what a segment takes over is the last one reported by those of a tolerance
+    before it, ``2 * segments`` small rows at most.  So a key whose rows all lie
+    within one tolerance is still spread.  Of right rows with equal stamps the
+    one with the largest ``tie`` counts, by default the value itself.
     """
     width = tolerance_seconds * 1_000_000
-
-    def side(df: DataFrame, mark: int) -> DataFrame:
-        return df.withColumns({"_us": micros(F.col(ts)), "_side": F.lit(mark)})
-
-    lefts = side(left, 1).withColumn("_bucket", F.floor(F.col("_us") / width))
-    lefts = lefts.withColumns({"_rv": F.lit(None).cast(right.schema[value].dataType), "_rus": F.lit(None).cast("long")})
-    own = F.floor(F.col("_us") / width)
-    rights = side(right, 0).select(
-        *keys, "_us", "_side", F.explode(F.array(own, own + 1)).alias("_bucket"),
-        F.col(value).alias("_rv"), F.col("_us").alias("_rus"), F.col(tie or value).alias("_tie"))
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct("_rus", "_rv")), ignorenulls=True).over(w)
-    found = both.withColumn("_last", last).filter(F.col("_side") == 1)
+    part = max(width // segments, 1)
+    whole = -(-width // part)  # segments of a tolerance
+
+    lefts = left.withColumns({"_us": micros(F.col(ts)), "_side": F.lit(1)})
+    rights = right.select(*keys, micros(F.col(ts)).alias("_us"), F.lit(0).alias("_side"), F.col(value).alias("_rv"), F.col(tie or value).alias("_tie"))
+    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_segment", F.floor(F.col("_us") / part))
+    known = F.when(F.col("_side") == 0, F.struct(F.col("_us").alias("_rus"), "_rv"))
+
+    reports = both.groupBy(*keys, "_segment").agg(
+        F.max_by(known, F.when(F.col("_side") == 0, F.struct("_us", "_tie"))).alias("_known"), F.bool_or(F.col("_side") == 1).alias("_asked"))
+    own = F.floor(F.col("_segment") / whole)
+    spans = reports.select(*keys, "_segment", "_known", F.explode(F.array(own, own + 1)).alias("_span"), "_asked", own.alias("_own"))
+    before = Window.partitionBy(*keys, "_span").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_carry", F.last("_known", ignorenulls=True).over(before)).filter("_asked AND _span = _own")
+    carries = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_segment").alias("_ks"), "_carry")
+
+    same = F.col("_segment") == F.col("_ks")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = both.join(carries, same, "left")
+    inside = Window.partitionBy(*keys, "_segment").orderBy("_us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.last(known, ignorenulls=True).over(inside), F.col("_carry"))
+    found = met.withColumn("_last", last).filter(F.col("_side") == 1)
     fresh = F.col("_us") - F.col("_last._rus") <= width
     return found.select(*left.columns, F.when(fresh, F.col("_last._rv")).alias(out))
 
