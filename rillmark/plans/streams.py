@@ -10,7 +10,7 @@ from rillmark.plans.threats import _DOC_EL, _MEM_SQL, _MEM_TERMS, _SCORE_SQL, PR
 from rillmark.session import scratch_path
 from rillmark.sources import files
 from rillmark.streaming import jobs
-from rillmark.streaming.keyed import latest
+from rillmark.streaming.keyed import asof_rows, latest
 from rillmark.streaming.state import drain, every
 
 
@@ -162,6 +162,33 @@ def st_reloaded_terms(t):
     return out.select("conv_id", "turn", F.explode("found").alias("term"))
 
 
+@query(
+    "st_asof",
+    """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'),
+    v AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
+    j AS (SELECT c.event_id, c.ts, v.ts AS vts, v.value FROM c ASOF LEFT JOIN v
+      ON c.user_id = v.user_id AND c.ts >= v.ts)
+    SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(vts) <= 21600000000 THEN value END AS view_value FROM j""",
+)
+def st_asof(t):
+    """Clicks and views as two streams; rows arrive out of order, each click is answered behind the watermark."""
+    base = scratch_path(t.spark, "asof")
+    events = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    # Behind everything, one row that belongs to no user lets the watermark pass all others.
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit("click").alias("event_type"), "ts",
+        F.lit(None).cast("double").alias("value"))
+    in_batches(events, f"{base}/in")
+    last.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    clicks = stream.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    views = stream.filter("event_type = 'view'").select("user_id", "ts", "value")
+    found = asof_rows(clicks, views, ["user_id"], "ts", "value", 6 * 3600, "60 days", "view_value")
+    drain(found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"))
+    out = t.spark.read.schema(found.schema).parquet(f"{base}/out")
+    return out.filter("event_id >= 0").select("event_id", "view_value")
+
+
 @query(
     "st_deduplicated",
     "SELECT DISTINCT user_id || '-' || event_type AS kafkakey, user_id FROM events",

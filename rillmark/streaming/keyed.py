@@ -125,6 +125,78 @@ def remembered_windows(hits: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("entity").transformWithState(RememberedWindows(hits.schema["window"].dataType, n), counts, "Update", "None")
 
 
+class AsOf(StatefulProcessor):
+    """Left rows of a key wait until the watermark has passed them; then all right rows before them are there.
+
+    Right rows are kept while a left row to come can still need them: those within a tolerance of the watermark.
+    """
+
+    def __init__(self, names: Sequence[str], left: T.StructType, value: T.DataType, width: int):
+        self.names, self.left, self.width = tuple(names), left, width
+        self.right = T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", value), T.StructField("value", value)])
+        self.waits = T.StructType([T.StructField("us", T.LongType()), *left.fields])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rights = handle.getListState("rights", self.right)
+        self.lefts = handle.getListState("lefts", self.waits)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        lefts, rights = [], []
+        for row in rows:
+            if row["_side"] == 1:
+                lefts.append((row["_us"], *(row[c] for c in self.left.names)))
+            else:
+                rights.append((row["_us"], row["_tie"], row["_rv"]))
+        if lefts:
+            self.lefts.appendList(lefts)
+            for at in {x[0] for x in lefts}:
+                self.handle.registerTimer(at // 1000 + 1)
+        if rights:
+            self.rights.appendList(rights)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        lefts = [tuple(x) for x in self.lefts.get()]
+        due = sorted((x for x in lefts if x[0] < passed), key=lambda x: x[0])
+        if not due:
+            return
+        rights = sorted((tuple(x) for x in self.rights.get()), key=lambda x: (x[0], x[1] is not None, x[1]))
+        at = -1
+        for us, *row in due:
+            while at + 1 < len(rights) and rights[at + 1][0] <= us:
+                at += 1
+            fresh = at >= 0 and us - rights[at][0] <= self.width
+            yield Row(**dict(zip(self.names, (*row, rights[at][2] if fresh else None))))
+        for state, kept in ((self.lefts, [x for x in lefts if x[0] >= passed]), (self.rights, [x for x in rights if x[0] >= passed - self.width])):
+            if kept:
+                state.put(kept)
+            else:
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def asof_rows(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_seconds: int, delay: str, out: str,
+    tie: str | None = None,
+) -> DataFrame:
+    """``joins.asof_join`` of two streams, in append mode: rows may arrive out of order by up to ``delay``.
+
+    ``ts`` is a timestamp of both.  A left row is answered once the watermark has passed it.
+    """
+    use_rocksdb(left.sparkSession)
+    us = F.unix_micros(ts)
+    lefts = left.select(*left.columns, us.alias("_us"), F.lit(1).alias("_side"))
+    rights = right.select(*keys, ts, us.alias("_us"), F.lit(0).alias("_side"), F.col(tie or value).alias("_tie"), F.col(value).alias("_rv"))
+    both = lefts.unionByName(rights, allowMissingColumns=True).withWatermark(ts, delay)
+    schema = T.StructType([*left.schema.fields, T.StructField(out, right.schema[value].dataType)])
+    processor = AsOf(schema.names, left.schema, right.schema[value].dataType, tolerance_seconds * 1_000_000)
+    return both.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
+
+
 def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What each key last emitted, of stored updates that carry their ``batch_id``."""
     last = updates.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from rillmark.operators.joins import asof_join
-from rillmark.streaming import jobs
+from rillmark.streaming import keyed
 from rillmark.streaming.state import drain
 from tests.conftest import rows
 
@@ -53,3 +53,25 @@ def test_hot_key_is_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(counts) == 8 and counts[-1] <= 2 * counts[4]
     assert found.filter("found <> id").count() == 0
+
+
+def test_streams(spark, scratch):
+    """Rows out of order within the delay; the sides arrive in files of their own; a last row lets all others go."""
+    left, right = sides(3, 120, 2000, ["a", "b", None])
+    end = START + timedelta(days=1)
+    r = random.Random(1)
+    for name, data, schema, last in (("l", left, LEFT, ("z", end, 999)), ("r", right, RIGHT, ("z", end, 0.0))):
+        late = sorted(data, key=lambda x: x[1] + timedelta(seconds=r.randrange(100)))
+        for part in (late[:60], late[60:], [last]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{scratch}/{name}")
+    stream = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/{name}")
+    found = keyed.asof_rows(stream("l", LEFT), stream("r", RIGHT), ["k"], "ts", "v", 60, "2 days", "found")
+    drain(found.writeStream.format("parquet").option("path", f"{scratch}/o").option("checkpointLocation", f"{scratch}/c"))
+    assert spark.read.schema(found.schema).parquet(f"{scratch}/o").count() == 0  # nothing is certain yet
+    for name, schema in (("l", LEFT), ("r", RIGHT)):
+        spark.createDataFrame([("z", end + timedelta(days=9), 9)], schema.replace("double", "int")).selectExpr(
+            "k", "ts", "CAST(id AS int) AS id" if name == "l" else "CAST(v AS double) AS v").coalesce(1).write.mode("append").parquet(f"{scratch}/{name}")
+    found = keyed.asof_rows(stream("l", LEFT), stream("r", RIGHT), ["k"], "ts", "v", 60, "2 days", "found")
+    drain(found.writeStream.format("parquet").option("path", f"{scratch}/o").option("checkpointLocation", f"{scratch}/c"))
+    got = spark.read.parquet(f"{scratch}/o").select("id", "found")
+    assert rows(got.filter("id < 999")) == brute(left, right, 60)
