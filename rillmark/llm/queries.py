@@ -83,10 +83,16 @@ WITH w AS (
 ), runs AS (
     SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS run
     FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
-), items AS (SELECT id AS item_id, run, count(*) OVER (PARTITION BY id) AS n_runs FROM runs WHERE kind = 'i')
+), items AS (SELECT id AS item_id, run, count(*) OVER (PARTITION BY id) AS n_runs FROM runs WHERE kind = 'i'
+), short AS (SELECT DISTINCT id AS item_id, array_to_string(w, ' ') AS run FROM w
+    WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4 AND id NOT IN (SELECT item_id FROM items)
+), few AS (SELECT DISTINCT id AS doc_id, array_to_string(w[i:i + n - 1], ' ') AS run
+    FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 5) AS sizes(n)
+      WHERE kind = 'd' AND n IN (SELECT len(string_split(run, ' ')) FROM short)))
 SELECT id AS doc_id, item_id, n_runs, count(*) AS n_held
 FROM runs JOIN items USING (run) WHERE kind = 'd'
 GROUP BY ALL HAVING 100 * count(*) >= 75 * n_runs
+UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1 FROM few JOIN short USING (run)
 """
 
 

@@ -12,7 +12,8 @@ from rillmark.llm.storage import materialize, measured, prepare
 # (verdict, host and path from the first slash on)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 10
+# Scores are propagated until what still moves is this part of the seeds.
+LEFT = 1e-7
 # A host is blocked where distrust exceeds trust by this part of what a host gets whose pages all are blocked.
 THRESHOLD = 0.5
 
@@ -57,26 +58,31 @@ def links(pages: DataFrame) -> DataFrame:
     return found.filter("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, left: float = LEFT) -> DataFrame:
     """Personalised PageRank (``kind``, ``host``, ``score``) from ``seeds`` (``kind``, ``host``, ``score``).
 
     Trust follows links, distrust goes from a host to those that link to it; both are the same sum over ``edges``
-    turned the right way, computed together.  Hosts without links pass nothing on.  A round joins scores and links by
-    host and adds up partially before the shuffle; it is written to the shared folder.
+    turned the right way, computed together.  What a host without links gets stays there and goes no further.  Each
+    round moves on what the last one moved, so a score is the sum of all its arrivals, and rounds end when what still
+    moves is ``left`` of the seeds, a bound on the error that shrinks by ``damping`` a round at least.  A round joins
+    what moves with the links by host and adds up partially before the shuffle; it is written to the shared folder.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("all"))
     into = edges.groupBy("target").agg(F.sum("weight").alias("all"))
     steps = edges.join(out, "source").selectExpr("'trust' AS kind", "source AS host", "target AS to", "weight / all AS part")
     back = edges.join(into, "target").selectExpr("'distrust' AS kind", "target AS host", "source AS to", "weight / all AS part")
     steps = materialize(steps.union(back), "steps")
-    base = seeds.selectExpr("kind", "host", f"{1 - damping!r} * score AS score")
-    ranks = base
+    moving = seeds.selectExpr("kind", "host", f"{1 - damping!r} * score AS score")
     if steps.isEmpty():  # nothing can move
-        return ranks
-    for _ in range(rounds):
-        moved = ranks.join(steps, ["kind", "host"]).selectExpr("kind", "to AS host", f"{damping!r} * score * part AS score")
-        ranks = materialize(base.union(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")), "ranks")
-    return ranks
+        return moving
+    mass = lambda rows: rows.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    enough, arrived = left * mass(moving), moving
+    while True:
+        moved = moving.join(steps, ["kind", "host"]).selectExpr("kind", "to AS host", f"{damping!r} * score * part AS score")
+        moving = materialize(moved.groupBy("kind", "host").agg(F.sum("score").alias("score")), "moving")
+        arrived = materialize(arrived.union(moving).groupBy("kind", "host").agg(F.sum("score").alias("score")), "arrived")
+        if mass(moving) <= enough:
+            return arrived
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:

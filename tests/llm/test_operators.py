@@ -138,6 +138,14 @@ def test_contained(spark, edge, empty):
     rows = [(1, prose(60, 500) + " " + item + " " + prose(61, 500)), (2, half + " x"), (3, prose(62, 300)), (4, None), (None, item), (5, "")]
     found = decontaminate.contained(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 20, 20), (1, 2, 20, 20), (2, 1, 20, 16), (2, 2, 20, 16)]
+    few = [(10, "One two three four"), (11, "gamma"), (12, "two three"), (13, "two four"), (14, " "), (15, "a b"), (15, item), (16, "one two")]
+    rows += [(6, "zero ONE two  three\nfour five six"), (7, "two three"), (8, "one"), (9, "a b gamma ray"), (9, "gamma gamma"), (10, None)]
+    for own in (few, few[:1], [(10, "one two three four")] + items):
+        got = decontaminate.contained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(own, "item_id long, text string"))
+        whole = {i for i, t in own if len(brute.words(t)) >= 5}
+        want = {(d, i, 1, 1) for d, t in rows for i, x in own for w, n in ((brute.words(t), len(brute.words(x))),)
+                if d is not None and i is not None and i not in whole and 0 < n < 5 and any(w[k : k + n] == brute.words(x) for k in range(len(w)))}
+        assert {tuple(r) for r in got.collect() if r["n_runs"] == 1} == want and want
     assert decontaminate.contained(edge, bench.limit(0)).count() == 0
     assert decontaminate.contained(empty, bench).count() == 0
 
@@ -253,10 +261,32 @@ def test_propagation(spark):
         for a, _, w in own:
             total[a] = total.get(a, 0) + w
         rank = {h: 0.15 * (h == seed) for h in "abc"}
-        for _ in range(url_filters.ROUNDS):
+        for _ in range(200):
             rank = {h: 0.15 * (h == seed) + 0.85 * sum(rank[a] * w / total[a] for a, b, w in own if b == h) for h in "abc"}
         for h in "abc":
-            assert abs(got.get((kind, h), 0) - rank[h]) < 1e-9
+            assert abs(got.get((kind, h), 0) - rank[h]) < 1e-6
+
+
+def test_propagation_over_a_large_graph(spark):
+    """Thousands of hosts with hubs, cycles, hosts without links and a chain of forty, against matrix powers."""
+    r = np.random.default_rng(4)
+    n = 3000
+    pairs = {(int(a), int(b)) for a, b in zip(r.integers(0, n - 500, 6000), r.zipf(1.5, 6000) % n) if a != b}
+    pairs |= {(k, k + 1) for k in range(2600, 2640)} | {(2640, 2630), (2700, 2701)}
+    edges = [(f"h{a}", f"h{b}", int(r.integers(1, 5))) for a, b in sorted(pairs)]
+    seeds = {("trust", int(k)): float(r.random()) for k in r.integers(0, n, 60)} | {("trust", 2600): 1.0} | {("distrust", int(k)): 1.0 for k in r.integers(0, n, 30)} | {("distrust", 2640): 1.0}
+    got = {(x["kind"], x["host"]): x["score"] for x in url_filters.propagate(
+        spark.createDataFrame([(k, f"h{h}", s) for (k, h), s in seeds.items()], "kind string, host string, score double"),
+        spark.createDataFrame(edges, "source string, target string, weight long")).collect()}
+    weight = np.zeros((n, n))
+    for a, b, w in edges:
+        weight[int(a[1:]), int(b[1:])] = w
+    for kind, matrix in (("trust", weight), ("distrust", weight.T)):
+        step = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1)
+        start = np.array([seeds.get((kind, k), 0.0) for k in range(n)])
+        rank = np.linalg.solve(np.eye(n) - 0.85 * step.T, 0.15 * start)
+        assert np.abs(rank - np.array([got.get((kind, f"h{k}"), 0.0) for k in range(n)])).max() < 1e-4 * rank.max()
+    assert got["trust", "h2630"] > 0 and got["distrust", "h2600"] > 0
 
 
 def test_language_model(spark, edge, empty):
