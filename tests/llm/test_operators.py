@@ -364,18 +364,57 @@ def test_empty(empty):
 
 
 def test_pipeline(spark, docs):
-    """Every stage on what its predecessor kept."""
+    """Every stage on what its predecessor kept, against brute force, with columns named like internal ones."""
     import corpus_pipeline as pipeline
 
     names = [n for n, _ in pipeline.STAGES]
     assert names == ["quality_rules", "near_duplicates", "decontamination", "mixing", "token_files"]
-    wide = docs.withColumn("h", F.lit(1))
+    extra = ["h", "copies", "_copy", "_0", "_2", "component_id", "kept", "taken", "item_id"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(extra)))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
     kept = pipeline.quality_rules(spark, wide, SF)
-    assert kept.columns == wide.columns
     verdict = {r["doc_id"] for r in quality.judge(docs).filter("kept").collect()}
-    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == verdict
+    assert ids(kept) == sorted(verdict)
     texts = {i: t for i, t in texts_of(docs).items() if i in verdict}
     first = pipeline.near_duplicates(spark, kept, SF)
-    assert sorted(r["doc_id"] for r in first.select("doc_id").collect()) == sorted({c for _, c in brute.components(texts).values()})
-    done = pipeline.run(spark, SF)
-    assert done.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and done.count() > 0
+    assert ids(first) == sorted({c for _, c in brute.components(texts).values()})
+    items = [brute.shingles(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = pipeline.decontamination(spark, first, SF)
+    assert ids(clean) == [i for i in ids(first) if not any(100 * len(x & brute.shingles(texts[i])) >= 75 * len(x) for x in items)]
+    mixed = pipeline.mixing(spark, clean, SF)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in clean.collect()]
+    size, target = plain_mix(rows)
+    taken, source = Counter(ids(mixed)), {i: s for i, _, s in rows}
+    for s in size:
+        words = sum(n * len(brute.words(texts[i])) for i, n in taken.items() if source[i] == s)
+        assert abs(words - target[s]) <= max(len(brute.words(t)) for _, t, x in rows if x == s)
+    assert set(taken.values()) <= {1, 2}
+    for stage in (kept, first, clean, mixed):
+        assert stage.columns == wide.columns and stage.select(extra).distinct().collect() == [tuple(range(len(extra)))]
+    done = pipeline.token_files(spark, mixed, SF)
+    from tokenizers import Tokenizer
+
+    tokenizer, start = Tokenizer.from_file(tokenizer_path(VOCABULARY)), 0
+    for r in sorted(done.collect(), key=lambda r: r["start"]):
+        own = np.array([*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert tuple(r)[1:] == (start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+    assert done.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and ids(done) == sorted(taken.elements())
+
+
+def test_pipeline_edges(spark, edge, empty):
+    """Null ids pass the filters and are mixed never; repeated ids stay or go together; empty tables pass."""
+    import corpus_pipeline as pipeline
+
+    rows = edge.union(edge.filter("doc_id = 9")).union(edge.filter("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = pipeline.quality_rules(spark, rows, SF)
+    first = pipeline.near_duplicates(spark, kept, SF)
+    clean = pipeline.decontamination(spark, first, SF)
+    got = [r["doc_id"] for r in clean.select("doc_id").collect()]
+    assert got.count(9) in (0, 2) and got.count(None) == 1
+    mixed = pipeline.mixing(spark, clean, SF)
+    assert None not in [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    docs = empty
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
