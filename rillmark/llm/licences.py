@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +12,61 @@ from pyspark.sql import functions as F
 from rillmark.llm.storage import prepare
 from rillmark.llm.words import chunks, sequence_hash, word_bounds, word_hashes
 
-# Licence families and the public wording of their notices.
-TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD 3-Clause License."),
-    "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "cc0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License."),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
+# Licence families with the names that notices use, and the public wording of their notices.
+NAMES = {
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "GNU AGPLv3"),
+    "apache-2.0": ("Apache License, Version 2.0", "Apache 2.0 License"),
+    "bsd-2-clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "bsd-3-clause": ("BSD 3-Clause License", "New BSD License"),
+    "cc-by-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "cc-by-nc-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "cc-by-sa-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "cc0-1.0": ("CC0 1.0 Universal Public Domain Dedication", "CC0 1.0"),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU GPLv2"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU GPLv3"),
+    "isc": ("ISC License",),
+    "lgpl-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPLv2.1"),
+    "lgpl-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPLv3"),
+    "mit": ("MIT License",),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
 }
+NOTICES = {
+    "agpl-3.0": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS."),
+    "bsd-2-clause": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders",),
+    "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+                     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.",),
+    "gpl-2.0": ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
+                "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
+    "gpl-3.0": ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
+                "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "lgpl-2.1": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",),
+    "lgpl-3.0": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",),
+    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+}
+# Notices of families outside the set, and sentences that only speak of licences; they are unknown.
+OTHERS = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission.",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+    "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Artistic License 2.0.", "Released under the Unlicense.", "Licensed under the Academic Free License version 3.0.",
+    "Do what the fuck you want to public license.", "All rights reserved. No part of this publication may be reproduced without permission of the publisher.",
+    "Use of this software is governed by a commercial license agreement with the vendor.",
+    "The driver lost their licence after the accident.", "A fishing licence can be bought at the town hall.", "The licence of poets is under review by the general public.",
+    "The committee will publish the terms of the public consultation.", "The university of the state granted the permission to use the hall free of charge.",
+    "Version 2 of the general terms was published by the foundation.", "The conditions are met without modification of the source.",
+)
+# What a short notice begins with, before a name.
+OPENINGS = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Released under {}.",
+            "This work is licensed under a {}.")
+TEMPLATES = {family: tuple(o.format(n) for n in names for o in OPENINGS) + NOTICES.get(family, ()) for family, names in NAMES.items()}
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 UNKNOWN = len(FAMILIES) - 1
 
@@ -33,14 +75,16 @@ LONGEST = 3
 BITS = 16
 # Bounds of the training set: paragraphs of documents taken as unknown, and variants of every template.
 UNKNOWN_ROWS = 2_000
-VARIANTS = 60
+VARIANTS = 16
+# Words of a window; windows of a size follow each other by half of it.  No notice is longer than half of the largest,
+# and each fills a quarter of some window at least, or of one of the smallest.
+WINDOWS = (12, 24, 48, 96)
 # Share of a held-out set of unknown paragraphs that may be taken for a licence, and words that a paragraph must share
 # with a template of its family to be confirmed.
 FALSE_SHARE = 0.001
 CONFIRMED = 0.8
 # Words that may stand between the words of a notice.
 BETWEEN = 12
-_COMMENT = re.compile(r"\s*\n[\s/*#;%!<>|-]*")
 # Bytes of words compared with templates, folded; all others part words.
 _WORD = np.full(256, 32, np.uint8)
 _WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789.")] = list(b"abcdefghijklmnopqrstuvwxyz0123456789.")
@@ -48,7 +92,7 @@ _WORD[65:91] = np.arange(97, 123)
 
 
 def _plain_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words that ``_word_list`` sees, and the index of every row's first word."""
+    """Starts, ends and hashes of words of ``[a-z0-9.]`` without a stop behind, and the index of every row's first word."""
     folded = _WORD[flat]
     after = np.append(folded[1:], np.uint8(32))
     ends = offsets[1:][offsets[1:] > 0] - 1
@@ -69,22 +113,43 @@ def _template_pairs() -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     return out
 
 
-def _notices(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str, str]]:
-    """Places that hold enough of a template's word pairs: row, first line, family, text on one line.
+class Words:
+    """Words of some texts with their lines and paragraphs.
 
-    Paragraphs end at lines without a word, so line breaks and comment marks inside a notice do not part it.  Every
-    place of a paragraph is looked at, whatever its length.
+    Paragraphs end at lines without a word, so line breaks and comment marks inside a notice do not part it.
     """
-    starts, ends, hashes, begin = _plain_words(flat, offsets)
-    if len(starts) < 2:
-        return []
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
-    newline = np.flatnonzero(flat == 10)
-    line = np.searchsorted(newline, starts)
-    paragraph = np.cumsum(np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] - line[:-1] > 1))))
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.hashes, begin = _plain_words(flat, offsets)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
+        newline = np.flatnonzero(flat == 10)
+        line = np.searchsorted(newline, self.starts)
+        fresh = np.ones(len(line), bool)
+        fresh[1:] = (self.row[1:] != self.row[:-1]) | (line[1:] - line[:-1] > 1)
+        self.paragraph = np.cumsum(fresh)
+        self.line = line - np.searchsorted(newline, offsets[:-1])[self.row] if len(line) else line
+        self.first = np.flatnonzero(fresh)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and ends of windows that cover every paragraph in every size."""
+        ends = np.append(self.first[1:], len(self.starts)) if len(self.first) else self.first
+        lows, highs = [], []
+        for size in WINDOWS:
+            step = size // 2
+            count = np.maximum(-(-(ends - self.first - step) // step), 1)
+            low = np.repeat(self.first, count) + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            lows.append(low)
+            highs.append(np.minimum(low + size, np.repeat(ends, count)))
+        return np.concatenate(lows), np.concatenate(highs)
+
+
+def _notices(words: Words, near: np.ndarray) -> list[tuple[int, int, int, str, float]]:
+    """Places near the marked words that hold enough of a template's word pairs: first word, last word, line, family, share."""
+    paragraph = words.paragraph
     last = np.searchsorted(paragraph, paragraph, "right") - 1
-    pairs = sequence_hash(hashes, 2)
-    pairs_at = np.flatnonzero((paragraph[1:] == paragraph[:-1]) & np.isin(pairs, _ALL_PAIRS))
+    pairs = sequence_hash(words.hashes, 2)
+    pairs_at = np.flatnonzero((paragraph[1:] == paragraph[:-1]) & near[1:] & near[:-1])
+    pairs_at = pairs_at[np.isin(pairs[pairs_at], _ALL_PAIRS)]
     out = []
     for family, length, wanted, places in _PAIRS:
         found = np.minimum(np.searchsorted(wanted, pairs[pairs_at]), len(wanted) - 1)
@@ -105,45 +170,36 @@ def _notices(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str,
                     best = min(best or (1,), (-len(kinds), int(places[which[m]]), end - int(at[m]), int(at[m]), end))
             if best:
                 start, done = best[3], best[4]
-                stop = int(ends[done + 1])
-                while stop < offsets[row[start] + 1] and flat[stop] not in b" \t\n\r\f\v":
-                    stop += 1
-                text = _COMMENT.sub(" ", flat[starts[start] : stop].tobytes().decode("utf-8", "replace"))
-                out.append((int(row[start]), int(line[start] - np.searchsorted(newline, offsets[row[start]])), family, text))
+                out.append((int(start), int(done + 1), int(words.line[start]), family, -best[0] / len(wanted)))
     return out
 
 
-def features(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all windows, one after the other, and how many each has."""
-    starts, ends, _ = word_bounds(flat, np.array([0, len(flat)]))
-    hashes = word_hashes(flat, starts)
-    low, high = np.searchsorted(starts, begin), np.searchsorted(ends, end, "right")
-    count = high - low
-    found, sizes = [], np.zeros(len(begin), np.int64)
-    owner = []
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Feature number of every run of ``n`` words."""
+    return (sequence_hash(hashes, n) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all texts, one after the other, and how many each has."""
+    data = [t.encode() + b"\n" for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    _, _, hashes, begin = _plain_words(np.frombuffer(b"".join(data), np.uint8), offsets)
+    low, count = begin[:-1], np.diff(begin)
+    found, owner, sizes = [], [], np.zeros(len(texts), np.int64)
     for n in range(1, LONGEST + 1):
-        runs = sequence_hash(hashes, n) >> np.uint64(64 - BITS)
         own = np.maximum(count - n + 1, 0)
         at = np.arange(own.sum()) + np.repeat(low - np.cumsum(own) + own, own)
-        found.append(runs[at].astype(np.int64))
-        owner.append(np.repeat(np.arange(len(begin)), own))
+        found.append(_runs(hashes, n)[at])
+        owner.append(np.repeat(np.arange(len(texts)), own))
         sizes += own
     order = np.argsort(np.concatenate(owner), kind="stable")
     return np.concatenate(found)[order], sizes
 
 
-def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``features`` of whole texts."""
-    data = [re.sub(r"\s+", " ", t).encode() + b"\n" for t in texts]
-    ends = np.cumsum([len(d) for d in data])
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    return features(flat, np.concatenate(([0], ends[:-1])), ends)
-
-
 class Classifier:
     """Multinomial logistic regression on the mean of a window's feature weights, with a fitted temperature."""
 
-    def __init__(self, texts: list[str], families: list[int], steps: int = 200, rate: float = 4.0, keep: float = 1e-5):
+    def __init__(self, texts: list[str], families: list[int], steps: int = 200, rate: float = 12.0, keep: float = 1e-5):
         part = np.arange(len(texts)) % 4 == 3  # held out
         index, sizes = text_features(texts)
         y = np.array(families)
@@ -170,8 +226,9 @@ class Classifier:
         self.temperature = min(loss, key=lambda t: (loss[t], t))
         known = self._softmax(held / self.temperature)[y[part] == UNKNOWN][:, :UNKNOWN].max(axis=1, initial=0)
         self.least = float(max(0.5, np.quantile(known, 1 - FALSE_SHARE))) if len(known) else 0.5
-        guess = self.predict(index, sizes)[0][part]
-        self.accuracy = float((guess == y[part]).mean())
+        guess, own = self.predict(held)[0], y[part]
+        self.accuracy = float((guess == own).mean())
+        self.precision = {f: float((own[guess == k] == k).mean()) if (guess == k).any() else 0.0 for k, f in enumerate(FAMILIES)}
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
@@ -186,78 +243,109 @@ class Classifier:
             out[filled] += np.add.reduceat(self.weights[index], begins, axis=0) / np.sqrt(sizes[filled])[:, None]
         return out
 
-    def predict(self, index: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Logits of windows of words, as differences of running sums: every word counts once, however windows overlap."""
+        out, sizes = np.zeros((len(low), len(FAMILIES))), np.zeros(len(low))
+        for n in range(1, LONGEST + 1):
+            runs = _runs(hashes, n)
+            sums = np.zeros((len(runs) + 1, len(FAMILIES)))
+            np.cumsum(self.weights[runs], axis=0, out=sums[1:], dtype=np.float64)
+            end = np.clip(high - n + 1, np.minimum(low, len(runs)), len(runs))
+            start = np.minimum(low, end)
+            out += sums[end] - sums[start]
+            sizes += end - start
+        return self.bias + out / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+    def predict(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Family of every window, unknown where no probability suffices, and that probability."""
-        p = self._softmax(self.logits(index, sizes) / self.temperature)
+        p = self._softmax(logits / self.temperature)
         best = p.argmax(axis=1)
         top = p[np.arange(len(p)), best]
         return np.where(top >= self.least, best, UNKNOWN), top
 
 
-def _word_list(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
-
-
-def confirmed(text: str, family: str) -> bool:
-    """Whether enough of a template's word pairs stand in the text in their order, for a template of the family."""
-    own = _word_list(text)
-    pairs = set(zip(own, own[1:]))
-    for template in TEMPLATES[family]:
-        words = _word_list(template)
-        wanted = set(zip(words, words[1:]))
-        if len(wanted & pairs) >= CONFIRMED * len(wanted):
-            return True
-    return False
-
-
 _PAIRS = _template_pairs()
 _ALL_PAIRS = np.unique(np.concatenate([p[2] for p in _PAIRS]))
 
 
 def training_set(docs: DataFrame) -> tuple[list[str], list[int]]:
-    """Variants of the templates, and a bounded sample of lines without licence words as unknown.
+    """Variants of the templates and of OTHERS, and a bounded sample of lines without licence words as unknown.
 
-    Variants drop or swap single words, fold case and add words of the sample on both sides.  The sample has the
-    UNKNOWN_ROWS distinct lines with the smallest hashes.
+    Variants drop or swap single words, fold case and add words of the sample on both sides.  The sample has at most
+    UNKNOWN_ROWS lines: those of the smallest hashes, below a bound that follows from the number of lines, so that tasks
+    send a few of them only.
     """
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    lines = lines.filter(F.length("line").between(10, 2_000) & ~F.rlike(F.lower("line"), F.lit("licen[sc]e|copyright|redistribut|warrant")))
-    lines = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_ROWS)
-    unknown = [r["line"] for r in lines.collect()]
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter(F.length("line").between(10, 2_000))
+    share = min(1.0, 10 * UNKNOWN_ROWS / max(lines.count(), 1))
+    key = F.xxhash64("line")
+    lines = lines.filter(F.shiftrightunsigned(key, 11) < int(share * (1 << 53)) + 1)
+    lines = lines.filter(~F.rlike(F.lower("line"), F.lit("licen[sc]e|copyright|redistribut|warrant")))
+    unknown = [r["line"] for r in lines.distinct().orderBy(key, "line").limit(UNKNOWN_ROWS).collect()]
     rng = np.random.default_rng(5)
     texts, families = list(unknown), [UNKNOWN] * len(unknown)
     filler = [w for t in unknown[:200] for w in t.split()][:2_000] or ["text"]
-    for k, family in enumerate(FAMILIES[:UNKNOWN]):
-        for template in TEMPLATES[family]:
-            for variant in range(VARIANTS):
-                words = template.split()
-                if variant % 3 == 1 and len(words) > 4:
-                    words.pop(int(rng.integers(len(words))))
-                if variant % 3 == 2:
-                    words[int(rng.integers(len(words)))] = filler[int(rng.integers(len(filler)))]
-                if variant % 4 >= 2:
-                    around = [filler[i] for i in rng.integers(0, len(filler), int(rng.integers(1, 10)))]
-                    cut = int(rng.integers(len(around) + 1))
-                    words = around[:cut] + words + around[cut:]
-                texts.append(" ".join(words))
-                families.append(k)
+    every = [(k, t) for k, family in enumerate(FAMILIES[:UNKNOWN]) for t in TEMPLATES[family]] + [(UNKNOWN, t) for t in OTHERS]
+    # Words that no family owns may be missing: those in the templates of four families at least.
+    shared = {w for t in TEMPLATES.values() for x in t for w in x.split() if w.isalpha() and sum(any(w in x.split() for x in u) for u in TEMPLATES.values()) >= 4}
+    for k, template in every:
+        for variant in range(VARIANTS):
+            words = template.split()
+            loose = [i for i, w in enumerate(words) if w in shared or k == UNKNOWN]
+            if variant % 3 and len(words) > 6 and loose:
+                at = loose[int(rng.integers(len(loose)))]
+                words[at : at + 1] = [filler[int(rng.integers(len(filler)))]] * (variant % 3 - 1)
+            if variant % 4 >= 2:
+                around = [filler[i] for i in rng.integers(0, len(filler), int(rng.integers(1, 2 * len(words) + 6)))]
+                cut = int(rng.integers(len(around) + 1))
+                words = around[:cut] + words + around[cut:]
+            texts.append(" ".join(words))
+            families.append(k)
     return texts, families
 
 
+def judged(words: Words, model: Classifier) -> dict[tuple[int, int, str], float]:
+    """Confirmed notices, (row, line, family), with the probability of the window they stand in.
+
+    The classifier judges every window of every paragraph.  Around those it names a family for, the templates of all
+    families are compared; a place counts if a window with most of it was named after its family, no other family's
+    template fits it better, and no other place of its own family that it overlaps is a better one.
+    """
+    low, high = words.windows()
+    family, top = model.predict(model.window_logits(words.hashes, low, high))
+    named = np.flatnonzero(family != UNKNOWN)
+    named = named[np.argsort(low[named], kind="stable")]
+    reach = max(WINDOWS) // 2  # a notice may reach beyond the window it is known by
+    near = np.zeros(len(words.starts) + 1, np.int64)
+    np.add.at(near, np.maximum(low[named] - reach, 0), 1)
+    np.add.at(near, np.minimum(high[named] + reach, len(words.starts)), -1)
+    places = sorted(_notices(words, np.cumsum(near)[:-1] > 0)) if len(named) else []
+    lows = low[named]
+    begins, longest = [p[0] for p in places], max((p[1] - p[0] for p in places), default=0)
+    found: dict[tuple[int, int, str], float] = {}
+    for first, last, line, name, share in places:
+        rank = (share, last - first, -first)
+        around = places[bisect_left(begins, first - longest) : bisect_right(begins, last)]
+        rivals = [(other == name, (s, z - a, -a)) for a, z, _, other, s in around if first <= z]
+        if any(r > rank if same else r[0] > share for same, r in rivals):
+            continue
+        own = named[slice(*np.searchsorted(lows, (first - max(WINDOWS), last + 1)))]
+        shared = np.minimum(high[own], last + 1) - np.maximum(low[own], first)
+        inside = own[(2 * shared > last - first) & (family[own] == FAMILIES.index(name))]
+        if len(inside):
+            key = (int(words.row[first]), line, name)
+            found[key] = max(found.get(key, 0.0), float(top[inside].max()))
+    return found
+
+
 def _scan(shared):
     def run(batches):
         model: Classifier = shared.value
         for batch in batches:
             for first, flat, offsets in chunks(batch.column("text")):
                 found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-                notices = _notices(flat, offsets)
-                if notices:
-                    family, top = model.predict(*text_features([text for *_, text in notices]))
-                    best: dict[tuple[int, int, str], float] = {}
-                    for (row, line, name, text), k, p in zip(notices, family.tolist(), top.tolist()):
-                        if FAMILIES[k] == name and confirmed(text, name):
-                            best[row, line, name] = max(p, best.get((row, line, name), 0.0))
-                    for (row, line, name), p in sorted(best.items()):
+                words = Words(flat, offsets)
+                if len(words.starts):
+                    for (row, line, name), p in sorted(judged(words, model).items()):
                         found[row].append({"family": name, "line": line, "probability": round(p, 6)})
                 kind = pa.list_(pa.struct([("family", pa.string()), ("line", pa.int64()), ("probability", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(found)), pa.array(found, kind)], names=["doc_id", "found"])
@@ -270,10 +358,10 @@ def scan_licences(docs: DataFrame, model: Classifier | None = None) -> DataFrame
 
     Takes integer ``doc_id`` and ``text``; other columns are ignored.  Paragraphs are
     parted by lines without a word; a notice may be wrapped over lines, with comment marks, and stand anywhere in one.
-    ``line`` is the one it begins in; the same family counts once per line.  The classifier judges the places that hold
-    enough of a template.  It is trained on the driver on a bounded set (``training_set``); scoring is
-    one pass over the table without a shuffle.  A prediction counts if its calibrated probability keeps it out of the
-    unknown class and a template of the family confirms it.
+    ``line`` is the one it begins in; the same family counts once per line.  The classifier judges every window of every
+    paragraph.  It is trained on the driver on a bounded set (``training_set``); scoring is one pass over the table
+    without a shuffle.  A prediction counts if its calibrated probability keeps it out of the unknown class and a template
+    of the family confirms it better than those of all others (``judged``).
 
     Null and empty texts have no notices.  Repeated rows and null ids are rows like others.  An empty table gives an
     empty result.
