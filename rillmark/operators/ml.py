@@ -368,7 +368,7 @@ def correlated_factors(wide: DataFrame, key: str, factors: Sequence[str], thresh
 
 
 def clusters(wide: DataFrame, key: str, factors: Sequence[str], k: int, iterations: int, seed: int = 7) -> DataFrame:
-    """Cluster number of every subject by k-means over its factors."""
+    """Cluster number of every subject by k-means over its factors; null for a subject without one of them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -378,8 +378,11 @@ def clusters(wide: DataFrame, key: str, factors: Sequence[str], k: int, iteratio
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
         KMeans(k=k, maxIter=iterations, seed=seed, predictionCol="cluster"),
     ]
-    fitted = Pipeline(stages=steps).fit(wide)
-    return fitted.transform(wide).select(key, *factors, "cluster")
+    whole = wide.dropna(subset=list(factors))
+    fitted = Pipeline(stages=steps).fit(whole)
+    found = fitted.transform(whole).select(key, *factors, "cluster")
+    missing = F.coalesce(*(F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), True) for f in factors), F.lit(False))
+    return found.unionByName(wide.filter(missing).select(key, *factors, F.lit(None).cast("int").alias("cluster")))
 
 
 def peer_anomaly(averages: DataFrame, entity: str, group: str, value: str, threshold: float) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from rillmark.session import materialize
 
 METRICS = ("cosine", "euclid", "dot", "manhattan")
-QUERY_BLOCK = 4096
+# Vectors of a block, and blocks of either side that meet in a cell.
+BLOCK, CELL = 256, 64
 
 
 def label_centroids(df: DataFrame, label: str, vector: str, dimension: int) -> DataFrame:
@@ -35,68 +38,93 @@ def _distances(metric: str, base, query):
     return np.stack([np.sqrt(((base - q) ** 2).sum(axis=1)) for q in query], axis=1)
 
 
-def _search_block(
-    base: DataFrame, ident: str, vector: str, names: list, matrix: list, metric: str, k: int, name_type: str
-) -> DataFrame:
-    """Per task the k nearest vectors of every query, then the k nearest of those."""
+def _packed(df: DataFrame, ident: str, vector: str, block: int) -> DataFrame:
+    """Written table of blocks of at most ``block`` vectors: ``number``, ``ids``, ``data`` (doubles), ``size`` of a vector."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                values = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([values.tobytes()], pa.binary()),
+                     pa.array([len(values) // part.num_rows], pa.int32())], names=["ids", "data", "size"])
+
+    kind = df.schema[ident].dataType.simpleString()
+    blocks = df.select(ident, vector).mapInArrow(pack, f"ids array<{kind}>, data binary, size int")
+    return materialize(blocks.withColumn("number", F.monotonically_increasing_id()), "vectors")
+
+
+def _partial_top(metric: str, k: int, ident_type: pa.DataType, query_type: pa.DataType):
+    """The k nearest vectors of every query of a block among the base blocks that a task meets it with."""
     sign = -1.0 if metric == "dot" else 1.0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        query = np.asarray(matrix, dtype="float64")
-        best = None
+        held: dict[int, tuple] = {}
+        cell = None
+
+        def send():
+            for names, far, ids in held.values():
+                kept = far.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, kept).tolist(), query_type), pa.array(ids.ravel().tolist(), ident_type), pa.array(sign * far.ravel())],
+                    names=["query", "ident", "distance"])
+            held.clear()
+
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
-            far = sign * _distances(metric, values.reshape(batch.num_rows, query.shape[1]), query).T
-            tied = np.broadcast_to(ids, far.shape)
-            if best is not None:
-                far, tied = np.hstack([best[0], far]), np.hstack([best[1], tied])
-            order = np.lexsort((tied, far), axis=1)[:, :k]
-            best = np.take_along_axis(far, order, 1), np.take_along_axis(tied, order, 1)
-        if best is not None:
-            kept = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.arange(len(names)), kept)), pa.array(best[1].ravel()),
-                pa.array(sign * best[0].ravel())], names=["_q", ident, "distance"])
-
-    id_type = base.schema[ident].dataType.simpleString()
-    found = base.select(ident, vector).mapInArrow(scan, f"_q bigint, {ident} {id_type}, distance double")
-    nearest = Window.partitionBy("_q").orderBy(F.col("distance") * sign, ident)
-    top = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    lookup = F.array(*[F.lit(n).cast(name_type) for n in names])
-    return top.select(F.get(lookup, F.col("_q").cast("int")).alias("query"), ident, "distance", "rank")
+            for row in batch.to_pylist():
+                if row["cell"] != cell:
+                    yield from send()
+                    cell = row["cell"]
+                base, query = (np.frombuffer(row[c]).reshape(-1, row["size"]) for c in ("data", "query_data"))
+                far = sign * _distances(metric, base, query).T
+                ids = np.broadcast_to(np.array(row["ids"]), far.shape)
+                before = held.get(row["query_number"])
+                if before is not None:
+                    far, ids = np.hstack([before[1], far]), np.hstack([before[2], ids])
+                order = np.lexsort((ids, far), axis=1)[:, :k]
+                held[row["query_number"]] = np.array(row["query_ids"]), np.take_along_axis(far, order, 1), np.take_along_axis(ids, order, 1)
+        yield from send()
+
+    return scan
 
 
 def nearest(
     base: DataFrame, ident: str, vector: str, queries: DataFrame, query_id: str, metric: str = "cosine", k: int = 3,
-    block: int = QUERY_BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """The k nearest vectors of ``base`` for every query vector.
+    """The k nearest vectors of ``base`` for every query vector: ``query``, ``ident``, ``distance``, ``rank``.
 
-    Queries travel to the tasks as one matrix of at most ``block`` rows; more
-    queries are searched block by block.  No (vector, query) pair is ever a
-    row: each task returns k rows per query.
+    Both tables are packed into blocks of ``block`` vectors, and blocks are
+    dealt to the cells of a grid: a base block goes to the cells of its row, a
+    query block to those of its column, so every pair of blocks meets in one
+    cell.  A cell is a matrix product per pair and keeps k rows per query.
+    Neither side passes the driver, and no (vector, query) pair is ever a row.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    name_type = queries.schema[query_id].dataType.simpleString()
-    blocks = max(1, math.ceil(queries.count() / (block / 2)))
-    out = None
-    for number in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == number) if blocks > 1 else queries
-        rows = part.select(query_id, F.col(vector).cast("array<double>").alias("v")).collect()
-        if not rows:
-            continue
-        found = _search_block(base, ident, vector, [r[0] for r in rows], [r["v"] for r in rows], metric, k, name_type)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no query vectors")
-    return out
+    left, right = _packed(base, ident, vector, block), _packed(queries, query_id, vector, block)
+    rows, columns = (max(1, -(-side.count() // CELL)) for side in (left, right))
+
+    def dealt(side: DataFrame, own: int, other: int, first: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("number"), F.lit(own))
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        marked = side.withColumn("_mine", mine).withColumn("_every", every)
+        cell = F.col("_mine") * other + F.col("_every") if first else F.col("_every") * own + F.col("_mine")
+        return marked.withColumn("cell", cell.cast("long"))
+
+    pairs = dealt(left, rows, columns, True).select("cell", "ids", "data", "size").join(
+        dealt(right, columns, rows, False).select(
+            "cell", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("number").alias("query_number")), "cell")
+    name, key = base.schema[ident].dataType, queries.schema[query_id].dataType
+    scan = _partial_top(metric, k, to_arrow_type(name), to_arrow_type(key))
+    found = pairs.sortWithinPartitions("cell").mapInArrow(scan, f"query {key.simpleString()}, ident {name.simpleString()}, distance double")
+    nearest_first = Window.partitionBy("query").orderBy(F.col("distance") * (-1.0 if metric == "dot" else 1.0), "ident")
+    top = found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+    return top.select("query", F.col("ident").alias(ident), "distance", "rank")
 
 
 def within(matches: DataFrame, maxdistance: float = 0.8) -> DataFrame:

@@ -8,6 +8,7 @@ from rillmark.operators import joins, ml, vectors
 from rillmark.plans import inputs
 from rillmark.plans.inputs import SHIPMENT_SQL, WINDOW_SQL
 from rillmark.plans.registry import query, register
+from rillmark.session import materialize
 
 LOGIC = "classification_name=late_prob:A=20000,n:N=-n,80000"
 _MATRIX_SQL = f"""WITH r AS (SELECT entity, subtopic, x, row_number() OVER (PARTITION BY entity, subtopic
@@ -38,12 +39,23 @@ def _logistic(t):
 @query(
     "ml_logistic_fit",
     _MATRIX_SQL + """ SELECT entity, count(*) AS n, sum((r > 0.5 * (a + n))::INT)::BIGINT AS positives,
-      true AS converged FROM mx GROUP BY entity HAVING min(r > 0.5 * (a + n)) <> max(r > 0.5 * (a + n))""",
+      0.0::DOUBLE AS slope_a, 0.0::DOUBLE AS slope_n, 0.0::DOUBLE AS slope_1
+      FROM mx GROUP BY entity HAVING min(r > 0.5 * (a + n)) <> max(r > 0.5 * (a + n))""",
 )
 def ml_logistic_fit(t):
-    """One logistic model per entity; converged means a vanishing gradient."""
-    models = _logistic(t)[1]
-    return models.select("entity", "n", "positives", (F.col("gradient") < 1e-6).alias("converged"))
+    """One logistic model per entity; the slopes of its penalised likelihood are computed anew from the rows and vanish."""
+    rows, models = _logistic(t)
+    features = ["A", "N"]
+    scored = ml.predict(rows.join(models.select("entity", F.col("n").alias("_n"), "positives", F.col("coefficients").alias("_b")), "entity"),
+                        models, ["entity"], features, logistic=True)
+    off = F.col("label") - F.col("prediction")
+    sums = scored.groupBy("entity").agg(
+        F.max("_n").alias("n"), F.max("positives").alias("positives"), F.max("_b").alias("b"), F.sum(off).alias("s1"),
+        *[f(F.col(x) if f is not F.sum else F.col(x) * off).alias(f"{x}_{i}") for x in features for i, f in enumerate((F.sum, F.avg, F.stddev_pop))])
+    # The fit penalises the coefficients of the standardised features.
+    slope = lambda k, x: (F.col(f"{x}_0") - F.col(f"{x}_1") * F.col("s1")) / F.col(f"{x}_2") - 1e-3 * F.col("b")[k] * F.col(f"{x}_2")
+    zero = lambda c: F.round(F.abs(c), 4)
+    return sums.select("entity", "n", "positives", zero(slope(1, "A")).alias("slope_a"), zero(slope(2, "N")).alias("slope_n"), zero(F.col("s1")).alias("slope_1"))
 
 
 @query("ml_logistic_predict")
@@ -273,11 +285,26 @@ def ml_correlated_factors(t):
     return out.select("subject", "n", "factor_x", "factor_y", F.round("correlation", 6).alias("correlation"))
 
 
-@query("ml_clusters")
+@query(
+    "ml_clusters",
+    f"""SELECT entity, true AS nearest, 3 AS clusters FROM ({inputs.SHIPMENT_SQL.format(n=800)})
+    WHERE subtopic IN ('A', 'N', 'R') GROUP BY entity""",
+)
 def ml_clusters(t):
-    """Entities grouped by their average per stream."""
-    wide = joins.align_streams(inputs.shipments(t), {"A": "avg", "N": "avg", "R": "avg"})
-    return ml.clusters(wide, "entity", ["A", "N", "R"], 3, 20).select("entity", "cluster")
+    """Entities grouped by their average per stream: each is nearest to the mean of its own cluster."""
+    factors = ["A", "N", "R"]
+    wide = joins.align_streams(inputs.shipments(t), {f: "avg" for f in factors})
+    found = materialize(ml.clusters(wide, "entity", factors, 3, 100), "clusters")
+    spread_ = found.agg(*[F.stddev_samp(f).alias(f"s_{f}") for f in factors])
+    means = found.groupBy(F.col("cluster").alias("other")).agg(*[F.avg(f).alias(f"m_{f}") for f in factors]).filter("other IS NOT NULL")
+    means = means.select(F.struct(*means.columns).alias("mean")).agg(F.collect_list("mean").alias("means"), F.count("*").cast("int").alias("clusters"))
+    far = sum((F.pow((F.col(f) - F.col("mean")[f"m_{f}"]) / F.col(f"s_{f}"), 2) for f in factors), F.lit(0.0))
+    every = found.withColumns({f"s_{f}": spread_.select(f"s_{f}").scalar() for f in factors}).withColumns(
+        {"means": means.select("means").scalar(), "clusters": means.select("clusters").scalar()})
+    every = every.select("*", F.explode("means").alias("mean")).withColumn("far", far)
+    best = every.groupBy("entity", "clusters").agg(
+        F.min("far").alias("least"), F.min(F.when(F.col("mean.other") == F.col("cluster"), F.col("far"))).alias("own"))
+    return best.select("entity", (F.col("own") <= F.col("least") + 1e-9).alias("nearest"), "clusters")
 
 
 @query(
@@ -352,6 +379,29 @@ for _metric, _sql in _METRIC_SQL.items():
     _nearest_query(_metric, _sql)
 
 
+def _search_query(metric: str, sql: str) -> None:
+    """Every hundredth vector as a query against all vectors."""
+
+    def run(t):
+        queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+        out = vectors.nearest(t.embeddings, "vec_id", "embedding", queries, "q_id", metric, 5)
+        return out.select("query", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+    way = "DESC" if metric == "dot" else "ASC"
+    register(
+        f"ml_search_{metric}",
+        run,
+        f"""SELECT query, vec_id, round(d, 5) AS distance, rn::INTEGER AS rank FROM (
+          SELECT query, vec_id, d, row_number() OVER (PARTITION BY query ORDER BY d {way}, vec_id) AS rn
+          FROM (SELECT c.query, vec_id, {sql} AS d FROM embeddings,
+            (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0) c)) WHERE rn <= 5""",
+    )
+
+
+for _metric, _sql in _METRIC_SQL.items():
+    _search_query(_metric, _sql)
+
+
 @query(
     "ml_distance_cut",
     f"""SELECT label AS query, vec_id, rn::INTEGER AS rank FROM (SELECT c.label, vec_id,

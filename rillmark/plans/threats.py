@@ -54,7 +54,9 @@ _URL = rf"{_B}(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{{2,}}{_E}"
 _BOX = r"(?i)^(Router|Switch|Firewall|Core-SW|Edge|Gateway|LoadBalancer)-\S+"
 
 
-_PAGE_SQL = "SELECT page_id AS doc_id, 1 AS line_number, regexp_replace(html, '[<>]', ' ', 'g') AS line FROM pages"
+_PAGE_SQL = """SELECT doc_id, line_number, regexp_replace(line, '[<>]', ' ', 'g') AS line FROM (
+  SELECT page_id AS doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_number
+  FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages))"""
 
 
 def _entity_sql(lines: str) -> str:
@@ -76,6 +78,12 @@ def _entity_sql(lines: str) -> str:
       coalesce(cat, 'privileged_system_context') AS category FROM h WHERE coalesce(ent, acc) IS NOT NULL)"""
 
 
+def page_lines(t):
+    """Pages as log files: every line with its number, tags apart."""
+    lines = spread(t.pages.select("page_id", "html")).select(F.col("page_id").alias("doc_id"), F.posexplode(F.split("html", "\n")).alias("_pos", "line"))
+    return lines.select("doc_id", (F.col("_pos") + 1).alias("line_number"), F.regexp_replace("line", "[<>]", " ").alias("line"))
+
+
 @query("txt_line_entities", _entity_sql(LINES_SQL) + " SELECT doc_id, line_number, entity, category FROM ent")
 def txt_line_entities(t):
     from rillmark.functions.text import strip
@@ -86,14 +94,13 @@ def txt_line_entities(t):
 
 @query(
     "txt_page_entities",
-    _entity_sql(_PAGE_SQL) + " SELECT doc_id, entity, category FROM ent",
+    _entity_sql(_PAGE_SQL) + " SELECT doc_id, line_number, entity, category FROM ent",
 )
 def txt_page_entities(t):
     from rillmark.functions.text import strip
 
-    text = strip(F.regexp_replace("html", "[<>]", " "))
-    rows = spread(t.pages.select("page_id", "html")).select(F.col("page_id").alias("doc_id"), threat.line_entity(text).alias("hit"))
-    return rows.filter(F.col("hit").isNotNull()).select("doc_id", "hit.entity", "hit.category")
+    rows = page_lines(t).select("doc_id", "line_number", threat.line_entity(strip(F.col("line"))).alias("hit"))
+    return rows.filter(F.col("hit").isNotNull()).select("doc_id", "line_number", "hit.entity", "hit.category")
 
 
 _RULES_SQL = r"""rl AS (SELECT doc_id, line_number, line,
@@ -169,9 +176,7 @@ def document_elements(t):
 
 def page_elements(t):
     """Elements of the pages, whose categories serve as the stored baseline."""
-    lines = spread(t.pages.select("page_id", "html")).select(
-        F.col("page_id").alias("doc_id"), F.lit(1).alias("line_number"), F.regexp_replace("html", "[<>]", " ").alias("line"))
-    found = threat.elements(lines, "line", rules(), ["doc_id", "line_number"])
+    found = threat.elements(page_lines(t), "line", rules(), ["doc_id", "line_number"])
     return threat.unique_elements(found, "doc_id", "line_number")
 
 

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows with large binaries reach Python in batches of bounded size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 

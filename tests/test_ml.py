@@ -139,11 +139,18 @@ def test_nearest_against_brute_force(spark, metric, block):
     assert len(got) == 36
 
 
-def test_nearest_returns_few_rows_per_task(spark):
+def test_nearest_meets_in_blocks(spark, monkeypatch):
+    """Blocks meet, not rows; neither side is collected; nulls are left out; a grid of many cells finds the same."""
     _, df = _points(spark)
-    plan = vectors.nearest(df, "id", "v", df.filter("id < 2").withColumnRenamed("id", "q"), "q")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in text and "Join" not in text
+    queries = df.filter("id < 40").withColumnRenamed("id", "q").union(spark.createDataFrame([(99, None)], "q long, v array<float>"))
+    one = vectors.nearest(df.union(spark.createDataFrame([(999, None)], "id long, v array<float>")), "id", "v", queries, "q")
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Cartesian" not in text and "NestedLoop" not in text
+    monkeypatch.setattr(vectors, "CELL", 3)
+    many = vectors.nearest(df, "id", "v", queries, "q", block=7)
+    near = lambda df: rows(df.withColumn("distance", F.round(F.abs("distance"), 9)))
+    assert near(one) == near(many) and one.count() == 120
+    assert vectors.nearest(df, "id", "v", queries.limit(0), "q").count() == 0
 
 
 def test_centroids(spark):
@@ -163,5 +170,8 @@ def test_clusters_and_correlation(spark):
     df = spark.createDataFrame(data, "s int, a double, b double, c double")
     groups = {r["s"] % 2: r["cluster"] for r in ml.clusters(df, "s", ["a", "b"], 2, 10).collect()}
     assert groups[0] != groups[1]
+    holes = df.union(spark.createDataFrame([(50, None, 1.0, 1.0), (51, 1.0, None, 1.0)], df.schema))
+    got = {r["s"]: r["cluster"] for r in ml.clusters(holes, "s", ["a", "b"], 2, 10).collect()}
+    assert len(got) == 42 and got[50] is None and got[51] is None and got[0] == got[2]
     pairs = ml.correlated_factors(df.withColumn("k", F.lit(1)), "k", ["a", "b", "c"], 0.9).collect()
     assert [(r["factor_x"], r["factor_y"]) for r in pairs] == [("a", "b")]
