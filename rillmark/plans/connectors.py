@@ -374,13 +374,13 @@ EXCHANGE_TYPE = "OilAndGas:SeparatorRealtime"
     f"""SELECT l_orderkey, l_linenumber, '{EXCHANGE_KIND}' AS kind, 'US' AS hosting, 'CA' AS second_country,
       'vessel-' || l_suppkey || '-' || (epoch_us(l_shipdate) // 1000000) AS id,
       strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS acquired,
-      CASE WHEN l_suppkey = 1 THEN 'HP_Sep_Train_A' ELSE 'Vessel_' || l_suppkey END AS well,
+      CASE WHEN l_suppkey = 1 THEN 'North_Drum_1' ELSE 'Vessel_' || l_suppkey END AS well,
       l_quantity AS quantity, 8 AS computed FROM lineitem""",
 )
 def snk_exchange_envelope(t):
     """Nested envelope of every reading, read back field by field."""
     doc = scada.exchange_record(
-        derived(t), F.col("l_suppkey"), {"1": "HP Sep Train A"}, F.lit("SCADA"), F.col("l_shipdate"), EXCHANGE_KIND,
+        derived(t), F.col("l_suppkey"), {"1": "North Drum 1"}, F.lit("SCADA"), F.col("l_shipdate"), EXCHANGE_KIND,
         EXCHANGE_ACL, EXCHANGE_LEGAL, EXCHANGE_TYPE)
     rows = derived(t).select("l_orderkey", "l_linenumber", doc.alias("doc"))
     schema = (

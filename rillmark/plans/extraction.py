@@ -213,11 +213,11 @@ def prj_rounded_fields(t):
 
 @query(
     "prj_vessel_name",
-    """SELECT s_suppkey, CASE s_suppkey WHEN 1 THEN 'HP_Sep_Train_A' WHEN 2 THEN 'Stock_Tank_B'
+    """SELECT s_suppkey, CASE s_suppkey WHEN 1 THEN 'North_Drum_1' WHEN 2 THEN 'Holding_Basin_2'
       ELSE 'Vessel_' || s_suppkey END AS name FROM supplier""",
 )
 def prj_vessel_name(t):
-    names = {"1": "HP Sep Train A", "2": "Stock Tank B"}
+    names = {"1": "North Drum 1", "2": "Holding Basin 2"}
     return t.supplier.select("s_suppkey", ex.rename_vessel(F.col("s_suppkey"), names).alias("name"))
 
 

@@ -1,6 +1,5 @@
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,31 +9,49 @@ from rillmark.streaming.state import drain
 from tests.conftest import rows
 
 SETTINGS = {
-    "kafka": {"proxy_url": "http://h", "consumer_group": "g", "instance_name": "i"},
-    "rabbitmq": {"management_url": "http://h", "virtual_host": "v", "queue_name": "q", "max_batch_size": 7},
-    "redis": {"webdis_url": "http://h", "redis_command": "LRANGE", "key_name": "k"},
-    "scada": {"scada_url": "http://h", "endpoint": "/e"},
-    "splunk": {"management_url": "http://h", "search_query": "search x"},
-    "elasticsearch": {"node_url": "http://h", "index_pattern": "i", "search_body": {"size": 1}},
-    "clickhouse": {"http_url": "http://h", "database": "d", "query": "SELECT 1"},
-    "influxdb": {"host_url": "http://h", "org": "o", "flux_query": "from()"},
-    "logstash": {"http_input_url": "http://h", "endpoint": "e"},
+    "kafka": {"at": "http://h/", "group": "g", "member": "m", "topics": ["t"]},
+    "rabbitmq": {"at": "http://h", "vhost": "/", "queue": "q", "count": 7},
+    "redis": {"at": "http://h", "command": "LRANGE", "key": "k/1"},
+    "scada": {"at": "http://h", "path": "/e/f"},
+    "splunk": {"at": "http://h", "search": "search x=1 & y"},
+    "elasticsearch": {"at": "http://h", "index": "i*", "search": {"size": 1}},
+    "clickhouse": {"at": "http://h", "database": "d", "statement": "SELECT {x: 1}"},
+    "influxdb": {"at": "http://h", "org": "my org", "flux": "from()"},
+    "logstash": {"at": "http://h", "path": "e"},
 }
 
 
 @pytest.mark.parametrize("system", sorted(SETTINGS))
 def test_requests(system):
-    request = pull.build_request(system, {**SETTINGS[system], "security": {"auth_type": "bearer", "token": "t"}})
+    request = pull.build_request(system, {**SETTINGS[system], "login": {"token": "t"}})
     assert request.url.startswith("http://h/") and request.headers["Authorization"] == "Bearer t"
-    assert (request.body is not None) == (request.method == "POST")
+    assert "{" not in request.url and (request.body is not None) == (request.method == "POST")
     with pytest.raises(ValueError):
         pull.build_request("fax", {})
 
 
-def test_authentication():
-    assert pull.auth_headers({"auth_type": "basic", "username": "u", "password": "p"}) == {"Authorization": "Basic dTpw"}
-    assert pull.auth_headers({"auth_type": "custom_header", "header_name": "X", "header_value": "1"}) == {"X": "1"}
-    assert pull.auth_headers({}) == {}
+def test_addresses_and_bodies():
+    ask = lambda system, step="read": pull.build_request(system, SETTINGS[system], step)
+    assert ask("rabbitmq").url == "http://h/api/queues/%2F/q/get"
+    assert json.loads(ask("rabbitmq").body) == {"count": 7, "ackmode": "ack_requeue_true", "encoding": "auto"}
+    assert json.loads(ask("rabbitmq", "done").body)["ackmode"] == "ack_requeue_false"
+    assert ask("redis").url == "http://h/LRANGE/k%2F1" and ask("scada").url == "http://h/e/f"
+    assert ask("splunk").body == "search=search+x%3D1+%26+y&output_mode=json&exec_mode=oneshot"
+    assert json.loads(ask("elasticsearch").body) == {"size": 1} and ask("clickhouse").body == "SELECT {x: 1}"
+    assert ask("influxdb").url == "http://h/api/v2/query?org=my%20org"
+    assert json.loads(ask("kafka", "subscribe").body) == {"topics": ["t"]} and ask("kafka").url.endswith("max_bytes=1048576")
+
+
+def test_logins_and_trust(tmp_path):
+    assert pull.Login("u", "p").headers() == {"Authorization": "Basic dTpw"}
+    assert pull.Login(header="X: 1").headers() == {"X": "1"} and pull.Login().headers() == {}
+    assert pull.Tls().context() is None
+    with pytest.raises(OSError):
+        pull.Tls(authority=f"{tmp_path}/none.pem").context()
+    with pytest.raises(OSError):
+        pull.Tls(certificate=f"{tmp_path}/none.pem", key=f"{tmp_path}/none.key").context()
+    settings = {**SETTINGS["scada"], "tls": {"authority": "a.pem", "certificate": "c.pem", "key": "k.pem"}}
+    assert pull.build_request("scada", settings).tls == pull.Tls("a.pem", "c.pem", "k.pem")
 
 
 def _transport(request):
@@ -46,7 +63,7 @@ def _transport(request):
 
 def test_pull_in_batches_and_streams(spark, scratch):
     spark.dataSource.register(pull.pull_source(_transport))
-    requests = json.dumps([{**SETTINGS["elasticsearch"], "index_pattern": f"s{i}"} for i in range(4)])
+    requests = json.dumps([{**SETTINGS["elasticsearch"], "index": f"s{i}"} for i in range(4)])
     df = spark.read.format("pull").option("system", "elasticsearch").option("requests", requests).load()
     assert df.rdd.getNumPartitions() == 4
     found = landing.pulled_from("elasticsearch", df, "response")
@@ -54,17 +71,32 @@ def test_pull_in_batches_and_streams(spark, scratch):
     shards = found.select(F.get_json_object("value", "$.shard").alias("s")).distinct()
     assert rows(shards) == [("s0",), ("s1",), ("s2",), ("s3",)]
 
-    stream = spark.readStream.format("pull").option("system", "elasticsearch").option("requests", requests).option(
-        "maxpolls", 2).load()
-    query = landing.pulled_from("elasticsearch", stream, "response", keep=["poll"]).writeStream.format("parquet").option(
-        "path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/c").trigger(processingTime="0 seconds").start()
-    deadline = time.time() + 60
-    while time.time() < deadline and (query.lastProgress is None or query.lastProgress.batchId < 1):
-        time.sleep(0.2)
-    query.processAllAvailable()
-    query.stop()
-    got = spark.read.parquet(f"{scratch}/out").groupBy("poll").count()
-    assert rows(got) == [(0, 12), (1, 12)]
+
+def _polled(spark, folder, log, clock):
+    """One run of a polled query that ends at the clock's next whole number."""
+
+    def transport(request):
+        with open(log, "a") as f:
+            f.write(request.url.rsplit("/", 1)[1] + ("" if request.body is None or "requeue_true" in request.body else " done") + "\n")
+        return json.dumps([{"n": 1}, {"n": 2}])
+
+    spark.dataSource.register(pull.pull_source(transport, lambda: float(open(clock).read())))
+    stream = spark.readStream.format("pull").option("system", "rabbitmq").option("requests", json.dumps(
+        [{**SETTINGS["rabbitmq"], "queue": q} for q in "ab"])).load()
+    drain(stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c"))
+
+
+def test_polls_go_on_after_a_restart(spark, scratch, tmp_path):
+    """A poll has the clock's number, whoever started the query; messages are let go behind a stored batch only."""
+    log, clock = f"{tmp_path}/log", f"{tmp_path}/clock"
+    for now in (7, 8, 8, 11):
+        with open(clock, "w") as f:
+            f.write(str(now))
+        _polled(spark, scratch, log, clock)
+    got = spark.read.parquet(f"{scratch}/out").select("poll", "request")
+    assert [(p, u.rsplit("/", 2)[1]) for p, u in rows(got)] == [(n, q) for n in (7, 8, 11) for q in "ab"]
+    asked = open(log).read().split("\n")
+    assert asked.count("get") == 6 and asked.index("get done") > 1
 
 
 def test_subscription(spark, scratch):
