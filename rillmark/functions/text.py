@@ -100,3 +100,13 @@ def tilde_head(identifier: Column) -> Column:
 def tilde_uid(identifier: Column) -> Column:
     """Value of the last ``key=uid`` part of a ``~``-joined identifier."""
     return F.split_part(F.element_at(F.split(identifier, "~"), -1), F.lit("="), F.lit(2))
+
+
+def encode_terms(col: Column) -> Column:
+    """Search terms in the form they travel in: base64 of their UTF-8 bytes."""
+    return F.base64(F.encode(col, "UTF-8"))
+
+
+def decode_terms(col: Column) -> Column:
+    """Search terms from that form; null where it is none."""
+    return F.decode(F.try_to_binary(col, F.lit("base64")), "UTF-8")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rillmark.functions.jsonpath import json_get
 from rillmark.operators import ml, scada, threat
 from rillmark.plans import inputs
-from rillmark.plans.extraction import derived
+from rillmark.plans.extraction import FIELDS, SCALING, derived
 from rillmark.plans.inputs import LINES_SQL
 from rillmark.plans.registry import query, register
 from rillmark.session import scratch_path
@@ -367,6 +367,8 @@ EXCHANGE_LEGAL = {
     "legaltags": ["data.default.legaltag@[default]"], "otherRelevantDataCountries": ["US", "CA"], "hostingCountry": "US",
 }
 EXCHANGE_TYPE = "OilAndGas:SeparatorRealtime"
+EXCHANGE_DOMAIN = {"type": "WellProduction", "subType": "SeparatorAnalytics"}
+EXCHANGE_PRECISION = {"RawFields": "3 decimal places", "ComputedAnalytics": "full precision"}
 
 
 @query(
@@ -375,25 +377,36 @@ EXCHANGE_TYPE = "OilAndGas:SeparatorRealtime"
       'vessel-' || l_suppkey || '-' || (epoch_us(l_shipdate) // 1000000) AS id,
       strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS acquired,
       CASE WHEN l_suppkey = 1 THEN 'North_Drum_1' ELSE 'Vessel_' || l_suppkey END AS well,
-      l_quantity AS quantity, 8 AS computed FROM lineitem""",
+      l_quantity AS quantity, 8 AS computed, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS modified, '1.0.0' AS osd,
+      'SeparatorAnalytics' AS sub_domain, {len(FIELDS)} AS raw_fields, true AS scaled, '1.0' AS version, 8 AS listed,
+      'full precision' AS precision, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS computed_at FROM lineitem""",
 )
 def snk_exchange_envelope(t):
     """Nested envelope of every reading, read back field by field."""
     doc = scada.exchange_record(
         derived(t), F.col("l_suppkey"), {"1": "North Drum 1"}, F.lit("SCADA"), F.col("l_shipdate"), EXCHANGE_KIND,
-        EXCHANGE_ACL, EXCHANGE_LEGAL, EXCHANGE_TYPE)
+        EXCHANGE_ACL, EXCHANGE_LEGAL, EXCHANGE_TYPE, len(FIELDS), bool(SCALING), EXCHANGE_DOMAIN, EXCHANGE_PRECISION)
     rows = derived(t).select("l_orderkey", "l_linenumber", doc.alias("doc"))
     schema = (
         "kind string, legal struct<hostingCountry:string,otherRelevantDataCountries:array<string>>, data struct<ID:string,"
         "AcquisitionTime:string,WellUWI:string,SeparatorMetrics:struct<RawFields:map<string,double>,"
-        "meta:struct<numComputedVars:int>>>")
+        "meta:struct<numComputedVars:int,version:string,computedAt:string,scalingApplied:boolean,numRawFields:int,"
+        "computedVarList:array<string>,precision:struct<ComputedAnalytics:string>>>>,"
+        "meta struct<osdVersion:string,modificationTime:string,domain:struct<subType:string>>")
     parsed = rows.select("l_orderkey", "l_linenumber", F.from_json("doc", schema).alias("d"))
     return parsed.select(
         "l_orderkey", "l_linenumber", "d.kind", F.col("d.legal.hostingCountry").alias("hosting"),
         F.col("d.legal.otherRelevantDataCountries")[1].alias("second_country"), F.col("d.data.ID").alias("id"),
         F.col("d.data.AcquisitionTime").alias("acquired"), F.col("d.data.WellUWI").alias("well"),
         F.col("d.data.SeparatorMetrics.RawFields")["quantity"].alias("quantity"),
-        F.col("d.data.SeparatorMetrics.meta.numComputedVars").alias("computed"))
+        F.col("d.data.SeparatorMetrics.meta.numComputedVars").alias("computed"),
+        F.col("d.meta.modificationTime").alias("modified"), F.col("d.meta.osdVersion").alias("osd"),
+        F.col("d.meta.domain.subType").alias("sub_domain"), F.col("d.data.SeparatorMetrics.meta.numRawFields").alias("raw_fields"),
+        F.col("d.data.SeparatorMetrics.meta.scalingApplied").alias("scaled"),
+        F.col("d.data.SeparatorMetrics.meta.version").alias("version"),
+        F.size("d.data.SeparatorMetrics.meta.computedVarList").alias("listed"),
+        F.col("d.data.SeparatorMetrics.meta.precision.ComputedAnalytics").alias("precision"),
+        F.col("d.data.SeparatorMetrics.meta.computedAt").alias("computed_at"))
 
 
 def _export_query(kind: str) -> None:

@@ -380,6 +380,18 @@ def txt_term_table(t):
     return out.select("doc_id", F.split_part("term_id", F.lit(":"), F.lit(1)).cast("long").alias("item_id")).distinct()
 
 
+@query(
+    "txt_encoded_terms",
+    """SELECT conv_id, turn, base64(encode(text)) AS encoded, text AS decoded, NULL::VARCHAR AS broken FROM conversations""",
+)
+def txt_encoded_terms(t):
+    """Terms as they travel, and back; what is no base64 is no term."""
+    from rillmark.functions.text import decode_terms, encode_terms
+
+    rows = t.conversations.select("conv_id", "turn", encode_terms(F.col("text")).alias("encoded"))
+    return rows.select("*", decode_terms(F.col("encoded")).alias("decoded"), decode_terms(F.concat(F.lit("?"), "encoded")).alias("broken"))
+
+
 @query(
     "txt_answer_flag",
     "SELECT conv_id, turn, contains(text, 'ouen') OR contains(text, 'x ' || role) AS found FROM conversations",
