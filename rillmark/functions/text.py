@@ -103,8 +103,8 @@ def tilde_uid(identifier: Column) -> Column:
 
 
 def encode_terms(col: Column) -> Column:
-    """Search terms in the form they travel in: base64 of their UTF-8 bytes."""
-    return F.base64(F.encode(col, "UTF-8"))
+    """Search terms in the form they travel in: base64 of their UTF-8 bytes, on one line."""
+    return F.translate(F.base64(F.encode(col, "UTF-8")), "\r\n", "")
 
 
 def decode_terms(col: Column) -> Column:

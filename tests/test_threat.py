@@ -1,3 +1,4 @@
+import base64
 import json
 import math
 
@@ -188,3 +189,13 @@ def test_baseline_clock(spark, scratch):
     young = sinks.next_baseline(stored, new, "2024-01-01 23:59:59", 24).collect()
     due = sinks.next_baseline(stored, new, "2024-01-02 00:00:00", 24).collect()
     assert [r["event_type"] for r in young] == ["a"] and [r["event_type"] for r in due] == ["b"]
+
+
+def test_encoded_terms(spark):
+    from rillmark.functions.text import decode_terms, encode_terms
+
+    texts = ["rgx:a+ ~~~ |x,y", "é" * 100, "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", encode_terms(F.col("t")).alias("e"))
+    got = df.select("t", "e", decode_terms(F.col("e")).alias("d"), decode_terms(F.concat(F.lit("*"), "e")).alias("b")).collect()
+    assert [r["d"] for r in got] == texts and got[0]["b"] is None
+    assert [r["e"] for r in got] == [t if t is None else base64.b64encode(t.encode()).decode() for t in texts]
