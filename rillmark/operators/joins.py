@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.operators.membership import may_hold
 from rillmark.operators.stats import micros
 from rillmark.operators.windows import first_by, last_n, lookup_join
+from rillmark.session import materialize
 
 
 def device_lookup(df: DataFrame, devices: DataFrame, key: str, order: str) -> DataFrame:
@@ -104,6 +106,8 @@ def simulation_bias(
 
 
 HEAD_WORDS = 4
+# Characters of the longest entity that is compared with the text right behind a place.
+LONG_ENTITY = 64
 
 
 def _quoted(text: str) -> str:
@@ -119,7 +123,10 @@ def entity_mentions(texts: DataFrame, text: str, entities: DataFrame, entity: st
     can begin gives its first words, up to ``HEAD_WORDS`` of them, as keys.  An
     entity is looked up by as many whole words as it surely begins with, by its
     first character if there are none, and only such candidates are compared
-    in full.  Empty and null entities match nothing.
+    in full.  A place travels with the few characters that an entity can still
+    cover, not with its text, and only if some entity may have its key.
+    Entities beyond ``LONG_ENTITY`` characters are looked up by so many and
+    compared with the whole text.  Empty and null entities match nothing.
     """
     before, mark, after = term.partition("--entity--")
     if not mark:
@@ -130,20 +137,44 @@ def entity_mentions(texts: DataFrame, text: str, entities: DataFrame, entity: st
     names = entities.select(F.col(entity).cast("string").alias(entity)).filter(F.col(entity) != "").distinct()
     closed = F.concat(entity, F.lit(after or " "))
     heads = [F.nullif(F.regexp_extract(closed, rf"(?U)^({run})(?=\W)", 1), F.lit("")) for run in runs]
-    first = F.concat(F.lit("character "), F.substring(entity, 1, 1))
-    names = names.withColumn("_key", F.coalesce(*[F.concat(F.lit("words "), h) for h in heads], first))
-
-    def keys(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(F.col(text), F.lit(f"(?sU){start}(?=({pattern}))"), F.lit(1))
-        return F.transform(F.array_distinct(found), lambda k: F.concat(F.lit(kind), k))
-
-    places = F.flatten(F.array(*[keys("words ", run) for run in runs], keys("character ", ".")))
-    rows = texts.withColumn("_key", F.explode(F.array_distinct(places)))
-    # A quotation inside the pattern must not end at characters of the entity.
-    inner = F.concat(F.lit(r"\Q"), F.replace(entity, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    end = F.lit(_quoted(after) if after else r"(?!\w)")
-    pattern = F.concat(F.lit(f"(?sU){start}"), inner, end)
-    return lookup_join(rows, names, ["_key"]).filter(F.rlike(F.col(text), pattern)).select(*texts.columns, entity)
+    long = F.length(entity) > LONG_ENTITY
+    key = F.when(long, F.substring(entity, 1, LONG_ENTITY)).otherwise(F.coalesce(*heads, F.substring(entity, 1, 1)))
+    names = names.select(entity, key.alias("_head"), F.when(long, "long").when(F.coalesce(*heads).isNull(), "character").otherwise("words").alias("_kind"))
+    opening = F.regexp_extract(closed, rf"(?U)^({runs[-1]})(?=\W)", 1)
+    names = names.withColumn("_key", F.xxhash64("_kind", "_head")).withColumn(
+        "_opening", F.when(F.col("_kind") == "words", F.xxhash64(F.lit("opening"), opening)).otherwise(F.col("_key"))).drop("_head")
+    names = materialize(names, "entities")
+    longs = F.col("_kind") == "long"
+    sizes = names.agg(F.count_if(~longs).alias("short"), F.count_if(longs).alias("long")).first()
+
+    def places(size: int) -> Column:
+        """The next characters of every place."""
+        found = F.regexp_extract_all(F.col(text), F.lit(f"(?sU){start}(?=(.{{1,{size}}}))"), F.lit(1))
+        return F.explode(F.array_distinct(found)).alias("_next")
+
+    whole = texts.withColumn("_row", F.monotonically_increasing_id())
+    hashes = names.filter(~longs).select(F.explode(F.array("_key", "_opening")).alias("_key")).distinct()
+    known = may_hold(hashes, 2 * sizes["short"])
+    near = whole.select("*", places(LONG_ENTITY + len(after) + 1))
+    # Most places end at their first word: no entity begins with it.
+    character = F.xxhash64(F.lit("character"), F.substring("_next", 1, 1))
+    near = near.filter(known(F.xxhash64(F.lit("opening"), F.regexp_extract("_next", rf"(?U)^({runs[-1]})", 1))) | known(character))
+    begun = [F.nullif(F.regexp_extract("_next", rf"(?U)^({run})", 1), F.lit("")) for run in runs]
+    keys = [F.when(h.isNotNull(), F.xxhash64(F.lit("words"), h)) for h in begun] + [character]
+    near = near.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array(*keys))))).filter(known(F.col("_key")))
+    near = lookup_join(near, names.filter(~longs).select(entity, "_key"), ["_key"])
+    rest = F.substring(F.col("_next"), F.length(entity) + 1, F.lit(1))
+    near = near.filter(F.startswith("_next", F.concat(entity, F.lit(after))) & (F.lit(bool(after)) | ~F.rlike(rest, F.lit(r"(?U)^\w"))))
+    found = near.select(*texts.columns, "_row", entity)
+    if sizes["long"]:
+        known = may_hold(names.filter(longs).select("_key"), sizes["long"])
+        far = whole.select("*", places(LONG_ENTITY)).withColumn("_key", F.xxhash64(F.lit("long"), "_next")).filter(known(F.col("_key")))
+        # A quotation inside the pattern must not end at characters of the entity.
+        inner = F.concat(F.lit(r"\Q"), F.replace(entity, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        pattern = F.concat(F.lit(f"(?sU){start}"), inner, F.lit(_quoted(after) if after else r"(?!\w)"))
+        far = lookup_join(far, names.filter(longs).select(entity, "_key"), ["_key"]).filter(F.rlike(F.col(text), pattern))
+        found = found.unionByName(far.select(*texts.columns, "_row", entity))
+    return found.dropDuplicates(["_row", entity]).drop("_row")
 
 
 def knowledge_match(text: Column, matrix: dict[str, list[str]]) -> Column:

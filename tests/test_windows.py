@@ -166,3 +166,21 @@ def test_hot_lookup_key_is_split(spark):
 def test_page(spark):
     out = windows.page(spark.range(100), [F.desc("id")], 30, 4)
     assert rows(out) == [(i,) for i in range(10)]
+
+
+def test_mentions_travel_without_their_text(spark):
+    """Long lines: a place takes a few characters along, not its line; long entities are still found, once a row."""
+    import contextlib
+    import io
+
+    long = "Deep " + "x" * 80 + " end"
+    names = spark.createDataFrame([("Router-1",), (long,), (long[:70],), ("b" * 64,), ("b" * 65,)], "name string")
+    lines = [" ".join(["at Router-1 up"] * 3000), f"at {long} at {long} at {long[:70]} at", f"at {long}!", f"at {'b' * 64} at {'b' * 65}", f"at {'b' * 66}"]
+    texts = spark.createDataFrame([(1, lines[0]), (1, lines[0]), *enumerate(lines[1:], 2), (9, None)], "id int, text string").repartition(3)
+    out = joins.entity_mentions(texts, "text", names, "name", "at --entity--").select("id", "name")
+    assert rows(out) == sorted([(1, "Router-1"), (1, "Router-1"), (2, long), (2, long[:70]), (3, long), (4, "b" * 64), (4, "b" * 65)])
+    plain = joins.entity_mentions(texts, "text", names.filter("length(name) < 60"), "name", "at --entity--").select("id", "name")
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        plain.explain("formatted")
+    moved = [x for x in said.getvalue().split("\n\n") if re.match(r"\s*\(\d+\) Exchange", x) and "RoundRobin" not in x]
+    assert moved and not any("text#" in x for x in moved)
