@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.functions.text import java_regex, pattern_fault
+from rillmark.operators.membership import may_hold
 from rillmark.session import materialize
 
 ENTITY_MARK = "--entity--"
@@ -136,6 +137,34 @@ def _containing(pieces: DataFrame, vocabulary: DataFrame, short: bool) -> DataFr
     return met.distinct()
 
 
+# A word, what stands behind it and the next word.
+_PAIR = r"(?U)(\w+)(\W+)(\w+)"
+
+
+def _pairs(text: Column) -> Column:
+    """The distinct pairs of neighbouring words of a text, each with what stands between them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)(?=(\w+\W+\w+))"), F.lit(1)))
+
+
+def _pair_anchors(keyed: DataFrame, tokens: DataFrame, term_key: str) -> DataFrame:
+    """(term_key, anchor) of terms of two words or more: the pairs of the texts that hold a term's rarest pair.
+
+    A text with the term has a pair whose first word ends and whose second word begins like the term's.  So every
+    distinct pair of the texts is cut at both ends in all ways, and what may be a pair of a term is looked up.
+    """
+    pieces = materialize(keyed.select(term_key, F.explode("_pairs").alias("piece")).withColumn("_hash", F.xxhash64("piece")), "term-pairs")
+    wanted = pieces.select("piece", "_hash").distinct()
+    known = may_hold(wanted.select("_hash"), wanted.count())
+    counted = tokens.groupBy("anchor").agg(F.count("*").alias("df"))
+    first, second = F.regexp_extract("anchor", _PAIR, 1), F.regexp_extract("anchor", _PAIR, 3)
+    at = counted.withColumns({"_first": first, "_rest": F.regexp_extract("anchor", r"(?U)\W+\w+", 0), "_cut": F.length(second)})
+    at = at.withColumn("_from", F.explode(F.sequence(F.lit(1), F.length("_first")))).withColumn("_off", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
+    piece = F.concat(F.substring(F.col("_first"), F.col("_from"), F.length("_first")), F.substring(F.col("_rest"), F.lit(1), F.length("_rest") - F.col("_off")))
+    cuts = at.select("anchor", "df", piece.alias("piece")).filter(known(F.xxhash64("piece")))
+    met = materialize(cuts.join(wanted.select("piece"), "piece").distinct(), "pairs")
+    return _by_least(pieces.select(term_key, "piece").join(met, "piece"), term_key)
+
+
 def _by_least(rows: DataFrame, term_key: str) -> DataFrame:
     """(term_key, anchor) for the piece of each term that the fewest texts hold."""
     weights = rows.groupBy(term_key, "piece").agg(F.sum("df").alias("weight"))
@@ -148,34 +177,38 @@ def match_term_table(
 ) -> DataFrame:
     """(keys, term_key) of every text that contains a term of a table of any size.
 
-    Each term is looked up by an anchor: a word strictly inside the term stands
-    as a whole word in any text that contains it, and of those words the one in
-    the fewest texts is taken.  A term without an inner word is looked up by
-    the words that contain its rarer end, among the distinct words of all
-    texts; one without any word by the runs between words.  Only candidates are
-    compared in full, so no text is paired with terms it cannot hold.  Anchors
-    and candidates are stored, so that Spark joins them by their true sizes.
+    Each term is looked up by an anchor.  A term of several words stands only
+    in texts with a pair of neighbouring words that holds one of its own pairs,
+    and of those the rarest is taken.  A term with one word is looked up by the
+    words that contain it, among the distinct words of all texts; one without
+    any word by the runs between words.  Only candidates are compared in full,
+    so no text is paired with terms it cannot hold.  Anchors and candidates
+    are stored, so that Spark joins them by their true sizes.
     """
-    parts = F.split(F.col(term), _BETWEEN)
-    inner = F.array_distinct(F.filter(parts, lambda w, i: (i > 0) & (i < F.size(parts) - 1) & (w != "")))
-    ends = F.array_distinct(F.filter(parts, lambda w: w != ""))
-    keyed = terms.filter(F.col(term) != "").select(term_key, F.col(term).alias("_term"), inner.alias("_inner"), ends.alias("_ends"))
+    ends = F.array_distinct(F.filter(F.split(F.col(term), _BETWEEN), lambda w: w != ""))
+    keyed = terms.filter(F.col(term) != "").select(term_key, F.col(term).alias("_term"), ends.alias("_ends"), _pairs(F.col(term)).alias("_pairs"))
+    paired, single = keyed.filter(F.size("_pairs") > 0), keyed.filter((F.size("_pairs") == 0) & (F.size("_ends") > 0))
     kinds = keyed.agg(
-        F.coalesce(F.bool_or((F.size("_inner") == 0) & (F.size("_ends") > 0)), F.lit(False)).alias("ends"),
+        F.coalesce(F.bool_or(F.size("_pairs") > 0), F.lit(False)).alias("pairs"),
+        F.coalesce(F.bool_or((F.size("_pairs") == 0) & (F.size("_ends") > 0)), F.lit(False)).alias("ends"),
         F.coalesce(F.bool_or(F.size("_ends") == 0), F.lit(False)).alias("none"),
         F.coalesce(F.bool_or(F.exists("_ends", lambda w: F.length(w) < GRAM)), F.lit(False)).alias("short")).first()
 
-    tokens = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _BETWEEN))).alias("anchor")).filter("anchor <> ''")
-    words = materialize(tokens.groupBy("anchor").agg(F.count("*").alias("df")), "words")
-    inside = keyed.filter(F.size("_inner") > 0).select(term_key, F.explode("_inner").alias("anchor"))
-    rarest = inside.join(words, "anchor", "left").groupBy(term_key).agg(
-        F.min_by("anchor", F.struct(F.coalesce("df", F.lit(0)), "anchor")).alias("anchor"))
-    anchors = rarest
+    nothing = T.StructType([*texts.select(*keys).schema.fields, *terms.select(term_key).schema.fields])
+    found = terms.sparkSession.createDataFrame([], nothing)
+    if kinds["pairs"]:
+        tokens = texts.select(*keys, F.explode(_pairs(F.col(text))).alias("anchor"))
+        anchors = materialize(_pair_anchors(paired, tokens, term_key), "pair-anchors")
+        held = anchors.select(F.xxhash64("anchor").alias("_hash")).distinct()
+        known = may_hold(held, held.count())
+        found = found.unionByName(tokens.filter(known(F.xxhash64("anchor"))).join(anchors, "anchor").select(*keys, term_key))
     if kinds["ends"]:
-        pieces = keyed.filter((F.size("_inner") == 0) & (F.size("_ends") > 0)).select(term_key, F.explode("_ends").alias("piece"))
+        tokens = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _BETWEEN))).alias("anchor")).filter("anchor <> ''")
+        words = materialize(tokens.groupBy("anchor").agg(F.count("*").alias("df")), "words")
+        pieces = single.select(term_key, F.explode("_ends").alias("piece"))
         met = materialize(pieces.join(_containing(pieces.select("piece").distinct(), words, kinds["short"]), "piece"), "pieces")
-        anchors = anchors.unionByName(_by_least(met, term_key))
-    found = tokens.join(materialize(anchors, "anchors"), "anchor").select(*keys, term_key)
+        anchors = materialize(_by_least(met, term_key), "anchors")
+        found = found.unionByName(tokens.join(anchors, "anchor").select(*keys, term_key))
     if kinds["none"]:
         runs = texts.select(*keys, F.explode(F.array_distinct(F.split(F.col(text), _WORD))).alias("anchor")).filter("anchor <> ''")
         pieces = keyed.filter(F.size("_ends") == 0).select(term_key, F.col("_term").alias("piece"))

@@ -202,3 +202,27 @@ def test_lines_stream(spark, scratch):
     drain(stream.select(F.get_json_object("value", "$.n").alias("n")).writeStream.format("parquet").option(
         "path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/c"))
     assert rows(spark.read.parquet(f"{scratch}/out")) == [("0",), ("1",), ("2",)]
+
+
+def test_terms_of_common_words_pair_few_texts(spark):
+    """Every text holds both words of every term, hardly one holds them side by side: the candidates are these few."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"][:40]
+    texts = [(k, " ".join(rng.sample(words, 40)) + rng.choice([".", ""])) for k in range(120)]
+    table = [(f"{a[i:]} {b[:j]}", f"{a[i:]} {b[:j]}") for a in words for b in words for i, j in ((0, 2), (1, 1)) if rng.random() < 0.2]
+    table = sorted({*table, ("ak al am", "ak al am"), (" ak ", " ak "), ("zz zz", "zz zz")})
+    before, stored = terms.materialize, {}
+
+    def counted(df, name):
+        stored[name] = before(df, name)
+        return stored[name]
+
+    terms.materialize = counted
+    try:
+        got = terms.match_term_table(spark.createDataFrame(texts, "id int, text string"), ["id"], "text",
+                                     spark.createDataFrame(table, "term string, key string"), "term", "key")
+        want = sorted((k, x) for k, t in texts for x, _ in table if x in t)
+        assert rows(got.distinct()) == want
+    finally:
+        terms.materialize = before
+    assert stored["candidates"].count() < 2 * len(want) + len(texts)
