@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillmark.operators import terms, threat
+from rillmark.plans.inputs import WINDOW_SQL
 from rillmark.plans.registry import query
 from rillmark.plans.threats import _DOC_EL, _MEM_SQL, _MEM_TERMS, _SCORE_SQL, PROFILE, rules
-from rillmark.session import scratch_path
+from rillmark.session import SPREAD_BELOW, scratch_path
 from rillmark.sources import files
 from rillmark.streaming import jobs
 from rillmark.streaming.keyed import asof_rows, latest
@@ -27,9 +28,11 @@ BATCHES = 4
 def in_batches(rows, folder: str, order: str | None = None):
     """Rows as a stream of at least BATCHES micro-batches, by ranges of ``order`` if that is given.
 
-    They are written as several files first; a table of many splits keeps its number of files.
+    They are written as several files first, enough of them that a batch has work for all cores; a table of many
+    splits keeps its number of files.
     """
-    files_ = max(BATCHES, rows.rdd.getNumPartitions())
+    cores = min(rows.sparkSession.sparkContext.defaultParallelism, SPREAD_BELOW)
+    files_ = max(BATCHES * cores, rows.rdd.getNumPartitions())
     dealt = rows.repartitionByRange(files_, order) if order else rows.repartition(files_)
     dealt.write.parquet(folder)
     stream = rows.sparkSession.readStream.schema(rows.schema)
@@ -55,15 +58,15 @@ def st_rolling_window(t):
     return latest(t.spark.read.parquet(f"{base}/out"), ["entity"]).select("entity", "msgid", "value")
 
 
+# Rows of the rollback window, as in WINDOW_SQL.
+WINDOW = 800
+
+
 def _rolling(t, base):
     stream = in_batches(_measurements(t.events), f"{base}/in")
-    drain(jobs.rolling_statistics(stream, ["avg", "max"], ROLLED, f"{base}/windows", f"{base}/pre", f"{base}/checkpoint1"))
+    drain(jobs.rolling_statistics(stream, ["avg", "max"], WINDOW, f"{base}/windows", f"{base}/pre", f"{base}/checkpoint1"))
 
 
-# Rows of a window: fewer than most keys have, so that old ones are dropped.
-ROLLED = 8
-_ROLLED_SQL = f"""SELECT user_id AS entity, event_type AS subtopic, value AS x FROM events
-  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) <= {ROLLED}"""
 _PRE = "entity bigint, subtopic string, preprocesstype string, hyperprediction double, batch_id bigint"
 
 
@@ -71,7 +74,7 @@ _PRE = "entity bigint, subtopic string, preprocesstype string, hyperprediction d
     "st_rolling_statistics",
     f"""SELECT entity, subtopic, unnest(['avg', 'max']) AS preprocesstype,
       unnest([round(a, 6), round(b, 6)]) AS hyperprediction
-    FROM (SELECT entity, subtopic, avg(x) AS a, max(x) AS b FROM ({_ROLLED_SQL}) GROUP BY entity, subtopic)""",
+    FROM (SELECT entity, subtopic, avg(x) AS a, max(x) AS b FROM ({WINDOW_SQL}) GROUP BY entity, subtopic)""",
 )
 def st_rolling_statistics(t):
     """Statistics of every window as of its last change, over several micro-batches."""
@@ -84,7 +87,7 @@ def st_rolling_statistics(t):
 @query(
     "st_chained_topics",
     f"""SELECT entity, round(avg(a), 6) AS avg, round(max(a), 6) AS max
-    FROM (SELECT entity, subtopic, avg(x) AS a FROM ({_ROLLED_SQL}) GROUP BY entity, subtopic) GROUP BY entity""",
+    FROM (SELECT entity, subtopic, avg(x) AS a FROM ({WINDOW_SQL}) GROUP BY entity, subtopic) GROUP BY entity""",
 )
 def st_chained_topics(t):
     """raw -> window statistics -> statistics over the derived stream, each with its own checkpoint."""

@@ -1,13 +1,13 @@
 """Per-key state of streams in Spark's own state store.
 
-Every operator keeps a bounded number of rows per key, reads and writes the state of the keys of a batch only, and
-emits those keys only.  The state lives in RocksDB on the executors and in the query's checkpoint, from which lost
+Every operator keeps a bounded number of rows per key, reads and writes the state of the keys of a batch only (the
+newest rows: of the parts these keys are dealt to), and emits those keys only.  The state lives in RocksDB on the executors and in the query's checkpoint, from which lost
 executors and restarted queries take it.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Spark looks at a processor in a Python process of the driver that has no shipped packages: it travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,35 +30,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _rank(row, order: Sequence[str]) -> tuple:
-    """Sort key with nulls below all values, as Spark orders them."""
-    return tuple((row[c] is not None, row[c]) for c in order)
-
-
-class NewestRows(StatefulProcessor):
-    """The newest ``n`` rows of a key by ``order``; emitted whole whenever one of them is new."""
-
-    def __init__(self, schema: T.StructType, order: Sequence[str], n: int):
-        self.schema, self.order, self.n = schema, tuple(order), n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = [tuple(r) for r in self.rows.get()]
-        names = self.schema.names
-        every = ([(dict(zip(names, r)), r, False) for r in held]
-                 + [(r.asDict(), tuple(r), True) for r in heapq.nlargest(self.n, rows, key=lambda r: _rank(r, self.order))])
-        kept = heapq.nlargest(self.n, every, key=lambda e: _rank(e[0], self.order))
-        if any(new for _, _, new in kept):
-            self.rows.put([r for _, r, _ in kept])
-            for _, r, _ in kept:
-                yield Row(**dict(zip(names, r)))
-
-    def close(self) -> None:
-        pass
-
-
 def _newest_of_batch(keys: Sequence[str], order: Sequence[str], n: int):
     """The newest ``n`` rows per key of each Arrow batch."""
 
@@ -69,15 +41,45 @@ def _newest_of_batch(keys: Sequence[str], order: Sequence[str], n: int):
     return run
 
 
-def newest_rows(stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+# Parts that the keys of a stream are dealt to by hash; each part's windows are one state.
+PARTS = 512
+_PART = "_part"
+
+
+def _newest_of_part(schema: T.StructType, keys: Sequence[str], order: Sequence[str], n: int):
+    """The newest ``n`` rows of all keys of a part; windows with a new row are emitted whole."""
+    whole = [f.name for f in schema if isinstance(f.dataType, T.IntegralType)]
+    names = list(schema.names)
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # A null among whole numbers must not make decimals of the others.
+        new = pd.concat([b[names].astype({c: "Int64" for c in whole}) for b in batches], ignore_index=True).assign(_new=True)
+        if state.exists:
+            held = pickle.loads(state.get[0])
+            new = pd.concat([held.assign(_new=False), new], ignore_index=True)
+        rows = new.sort_values(list(order), ascending=False, na_position="last", kind="stable")
+        kept = rows.groupby(list(keys), dropna=False, sort=False).head(n)
+        changed = kept.groupby(list(keys), dropna=False, sort=False)["_new"].transform("any")
+        if changed.any():
+            state.update((pickle.dumps(kept[names], protocol=5),))
+            yield kept.loc[changed, names]
+
+    return run
+
+
+def newest_rows(stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, parts: int = PARTS) -> DataFrame:
     """Newest ``n`` rows of every key over the whole stream, in update mode: the windows of the keys that changed.
 
     ``order`` must end in a unique tie-break.  Each task cuts its rows before the shuffle, so a busy key sends ``n``
-    rows per Arrow batch at most; behind it they pass one by one.
+    rows per Arrow batch at most.  Keys are dealt to ``parts`` parts; the windows of a part are read, merged with a
+    batch's rows and written at once, and a part without new rows is not touched.  With many millions of keys, give
+    more parts, so that a part's windows stay small.
     """
     use_rocksdb(stream.sparkSession)
     cut = stream.mapInPandas(_newest_of_batch(keys, order, n), stream.schema)
-    return cut.groupBy(*keys).transformWithState(NewestRows(stream.schema, order, n), stream.schema, "Update", "None")
+    dealt = cut.withColumn(_PART, F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    merge = _newest_of_part(stream.schema, keys, order, n)
+    return dealt.groupBy(_PART).applyInPandasWithState(merge, stream.schema, "windows binary", "update", GroupStateTimeout.NoTimeout)
 
 
 class RememberedWindows(StatefulProcessor):

@@ -226,3 +226,33 @@ def test_terms_of_common_words_pair_few_texts(spark):
     finally:
         terms.materialize = before
     assert stored["candidates"].count() < 2 * len(want) + len(texts)
+
+
+def test_statistics_use_the_whole_rollback_window(spark, tmp_path):
+    """More rows per key than the cut of 8 that once stood in the query and its SQL."""
+    from rillmark.plans.registry import ORACLES, QUERIES
+
+    assert "<= 800" in ORACLES["st_rolling_statistics"] and "<= 800" in ORACLES["st_chained_topics"]
+    start = datetime(2024, 1, 1)
+    data = [(i, start + timedelta(seconds=i), 1, "view", float(i), None) for i in range(900)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    got = {r["preprocesstype"]: r["hyperprediction"] for r in QUERIES["st_rolling_statistics"](spark, str(tmp_path)).collect()}
+    assert got == {"avg": sum(range(100, 900)) / 800, "max": 899.0}
+    assert QUERIES["st_chained_topics"](spark, str(tmp_path)).first()["avg"] == got["avg"]
+
+
+def test_many_keys_share_a_state(spark, scratch):
+    """Keys beyond the number of parts: a part holds several, each with its own newest rows, null keys and whole numbers exact."""
+    start = datetime(2024, 1, 1)
+    big = 2**53 + 1
+    data = [(f"k{i % 50}" if i % 50 else None, "s", float(i), start + timedelta(seconds=i), big + i) for i in range(600)]
+    stream = _staged(spark, f"{scratch}/in", data, SCHEMA)
+    from rillmark.streaming import keyed
+
+    got = keyed.newest_rows(stream, ["entity"], ["ts", "msgid"], 3, parts=4)
+    drain(jobs.updates(got, f"{scratch}/out", f"{scratch}/c"))
+    last = latest(spark.read.parquet(f"{scratch}/out"), ["entity"])
+    batch = last_n(spark.createDataFrame(data, SCHEMA), ["entity"], ["ts", "msgid"], 3).drop("rn")
+    got = last.select(*batch.columns)
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0 and batch.count() == 150
