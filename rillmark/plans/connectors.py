@@ -10,7 +10,7 @@ from rillmark.plans import inputs
 from rillmark.plans.extraction import FIELDS, SCALING, derived
 from rillmark.plans.inputs import LINES_SQL
 from rillmark.plans.registry import query, register
-from rillmark.session import scratch_path
+from rillmark.session import scratch_path, spread
 from rillmark.sources import files, landing, ranges, sinks
 from rillmark.streaming.state import drain
 
@@ -176,7 +176,7 @@ def _responses(t, system: str):
     whole = F.concat(F.lit(wrap[0]), listed, F.lit(wrap[1]))
     if system in ("scada", "influxdb", "logstash"):
         whole = F.when(F.col("event_id") % 2 == 0, record).otherwise(whole)
-    return t.events.select(whole.alias("response"))
+    return spread(t.events.select("event_id", "value")).select(whole.alias("response"))
 
 
 def _pull_query(system: str) -> None:
