@@ -64,10 +64,12 @@ def by_entity(df: DataFrame, path: str, entity: str = "entity", parts: int = 4)
     """Training rows or models in one folder per entity.
 
     Rows are grouped by entity so that a task writes few folders, in ``parts``
-    shares so that a large entity is written by several tasks.
+    shares so that a large entity is written by several tasks.  The tasks put
+    their files into place themselves: the driver would do it one by one.
     """
     share = F.pmod(F.xxhash64(*[c for c in df.columns if c != entity]), F.lit(parts))
-    df.repartition(F.col(entity), share).write.mode("overwrite").partitionBy(entity).parquet(path)
+    df.repartition(F.col(entity), share).write.mode("overwrite").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(entity).parquet(path)
 
 
 def by_file(df: DataFrame, path: str, file: str, value: str) -> None:

@@ -209,3 +209,22 @@ def test_log_record(spark):
     row = spark.range(1).select(sinks.log_record(
         "WARN", "s", F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("m")).alias("r")).first()["r"]
     assert tuple(row) == ("WARN", "2024-01-02_03:04:05", "s", "m")
+
+
+def test_responses_of_one_split_use_all_cores(spark, tmp_path):
+    """A table of one file is dealt to all cores in front of the parsing."""
+    from rillmark.plans.registry import QUERIES
+
+    spark.sql("SELECT id AS event_id, id * 0.5D AS value FROM range(5)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["src_pull_rabbitmq"](spark, str(tmp_path))
+    assert out.count() == 10 and "RoundRobinPartitioning" in out._jdf.queryExecution().toString()
+
+
+def test_folders_are_put_into_place_by_the_tasks(spark, scratch, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    seen, plain = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, key, value: seen.update({key: value}) or plain(self, key, value))
+    sinks.by_entity(spark.range(40).selectExpr("id", "id % 7 AS entity"), f"{scratch}/x")
+    assert seen == {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    assert rows(spark.read.parquet(f"{scratch}/x").select("id", "entity")) == [(i, i % 7) for i in range(40)]
