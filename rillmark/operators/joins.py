@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillmark.operators.membership import may_hold
 from rillmark.operators.stats import micros
 from rillmark.operators.windows import first_by, last_n, lookup_join
-from rillmark.session import materialize
+from rillmark.session import HOT_KEY_PARTS, materialize
 
 
 def device_lookup(df: DataFrame, devices: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,15 +25,39 @@ def device_lookup(df: DataFrame, devices: DataFrame, key: str, order: str) -> Da
 def align_streams(
     measurements: DataFrame, streams: dict[str, str], maxrows: int = 800, bucket: Column | None = None
 ) -> DataFrame:
-    """Streams of one entity side by side, one aggregate function per stream."""
+    """Streams of one entity side by side, one aggregate function per stream.
+
+    Without a bucket, all rows are aggregated and counted by stream first, which
+    moves no rows.  Only streams of more than ``maxrows`` rows are cut to their
+    newest ones, and only rows of such streams, and few others, are shuffled.
+    """
     functions = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     wanted = measurements.filter(F.col("subtopic").isin(list(streams)))
-    rows = last_n(wanted, ["entity", "subtopic"], ["ts", "msgid"], maxrows)
-    keys = ["entity"]
     if bucket is not None:
-        rows, keys = rows.withColumn("window", bucket), ["entity", "window"]
-    return rows.groupBy(*keys).agg(*[
-        functions[fn](F.when(F.col("subtopic") == s, F.col("value"))).alias(s) for s, fn in streams.items()
+        rows = last_n(wanted, ["entity", "subtopic"], ["ts", "msgid"], maxrows)
+        return rows.withColumn("window", bucket).groupBy("entity", "window").agg(*[
+            functions[fn](F.when(F.col("subtopic") == s, F.col("value"))).alias(s) for s, fn in streams.items()
+        ])
+
+    def aggregated(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("entity", "subtopic").agg(F.count("*").alias("_n"), *[
+            functions[fn](F.when(F.col("subtopic").isin([s for s in streams if streams[s] == fn]), F.col("value"))).alias(f"_{fn}")
+            for fn in dict.fromkeys(streams.values())
+        ])
+
+    every = materialize(aggregated(wanted), "streams")
+    kept = every.filter(F.col("_n") <= maxrows)
+    # Up to so many rows a stream meets in one task; longer ones are cut in parts first.
+    most, group = maxrows * HOT_KEY_PARTS, F.xxhash64("entity", "subtopic")
+    for size, salts in ((F.col("_n").between(maxrows + 1, most), 1), (F.col("_n") > most, HOT_KEY_PARTS)):
+        long = every.filter(size).select(group.alias("_hash"))
+        if n := long.count():
+            rows = last_n(wanted.filter(may_hold(long, n)(group)), ["entity", "subtopic"], ["ts", "msgid"], maxrows, salts)
+            kept = kept.unionByName(aggregated(rows))
+    # A stream that passed the filter by chance is there twice, with the same values.
+    found = {s: F.max(F.when(F.col("subtopic") == s, F.col(f"_{fn}"))) for s, fn in streams.items()}
+    return kept.groupBy("entity").agg(*[
+        (F.coalesce(found[s], F.lit(0)) if fn == "count" else found[s]).alias(s) for s, fn in streams.items()
     ])
 
 

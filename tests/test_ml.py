@@ -165,6 +165,33 @@ def test_training_matrix_needs_enough_rows(spark):
     assert out.count() == 35 and {r["entity"] for r in out.collect()} == {"a"}
 
 
+@pytest.mark.parametrize("sizes, windows", [((3, 2), 0), ((3, 2, 9, 47, 48), 1), ((3, 9, 48, 49, 200), 3)])
+def test_streams_within_the_window_are_only_summed(spark, sizes, windows):
+    """Newest three rows against brute force; rows are ranked only where a stream has more, those of long streams twice."""
+    rng = random.Random(3)
+    data = [(e, s, None if rng.random() < 0.2 else rng.random(), i // 2, i)
+            for e, n in zip((None, 1, 2, 3, 4), sizes) for s in "xyzu" for i in range(n if s != "z" or e != 1 else 0)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "entity long, subtopic string, value double, ts long, msgid long")
+    out = joins.align_streams(df, {"x": "avg", "y": "max", "z": "count", "no": "count"}, maxrows=3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == windows
+    got = {r["entity"]: (r["x"], r["y"], r["z"], r["no"]) for r in out.collect()}
+    assert len(got) == len(sizes)
+    for e in got:
+        x, y, z = ([d[2] for d in sorted(data, key=lambda d: -d[4]) if d[:2] == (e, s)][:3] for s in "xyz")
+        x, y, z = ([v for v in found if v is not None] for found in (x, y, z))
+        want = (sum(x) / len(x) if x else None, max(y, default=None), len(z), 0)
+        assert got[e] == pytest.approx(want)
+
+
+def test_clusters_read_their_subjects_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, float(i % 2) * 50, float(i) if i else None) for i in range(40)], "s int, a double, b double")
+    counted = df.rdd.map(lambda r: (seen.add(1), tuple(r))[1])
+    out = ml.clusters(spark.createDataFrame(counted, df.schema), "s", ["a", "b"], 2, 10)
+    assert out.count() == 40 and out.filter("cluster IS NULL").count() == 1 and seen.value == 40
+
+
 def test_clusters_and_correlation(spark):
     data = [(i, float(i % 2) * 50 + i * 0.01, float(i % 2) * 20, float(-i)) for i in range(40)]
     df = spark.createDataFrame(data, "s int, a double, b double, c double")
